@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 
 
+def by_value(module: str) -> None:
+    """Workers get the module's functions with the tasks, so the package need not be installed on them."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -63,3 +70,8 @@ def n_words(text: Column) -> Column:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spans_text(findings: Column) -> Column:
+    """kind:start:end of each of an array of (kind, start, end), comma-joined."""
+    return F.array_join(F.transform(findings, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")

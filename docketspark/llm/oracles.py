@@ -1,3 +1,101 @@
 """DuckDB SQL for the numbered queries that SQL can express."""
 
-ORACLES = {}
+#: Reusable text of the word rule; DuckDB's regular expressions take the same class.
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+OP7 = rf"""
+WITH s AS (
+  SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS k,
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+         coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size
+  FROM documents
+), t AS (
+  SELECT k, source, sum(size)::BIGINT AS source_size,
+         ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::BIGINT AS w
+  FROM s GROUP BY k, source
+), c AS (
+  SELECT *, 3 * source_size AS cap, (3 * source_size) / w AS ratio FROM t
+), f AS (
+  SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER b, 0))
+          / (sum(w) OVER () - coalesce(sum(w) OVER b, 0)) AS level
+  FROM c WINDOW b AS (ORDER BY ratio, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), g AS (
+  SELECT k, source_size,
+         CASE WHEN cap <= level * w THEN cap::DOUBLE
+              ELSE max(CASE WHEN NOT cap <= level * w THEN level END) OVER () * w END AS target
+  FROM f
+), p AS (
+  SELECT k, source_size, target, floor(target)::BIGINT AS words,
+         CASE WHEN source_size > 0 THEN floor(target)::BIGINT // source_size ELSE 0 END AS epochs
+  FROM g
+), r AS (
+  SELECT s.doc_id, s.size, p.source_size, p.target, p.epochs, p.words - p.epochs * p.source_size AS rest,
+         coalesce(sum(s.size) OVER (PARTITION BY s.k ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM s JOIN p USING (k)
+)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken
+FROM r
+"""
+
+_RATES = {"symbols": ("n_symbols", "word_chars", 1000, 10, False), "word_length": ("word_chars", "n_words", 100, 60, True), "dup_lines": ("n_dup_lines", "n_words", 1000, 10, False), "repeats": ("n_repeat_words", "n_words", 1000, 100, False)}
+_RATE_ROWS = " UNION ALL ".join(
+    f"SELECT lk, sk, '{k}' AS rate, {least} AS least, CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} END AS v FROM c WHERE NOT base_failed"
+    for k, (top, bottom, scale, least, _) in _RATES.items()
+)
+_WITHIN = " AND ".join(
+    f"(CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} END <= {k}_hi" + (f" AND ({scale} * {top}) // {bottom} >= {k}_lo)" if low else ")")
+    for k, (top, bottom, scale, _, low) in _RATES.items()
+)
+_LIMITS = ", ".join(f"max(CASE WHEN rate = '{k}' THEN q3 + 3 * greatest(q3 - q1, least) END) AS {k}_hi, max(CASE WHEN rate = '{k}' THEN q1 - 3 * greatest(q3 - q1, least) END) AS {k}_lo" for k in _RATES)
+
+
+def _quartiles(keys: str) -> str:
+    by = f"{keys}, " if keys else ""
+    return f"""
+  SELECT {by}rate, max(total) AS n,
+         min(CASE WHEN upto * 4 >= total THEN start END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN start END) AS q3
+  FROM (SELECT {by}rate, start, sum(n) OVER (PARTITION BY {by}rate) AS total,
+               sum(n) OVER (PARTITION BY {by}rate ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+        FROM (SELECT {by}rate, start, sum(n) AS n FROM h GROUP BY {by}rate, start))
+  GROUP BY {by}rate"""
+
+
+OP5 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(text, {_WORD}) AS words FROM d
+), u AS (
+  SELECT id, i, array_to_string(list_slice(words, i, i + 7), ' ') AS win
+  FROM (SELECT id, words, unnest(generate_series(1, len(words) - 7)) AS i FROM w WHERE len(words) >= 8)
+), hit AS (
+  SELECT id, i FROM (SELECT id, i, count(*) OVER (PARTITION BY id, win) AS k FROM u) WHERE k > 1
+), rep AS (
+  SELECT id, sum(least(8, i - before)) AS n
+  FROM (SELECT id, i, coalesce(lag(i) OVER (PARTITION BY id ORDER BY i), i - 8) AS before FROM hit) GROUP BY id
+), ln AS (
+  SELECT id, count(*) - count(DISTINCT x) AS n
+  FROM (SELECT id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, {_WORD}) GROUP BY id
+), c AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS lk, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS sk,
+         len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines,
+         coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+         len(words) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(words) AS base_failed
+  FROM w LEFT JOIN rep USING (id) LEFT JOIN ln USING (id)
+), r AS ({_RATE_ROWS}), h AS (
+  SELECT lk, sk, rate, CASE WHEN v < 32 THEN v ELSE (v >> (length(bin(v)) - 6)) << (length(bin(v)) - 6) END AS start, count(*) AS n
+  FROM r WHERE v IS NOT NULL GROUP BY ALL
+), least_of AS (SELECT DISTINCT rate, least FROM r), o AS ({_quartiles("lk, sk")}), l AS ({_quartiles("lk")}), a AS ({_quartiles("")}), q AS (
+  SELECT o.lk, o.sk, o.rate, least,
+         CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1,
+         CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3
+  FROM o JOIN l ON o.lk = l.lk AND o.rate = l.rate JOIN a ON o.rate = a.rate JOIN least_of ON o.rate = least_of.rate
+), f AS (SELECT lk, sk, {_LIMITS} FROM q GROUP BY lk, sk)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce({_WITHIN}, false) AS kept
+FROM c LEFT JOIN f USING (lk, sk)
+"""
+
+ORACLES = {"op5_adaptive_rules": OP5, "op7_source_mix": OP7}

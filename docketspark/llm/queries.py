@@ -4,7 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import table
+from docketspark.llm.common import spans_text, table
+
+
+def op1_quality_scores(spark, sf_dir):
+    from docketspark.llm.quality import score_quality
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
 def op5_adaptive_rules(spark, sf_dir):
@@ -21,7 +28,18 @@ def op7_source_mix(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_secret_ledger(spark, sf_dir):
+    from docketspark.llm.secrets import KINDS, scan_secrets
+
+    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda *kinds: F.filter("findings", lambda f: f["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(spans_text(of(*KINDS)).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
+
+
 QUERIES = {
+    "op1_quality_scores": op1_quality_scores,
     "op5_adaptive_rules": op5_adaptive_rules,
     "op7_source_mix": op7_source_mix,
+    "op10_secret_ledger": op10_secret_ledger,
 }
