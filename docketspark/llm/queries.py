@@ -37,9 +37,16 @@ def op10_secret_ledger(spark, sf_dir):
     return out.select("doc_id", *counts, F.sha2(spans_text(of(*KINDS)).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))
 
 
+def op6_near_duplicates(spark, sf_dir):
+    from docketspark.llm.neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
+
+
 QUERIES = {
     "op1_quality_scores": op1_quality_scores,
     "op5_adaptive_rules": op5_adaptive_rules,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_source_mix": op7_source_mix,
     "op10_secret_ledger": op10_secret_ledger,
 }
