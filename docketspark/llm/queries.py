@@ -14,6 +14,12 @@ def op1_quality_scores(spark, sf_dir):
     return score_quality(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op2_best_fit_packing(spark, sf_dir):
+    from docketspark.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op5_adaptive_rules(spark, sf_dir):
     from docketspark.llm.thresholds import adaptive_rules
 
@@ -28,6 +34,12 @@ def op7_source_mix(spark, sf_dir):
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_warc_revisits(spark, sf_dir):
+    from docketspark.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_ledger(spark, sf_dir):
     from docketspark.llm.secrets import KINDS, scan_secrets
 
@@ -45,8 +57,10 @@ def op6_near_duplicates(spark, sf_dir):
 
 QUERIES = {
     "op1_quality_scores": op1_quality_scores,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op5_adaptive_rules": op5_adaptive_rules,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_source_mix": op7_source_mix,
+    "op8_warc_revisits": op8_warc_revisits,
     "op10_secret_ledger": op10_secret_ledger,
 }
