@@ -20,6 +20,19 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op4_repair_tokens(spark, sf_dir):
+    import public_tokenizers
+
+    from docketspark.llm.common import shared_path
+    from docketspark.llm.tokens import read_digests, write_tokens
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        tokenizer = f.read()
+    path = shared_path(spark, "token-blocks")
+    write_tokens(table(spark, sf_dir, "documents"), tokenizer, path)
+    return read_digests(spark, path)
+
+
 def op5_adaptive_rules(spark, sf_dir):
     from docketspark.llm.thresholds import adaptive_rules
 
@@ -58,6 +71,7 @@ def op6_near_duplicates(spark, sf_dir):
 QUERIES = {
     "op1_quality_scores": op1_quality_scores,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_repair_tokens": op4_repair_tokens,
     "op5_adaptive_rules": op5_adaptive_rules,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_source_mix": op7_source_mix,
