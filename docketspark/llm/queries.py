@@ -53,6 +53,15 @@ def op8_warc_revisits(spark, sf_dir):
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op9_contextual_pii(spark, sf_dir):
+    from docketspark.llm.pii import KINDS, personal_data
+
+    out = personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    of = lambda kind: F.filter("base", lambda f: f["kind"] == kind)
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
+    return out.select("doc_id", *counts, F.sha2(spans_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"))
+
+
 def op10_secret_ledger(spark, sf_dir):
     from docketspark.llm.secrets import KINDS, scan_secrets
 
@@ -76,5 +85,6 @@ QUERIES = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_source_mix": op7_source_mix,
     "op8_warc_revisits": op8_warc_revisits,
+    "op9_contextual_pii": op9_contextual_pii,
     "op10_secret_ledger": op10_secret_ledger,
 }
