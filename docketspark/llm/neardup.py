@@ -6,10 +6,8 @@ hash of all shingles, which fills every coordinate. Coordinates of two sets agre
 similarity, with concentration as of that many independent hashes. Each coordinate keeps one byte.
 
 Documents of equal sets are one class, told by a digest; only class representatives are compared. Bands of sketch
-bytes put representatives into buckets. Within a bucket nothing is paired with everything: members are first held
-against the bucket's least and greatest member, then, where a bucket still spans several components, against
-its ends from the other components, and only what differs after that against each other. Every link is confirmed
-on the full shingle sets.
+bytes put representatives into buckets, which grouping.linked searches without pairing all their members. Every link
+is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -19,10 +17,11 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.llm.common import by_value, forget, stored
+from docketspark.llm.grouping import linked
 
 by_value(__name__)
 
@@ -156,63 +155,6 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     return links
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, component: for every end of links (a, b) the least id that it reaches. Alternates large-star and small-star until nothing changes."""
-    spark = links.sparkSession
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "components")
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    while before[0]:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        after = stored(small, "components")
-        forget(edges)
-        edges, now = after, state(after)
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return stored(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct(), "components") if before[0] else spark.createDataFrame([], "id long, component long")
-
-
-def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
-    return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-
-
-def linked(reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """id, component of all representatives that have a link."""
-    rows = bands(reps)
-    ends = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    members = stored(rows.join(ends, "band"), "neardup-members")
-    # First each member against the least and the greatest end of all its buckets.
-    near = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    tried = stored(_pairs(near, "id", "lo").union(_pairs(near, "id", "hi")).distinct(), "neardup-tried")
-    links = verify(tried, reps, docs, size, percent)
-    comps = components(links)
-    for last in (False, True):
-        own = members.select("band", "id").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        span = own.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi")
-        open_ = stored(own.join(span.select("band"), "band"), "neardup-open")
-        if open_.isEmpty():
-            break
-        if last:  # whatever still shares a bucket across components
-            other = open_.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = _pairs(open_.join(other, "band").where("c < c2"), "id", "id2")
-        else:  # the ends of the least and of the greatest component in each bucket
-            cut = open_.groupBy("band").agg(F.min(F.struct("c", "id")).alias("p"), F.max(F.struct("c", "id")).alias("q"))
-            both = open_.join(cut, "band")
-            pairs = _pairs(both.where("c != p.c"), "id", "p.id").union(_pairs(both.where("c != q.c"), "id", "q.id")).distinct()
-        fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"), "neardup-tried")
-        more = verify(fresh, reps, docs, size, percent)
-        tried, links = tried.union(fresh), links.union(more)
-        if not more.isEmpty():
-            comps = components(links)
-    return comps
-
-
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
@@ -226,7 +168,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     signed = stored(signatures(docs, size), "neardup-signed")
     classes = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "neardup-classes")
     reps = stored(signed.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "neardup-reps")
-    comps = linked(reps, docs.select("doc_id", "text"), size, percent)
+    texts = docs.select("doc_id", "text")
+    comps, _ = linked(bands(reps), lambda pairs: verify(pairs, reps, texts, size, percent))
     whole = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("_nd_c"))
     out = signed.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("_nd_c", "doc_id").alias("component_id"))

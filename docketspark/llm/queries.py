@@ -20,6 +20,13 @@ def op2_best_fit_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
 
+def op3_chroma_alignment(spark, sf_dir):
+    """The tables hold no audio, so every vector of embeddings is played as a tune first."""
+    from docketspark.llm.media import align_recordings, rendered
+
+    return align_recordings(rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op4_repair_tokens(spark, sf_dir):
     import public_tokenizers
 
@@ -80,6 +87,7 @@ def op6_near_duplicates(spark, sf_dir):
 QUERIES = {
     "op1_quality_scores": op1_quality_scores,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_chroma_alignment": op3_chroma_alignment,
     "op4_repair_tokens": op4_repair_tokens,
     "op5_adaptive_rules": op5_adaptive_rules,
     "op6_near_duplicates": op6_near_duplicates,
