@@ -26,6 +26,8 @@ REACH = 3
 #: A language and source with fewer documents than this takes its language's sketch, and a language with fewer the corpus's.
 LEAST_GROUP = 100
 WINDOW_WORDS = 8
+#: Parts that the join of fences to documents splits each language and source into.
+SALTS = 64
 
 
 def _repeat_words(h: Column, n: Column) -> Column:
@@ -131,7 +133,8 @@ def adaptive_rules(docs: DataFrame, reach: int = REACH, least_group: int = LEAST
     counts = document_counts(docs).withColumn("base_failed", failed)
     counts = stored(counts.withColumns({"_q_lang": null_key("lang"), "_q_source": null_key("source")}), "quality-counts")
     limits = fences(sketches(counts), reach, least_group)
-    joined = counts.join(limits, ["_q_lang", "_q_source"], "left")
+    salted = limits.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    joined = counts.withColumn("_q_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_q_lang", "_q_source", "_q_salt"], "left")
     within = ~F.col("base_failed")
     for k, v in RATES.items():
         within &= rate(k) <= F.col(f"_q_{k}_upper")
