@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import forget, stored
+from docketspark.llm.common import by_value, forget, stored
+
+by_value(__name__)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -36,37 +39,73 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
     return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of all items that have a link, and the links found.
+#: Items in a block, and their weight (see linked), at most about so many; and the items of a candidate group from which its bands stand alone.
+BLOCK_ITEMS, BLOCK_WEIGHT, LARGE_GROUP = 256, 4_000_000, 1 << 14
+
+
+def _cells(open_: DataFrame, payload: DataFrame) -> DataFrame:
+    """g, i, j, own, id, c, data: the items of block i and block j of a candidate group; own tells an item's block.
+
+    A candidate group holds what shares open bands, directly or through others; of one with LARGE_GROUP items or
+    more every band is a group of its own. Either way two items of one band meet in a cell, and an item is copied
+    once for every BLOCK_ITEMS items of its group.
+    """
+    ends = open_.groupBy("band").agg(F.min("id").alias("lo"))
+    chains = components(open_.join(ends, "band").select(F.col("id").alias("a"), F.col("lo").alias("b")).where("a != b").distinct())
+    sizes = chains.groupBy("component").agg((F.count("*") >= LARGE_GROUP).alias("large"))
+    where = stored(chains.join(sizes, "component").select("id", "component", "large"), "group-chains")
+    placed = open_.join(where, "id")
+    g = F.when(F.col("large"), F.xxhash64("band")).otherwise(F.col("component"))
+    placed = placed.select(g.alias("g"), "large", "id", "c").distinct().join(payload, "id")
+    totals = placed.groupBy("g", "large").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.ceil(F.sum("weight") / BLOCK_WEIGHT), F.lit(1)).cast("int").alias("blocks"))
+    placed = placed.join(totals, ["g", "large"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return placed.select("g", "large", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "id", "c", "data")
+
+
+def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(id, component) of all items that have a link, and the links found; all links between components, not all links.
 
     rows: band, id; two items may be linked if they share a band. verify(pairs): the rows of pairs (a, b; a < b)
-    that are links, stored, with more columns as it likes. Members of a band are first held against the least and
-    the greatest end of all their bands, then, where a band still spans several components, against its ends
-    from the other components, and only what differs after that against each other. So a band of any number of
-    items of one group costs as many pairs as items, and no link between components is missed.
+    that are links, stored, in schema. payload(ids): id, weight and data (binary) of ids (id), all that compare
+    needs. compare(left, right): of two lists of (id, component, data), a link in the order of schema for each two
+    components that have one; right is None if left is to be compared with itself.
+
+    Members of a band are first held against the least and the greatest end of all their bands; where a band still
+    spans several components, against its ends from the other components; and where it still does, everything is
+    compared in blocks, inside tasks that return links only. A band of any number of items of one group so costs as
+    many pairs as items, and no link between components is missed.
     """
     ends = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
     members = stored(rows.join(ends, "band"), "group-members")
     near = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     tried = stored(_pairs(near, "id", "lo").union(_pairs(near, "id", "hi")).distinct(), "group-tried")
     links = verify(tried)
-    comps = stored(components(links), "components")
-    for last in (False, True):
-        own = members.select("band", "id").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-        span = own.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi")
-        open_ = stored(own.join(span.select("band"), "band"), "group-open")
-        if open_.isEmpty():
-            break
-        if last:
-            other = open_.select("band", F.col("id").alias("id2"), F.col("c").alias("c2"))
-            pairs = _pairs(open_.join(other, "band").where("c < c2"), "id", "id2")
-        else:
-            cut = open_.groupBy("band").agg(F.min(F.struct("c", "id")).alias("p"), F.max(F.struct("c", "id")).alias("q"))
-            both = open_.join(cut, "band")
-            pairs = _pairs(both.where("c != p.c"), "id", "p.id").union(_pairs(both.where("c != q.c"), "id", "q.id")).distinct()
-        fresh = stored(pairs.join(tried, ["a", "b"], "left_anti"), "group-tried")
-        more = verify(fresh)
-        tried, links = tried.union(fresh), links.union(more)
-        if not more.isEmpty():
-            comps = stored(components(links), "components")
+    comps, open_ = _opened(members, links)
+    if not open_.isEmpty():
+        cut = open_.groupBy("band").agg(F.min(F.struct("c", "id")).alias("p"), F.max(F.struct("c", "id")).alias("q"))
+        both = open_.join(cut, "band")
+        pairs = _pairs(both.where("c != p.c"), "id", "p.id").union(_pairs(both.where("c != q.c"), "id", "q.id")).distinct()
+        links = links.union(verify(stored(pairs.join(tried, ["a", "b"], "left_anti"), "group-tried")))
+        comps, open_ = _opened(members, links)
+    if not open_.isEmpty():
+
+        def crossed(key, pdf: pd.DataFrame) -> pd.DataFrame:
+            items = list(zip(pdf["id"], pdf["c"], pdf["data"], strict=True))
+            _, _, i, j = key
+            first = (pdf["own"] == i).tolist()
+            left, right = [x for x, f in zip(items, first, strict=True) if f], [x for x, f in zip(items, first, strict=True) if not f]
+            return pd.DataFrame(compare(left, None if i == j else right), columns=[x.split()[0] for x in schema.split(", ")])
+
+        found = _cells(open_, payload(open_.select("id").distinct())).groupBy("g", "large", "i", "j").applyInPandas(crossed, schema)
+        links = links.union(stored(found, "group-links"))
+        comps = stored(components(links), "components")
     return comps, links
+
+
+def _opened(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The components of links, and band, id, c of the bands that span several."""
+    comps = stored(components(links), "components")
+    own = members.select("band", "id").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
+    span = own.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi")
+    return comps, stored(own.join(span.select("band"), "band"), "group-open")

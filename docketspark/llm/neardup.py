@@ -121,12 +121,8 @@ def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(kept, "a long, b long")
 
 
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives with 100 * intersection >= percent * union of their full sets, stored."""
-    close = stored(_alike(pairs, reps, percent / 100 - MARGIN), "neardup-close")
-    if close.isEmpty():
-        return close
-    ids = stored(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "neardup-ids")
+def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """id, weight (shingles) and data (their sorted hashes) of the documents named by ids (id), stored."""
     sieve = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     # At most SIEVE rows of one number are broadcast, whatever the corpus; the join by id below is exact.
     few = docs.join(F.broadcast(ids.select(sieve("id").alias("_nd_s")).distinct()), sieve("doc_id") == F.col("_nd_s"), "left_semi")
@@ -134,11 +130,52 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
     def sets(batches):
         words = WordHashes()
         for b in batches:
-            got = [shingle_set(t, size, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["id", "shingles"])
+            got = [shingle_set(t, size, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "weight", "data"])
+
+    full = few.select("doc_id", "text").mapInArrow(sets, "id long, weight long, data binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return stored(full, "neardup-sets")
+
+
+def compare_sets(left: list, right: list | None, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
+    """A link (a, b) for each two components in lists of (id, component, set bytes) that have one; sizes of all intersections come from products of incidence matrices, `columns` shingles at a time."""
+    items = left + (right or [])
+    if len({c for _, c, _ in items}) < 2:
+        return []
+    sets = [np.frombuffer(d, np.uint64) for _, _, d in items]
+    n = np.array([len(s) for s in sets])
+    row, every = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
+    order = np.argsort(every, kind="stable")
+    every, row = every[order], row[order]
+    new = np.concatenate(([True], every[1:] != every[:-1]))
+    column, count = np.cumsum(new) - 1, np.diff(np.append(np.flatnonzero(new), len(every)))
+    shared = count[column] > 1  # a shingle of one set is in no intersection
+    row, column = row[shared], column[shared]
+    column = np.cumsum(np.concatenate(([0], np.diff(column) != 0)))  # numbered anew; sorted as before
+    k = len(left)
+    both = np.zeros((k, len(items) - k if right is not None else k), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        there = np.zeros((len(items), columns), np.float32)
+        there[row[a:b], column[a:b] - at] = 1
+        both += there[:k] @ (there[:k] if right is None else there[k:]).T
+    x, y = np.arange(k), np.arange(k) if right is None else np.arange(k, len(items))
+    c, ids = np.array([c for _, c, _ in items]), np.array([i for i, _, _ in items])
+    good = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (c[x][:, None] != c[y][None, :])
+    out = {}
+    for i, j in zip(*np.nonzero(good), strict=True):
+        p, q = x[i], y[j]
+        out.setdefault((min(c[p], c[q]), max(c[p], c[q])), (int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
+    return list(out.values())
+
 
-    full = few.select("doc_id", "text").mapInArrow(sets, "id long, shingles binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    full = stored(full, "neardup-sets")
+def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of representatives with 100 * intersection >= percent * union of their full sets, stored."""
+    close = stored(_alike(pairs, reps, percent / 100 - MARGIN), "neardup-close")
+    if close.isEmpty():
+        return close
+    ids = stored(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "neardup-ids")
+    full = full_sets(ids, docs, size)
 
     def confirmed(batches):
         for t in batches:
@@ -149,7 +186,7 @@ def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percen
                 good.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    side = lambda x: full.select(F.col("id").alias(x), F.col("shingles").alias(f"{x}x"))
+    side = lambda x: full.select(F.col("id").alias(x), F.col("data").alias(f"{x}x"))
     links = stored(close.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirmed, "a long, b long"), "neardup-links")
     forget(close, ids, full)
     return links
@@ -169,7 +206,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     classes = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "neardup-classes")
     reps = stored(signed.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "neardup-reps")
     texts = docs.select("doc_id", "text")
-    comps, _ = linked(bands(reps), lambda pairs: verify(pairs, reps, texts, size, percent))
+    comps, _ = linked(
+        bands(reps),
+        lambda pairs: verify(pairs, reps, texts, size, percent),
+        lambda ids: full_sets(stored(ids, "neardup-ids"), texts, size),
+        lambda left, right: compare_sets(left, right, percent),
+        "a long, b long",
+    )
     whole = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("_nd_c"))
     out = signed.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("_nd_c", "doc_id").alias("component_id"))

@@ -44,7 +44,7 @@ _RATE_ROWS = " UNION ALL ".join(
     for k, (top, bottom, scale, least, _) in _RATES.items()
 )
 _WITHIN = " AND ".join(
-    f"(CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} END <= {k}_hi" + (f" AND ({scale} * {top}) // {bottom} >= {k}_lo)" if low else ")")
+    f"(CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} END <= {k}_hi" + (f" AND ({scale} * {top}) // nullif({bottom}, 0) >= {k}_lo)" if low else ")")
     for k, (top, bottom, scale, _, low) in _RATES.items()
 )
 _LIMITS = ", ".join(f"max(CASE WHEN rate = '{k}' THEN q3 + 3 * greatest(q3 - q1, least) END) AS {k}_hi, max(CASE WHEN rate = '{k}' THEN q1 - 3 * greatest(q3 - q1, least) END) AS {k}_lo" for k in _RATES)

@@ -9,12 +9,12 @@ commits, prunes and reads in any store.
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +26,8 @@ END_ID = 1
 BLOCK_TOKENS = 1 << 20
 #: A pair is replaced in round k if it occurs in more than one of SHARES[k] places, and at least LEAST times.
 SHARES, LEAST = (2_000, 8_000, 32_000, 64_000), 12
+#: Bytes of text that a task encodes at a time.
+PORTION = 16 << 20
 MAGIC = b"RPG1"
 _HEAD = "<4sIIIIQ"
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -36,75 +38,79 @@ _SLOTS = 18
 
 
 class WordEncoder:
-    """Ids of white-space separated words, as little-endian bytes, remembered for a bounded number of words.
+    """Ids of many texts at once, with every distinct word of theirs encoded once.
 
-    The tokenizer drops white space before it looks for merges, so a text's ids are its words' ids one after
-    another. New words of letters alone are encoded many at a time, told apart by the tokenizer's word numbers.
+    The tokenizer drops white space before it looks for merges and lower-cases, so a text's ids are those of its
+    lower-cased words one after another. Distinct words are encoded many in one call and told apart by the
+    tokenizer's own numbers of the pieces it splits them into.
     """
 
-    LIMIT = 600_000
-    _PLAIN = re.compile(rb"([A-Za-z\x80-\xff]+)([.,]?)\Z")
+    #: The pieces that the tokenizer's pre-tokenizer makes: fixed by the tokenizer's file.
+    PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    AT_ONCE = 2048
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
-
-    @classmethod
-    def of_worker(cls, tokenizer_json: str) -> WordEncoder:
-        """The one of this Python worker, so that its later tasks know the words of the earlier ones."""
-        import tokenizers
-
-        kept, key = vars(tokenizers).setdefault("_word_encoders", {}), zlib.crc32(tokenizer_json.encode())
-        if key not in kept:
-            kept.clear()
-            kept[key] = cls(tokenizer_json)
-        return kept[key]
-
-    def _singly(self, words: list[bytes]) -> list[bytes]:
-        got = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in got]
-
-    def _together(self, stems: list[bytes]) -> list[bytes]:
-        e = self.tokenizer.encode(b" ".join(stems).decode("utf-8", "replace"), add_special_tokens=False)
-        numbers = np.array(e.word_ids, np.int64)
-        ends = np.searchsorted(numbers, np.arange(len(stems)), "right") * 4
-        if not len(numbers) or numbers[-1] != len(stems) - 1 or (np.diff(numbers) > 1).any():
-            return self._singly(stems)
-        raw = np.array(e.ids, "<u4").tobytes()
-        return [raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
-
-    def _learn(self, new: set[bytes]) -> None:
-        if len(self.words) + len(new) > self.LIMIT:
-            self.words, self.stems = {}, {}
-        plain, odd = {}, []
-        for w in new:
-            m = self._PLAIN.match(w)
-            if m and (w.isascii() or m[1].decode("utf-8", "replace").isalpha()):
-                plain[w] = (m[1].lower() if m[1].isascii() else m[1], m[2])
-            else:
-                odd.append(w)
-        unseen = list({s for s, _ in plain.values()} - self.stems.keys())
-        for at in range(0, len(unseen), 4096):
-            part = unseen[at : at + 4096]
-            self.stems.update(zip(part, self._together(part), strict=True))
-        odd += [b".", b","]
-        self.words.update(zip(odd, self._singly(odd), strict=True))
-        tails = {b"": b"", b".": self.words[b"."], b",": self.words[b","]}
-        for w, (stem, tail) in plain.items():
-            self.words[w] = self.stems[stem] + tails[tail]
-
-    def encode(self, texts: list) -> list[bytes]:
-        rows = [(t or b"").split() for t in texts]
-        wanted = set().union(*rows)
-        new = wanted - self.words.keys()
-        if len(self.words) + len(new) > self.LIMIT:
-            new = wanted
-        if new:
-            self._learn(new)
-        return [b"".join(map(self.words.__getitem__, r)) for r in rows]
+
+    def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
+
+    def _together(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word); one by one if the pieces aren't as many as foreseen."""
+        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        numbers = e.word_ids
+        if None in numbers or not numbers or numbers[-1] + 1 != pieces.sum() or not pieces.all():
+            return self._singly(words)
+        ends = np.searchsorted(np.array(numbers), np.cumsum(pieces), "left")
+        return np.array(e.ids, np.uint32), np.diff(ends, prepend=0)
+
+    def _distinct(self, words: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(table, begins, sizes): the ids of words[i] are table[begins[i] :][: sizes[i]]; behind the words follows end_id.
+
+        Letters that a stop or comma ends are pieces of their own, so such words are encoded without it.
+        """
+        tails, tail_sizes = self._singly([".", ","])
+        ends_stem = pc.match_substring_regex(words, r"^\p{L}+[.,]$") if (tail_sizes == 1).all() else pa.array([False] * len(words))
+        stems = pc.if_else(ends_stem, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
+        stem, stems = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64), stems.dictionary
+        real = pc.not_equal(stems, "").to_numpy(zero_copy_only=False).astype(bool)
+        pieces = np.where(real, pc.count_substring_regex(stems, self.PIECES).to_numpy(zero_copy_only=False), 0).astype(np.int64)
+        there, odd = np.flatnonzero(pieces > 0), np.flatnonzero(real & (pieces == 0))
+        ids, order, n = [], [], np.zeros(len(stems), np.int64)
+        for at in range(0, len(there), self.AT_ONCE):
+            part = there[at : at + self.AT_ONCE]
+            got, n[part] = self._together(stems.take(pa.array(part)).to_pylist(), pieces[part])
+            ids.append(got)
+            order.append(part)
+        got, n[odd] = self._singly(stems.take(pa.array(odd)).to_pylist())
+        ids, order = np.concatenate([*ids, got, tails[:2], [end_id]]).astype(np.uint32), np.concatenate([*order, odd])
+        first = np.zeros(len(stems), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        has_tail = ends_stem.to_numpy(zero_copy_only=False).astype(bool)
+        sizes = np.append(n[stem] + has_tail, 1)
+        ends = np.cumsum(sizes)
+        begins = ends - sizes
+        at = np.repeat(np.append(first[stem], len(ids) - 1) - begins, sizes) + np.arange(ends[-1])
+        at[ends[:-1][has_tail] - 1] = len(ids) - 3 + pc.ends_with(words, ",").to_numpy(zero_copy_only=False).astype(np.int64)[has_tail]
+        return ids[at], begins, sizes
+
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, number of ids of each text); every text ends with end_id, a null one is that id alone."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat = pc.list_flatten(lists)
+        per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        words = flat.dictionary_encode()
+        code, small = words.indices.to_numpy(zero_copy_only=False), pc.ascii_lower(words.dictionary).dictionary_encode()
+        code = small.indices.to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, np.int32)
+        table, begins, sizes = self._distinct(small.dictionary, end_id)
+        # The end of a text is a word of its own, the last in `sizes`.
+        code = np.insert(code.astype(np.int64), np.cumsum(per_text), len(sizes) - 1)
+        n, ends = sizes[code], np.cumsum(sizes[code])
+        flat_ids = table[np.repeat(begins[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        return flat_ids, np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
 
 # --- Re-Pair blocks -------------------------------------------------------------------------------------------
@@ -152,13 +158,12 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([len(w) for w in whole], np.int64), np.concatenate([np.zeros(0, np.uint32), *whole]).astype(np.uint32)
 
 
-def pack_block(doc_ids: list, ids: list[bytes]) -> bytes:
-    """A self-contained block of documents: their doc_ids (None allowed) and ids as little-endian bytes."""
-    flat = np.frombuffer(b"".join(ids), "<u4")
+def pack_block(doc_ids: list, sizes: list[int], flat: np.ndarray) -> bytes:
+    """A self-contained block of documents: their doc_ids (None allowed), numbers of ids, and all ids."""
     seq, rules, base = compress(flat)
     lengths, _ = expansions(rules, base)
     alphabet, ranks = _ranked(seq, base + len(rules))
-    docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array([len(x) // 4 for x in ids], "<u4").tobytes()
+    docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(sizes, "<u4").tobytes()
     head = struct.pack(_HEAD, MAGIC, len(doc_ids), base, len(rules), len(alphabet), len(seq))
     return head + docs + rules.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + alphabet.astype("<u4").tobytes() + ranks.tobytes()
 
@@ -216,6 +221,16 @@ class Block:
         return self._expand(self.seq[first : last + 1])[skip : skip + int(self.sizes[i])]
 
 
+def portions(batches, most: int = PORTION):
+    """The batches' rows in slices of about `most` bytes of text."""
+    for b in batches:
+        upto = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False))
+        cuts = np.unique(np.searchsorted(upto, np.arange(most, upto[-1] if len(upto) else 0, most), "right")).tolist()
+        for i, j in zip([0, *cuts], [*cuts, b.num_rows], strict=True):
+            if j > i:
+                yield b.slice(i, j - i)
+
+
 # --- Spark jobs -----------------------------------------------------------------------------------------------
 
 
@@ -228,30 +243,30 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(tokenizer_json)
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange(F.col("doc_id"), F.col("text")).sortWithinPartitions("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        encoder, end = WordEncoder.of_worker(shared.value), np.array([end_id], "<u4").tobytes()
-        shard, number, doc_ids, ids, held = TaskContext.get().partitionId(), 0, [], [], 0
+        encoder = WordEncoder(shared.value)
+        shard, number, doc_ids, sizes, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block():
             names = ["shard", "block", "n_docs", "n_tokens", "payload"]
-            values = [[shard], [number], [len(doc_ids)], [held], [pack_block(doc_ids, ids)]]
+            values = [[shard], [number], [len(doc_ids)], [held], [pack_block(doc_ids, sizes, np.concatenate(ids))]]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=names)
 
-        for b in batches:
-            docs, texts = b.column("doc_id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist()
-            for at in range(0, len(docs), 256):
-                for d, raw in zip(docs[at : at + 256], encoder.encode(texts[at : at + 256]), strict=True):
-                    doc_ids.append(d)
-                    ids.append(raw + end)
-                    held += len(ids[-1]) // 4
-                    if held >= block_tokens:
-                        yield block()
-                        number, doc_ids, ids, held = number + 1, [], [], 0
+        for b in portions(batches):
+            flat, n = encoder.encode(b.column("text"), end_id)
+            for d, size, upto in zip(b.column("doc_id").to_pylist(), n.tolist(), np.cumsum(n).tolist(), strict=True):
+                doc_ids.append(d)
+                sizes.append(size)
+                ids.append(flat[upto - size : upto])
+                held += size
+                if held >= block_tokens:
+                    yield block()
+                    number, doc_ids, sizes, ids, held = number + 1, [], [], [], 0
         if doc_ids:
             yield block()
 
