@@ -99,9 +99,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
     revisit it. A file is written under a name of its task's own and then renamed, so that a task that is run again
     replaces its file by an equal one.
     """
-    revisits = resolved_headers(pages)
-    rows = pages.select("page_id", "url", _payload().alias("payload"))
-    rows = rows.withColumn("digest", F.sha1("payload")).join(revisits, ["page_id", "digest"], "left")
+    revisits = resolved_headers(pages).select(F.col("page_id").alias("_w_page"), F.col("digest").alias("_w_digest"), "refers_to")
+    rows = pages.select("page_id", "url", _payload().alias("payload")).withColumn("digest", F.sha1("payload"))
+    rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_w_page")) & (F.col("digest") == F.col("_w_digest")), "left")
     rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to")
 
     def written(batches):
