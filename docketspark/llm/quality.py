@@ -27,7 +27,8 @@ UNITS = WORD_UNITS + SHAPE_UNITS
 #: Labelled documents that the network sees at most: those with the smallest hash of doc_id.
 SAMPLE = 20_000
 KEEP_AT = 0.7
-CHUNK_WORDS = 1 << 18
+#: Words at a time: counting adds to a whole table each time, pooling works on a vector for each word, which small chunks keep in the processor's cache.
+COUNT_WORDS, POOL_WORDS = 1 << 18, 1 << 13
 FEATURES = 4 * DIM + 4
 
 _SHAPE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
@@ -48,13 +49,13 @@ class Units(dict):
         return code
 
 
-def chunks(texts: list, units: Units):
-    """(first row, units of the words, words of each row) for runs of rows with about CHUNK_WORDS words."""
+def chunks(texts: list, units: Units, most: int):
+    """(first row, units of the words, words of each row) for runs of rows with about `most` words."""
     rows, first, n = [], 0, 0
     for i, text in enumerate(texts):
         rows.append((text or b"").split())
         n += len(rows[-1])
-        if n >= CHUNK_WORDS or i == len(texts) - 1:
+        if n >= most or i == len(texts) - 1:
             code = np.fromiter(map(units.__getitem__, chain.from_iterable(rows)), np.int64, n)
             yield first, code, np.array([len(r) for r in rows])
             rows, first, n = [], i + 1, 0
@@ -70,7 +71,7 @@ def _count(batches):
     plus, minus = index_vectors()
     units, table = Units(), np.zeros(UNITS * DIM, np.int64)
     for batch in batches:
-        for _, code, lengths in chunks(batch.column(0).cast(pa.binary()).to_pylist(), units):
+        for _, code, lengths in chunks(batch.column(0).cast(pa.binary()).to_pylist(), units, COUNT_WORDS):
             row = np.repeat(np.arange(len(lengths)), lengths)
             here = np.flatnonzero(row[1:] == row[:-1])  # pairs of neighbours in one text
             parts = (code & 0xFFFF, code >> 16)
@@ -100,7 +101,7 @@ def pooled(texts: list, units: Units, vectors: np.ndarray) -> np.ndarray:
     """A row of FEATURES a text: mean and spread of its words' vectors and of its shapes', the length of either mean,
     and how alike neighbours are in either; zeros without words."""
     out = np.zeros((len(texts), FEATURES), np.float32)
-    for first, code, lengths in chunks(texts, units):
+    for first, code, lengths in chunks(texts, units, POOL_WORDS):
         full = np.flatnonzero(lengths)
         if not len(full):
             continue
