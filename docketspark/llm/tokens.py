@@ -9,6 +9,7 @@ commits, prunes and reads in any store.
 
 from __future__ import annotations
 
+import string
 import struct
 import zlib
 
@@ -37,65 +38,88 @@ _SLOTS = 18
 # --- encoding texts -------------------------------------------------------------------------------------------
 
 
+def _flags(x) -> np.ndarray:
+    return x.to_numpy(zero_copy_only=False).astype(bool)
+
+
 class WordEncoder:
     """Ids of many texts at once, with every distinct word of theirs encoded once.
 
     The tokenizer drops white space before it looks for merges and lower-cases, so a text's ids are those of its
-    lower-cased words one after another. Distinct words are encoded many in one call and told apart by the
-    tokenizer's own numbers of the pieces it splits them into.
+    lower-cased words one after another. Letters and the ASCII punctuation after them are pieces of their own, so
+    a word's letters and its tail are encoded apart. Many distinct words go into one call; the last id of each
+    piece is told by the end mark of its vocabulary entry. Words of ASCII letters need no normalizing, so they
+    take the same model behind a plain split at white space.
     """
 
     #: The pieces that the tokenizer's pre-tokenizer makes: fixed by the tokenizer's file.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
-    AT_ONCE = 2048
+    END_MARK, TAIL = "</w>", string.punctuation
+    AT_ONCE = 512
 
     def __init__(self, tokenizer_json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith(self.END_MARK)]] = True
 
     def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *got]), np.array([len(x) for x in got], np.int64)
 
-    def _together(self, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _together(self, tokenizer, words: list[str], pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each word); one by one if the pieces aren't as many as foreseen."""
-        e = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
-        numbers = e.word_ids
-        if None in numbers or not numbers or numbers[-1] + 1 != pieces.sum() or not pieces.all():
+        ids = np.array(tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != pieces.sum() or not pieces.all():
             return self._singly(words)
-        ends = np.searchsorted(np.array(numbers), np.cumsum(pieces), "left")
-        return np.array(e.ids, np.uint32), np.diff(ends, prepend=0)
+        return ids, np.diff(ends[np.cumsum(pieces) - 1], prepend=0)
+
+    def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, n): the ids of stems[i] are ids[first[i] :][: n[i]]."""
+        ascii_letters = _flags(pc.ascii_is_alpha(stems))
+        letters = _flags(pc.utf8_is_alpha(stems)) & ~ascii_letters
+        odd = _flags(pc.not_equal(stems, "")) & ~ascii_letters & ~letters
+        pieces = np.ones(len(stems), np.int64)
+        pieces[odd] = pc.count_substring_regex(stems.filter(pa.array(odd)), self.PIECES).to_numpy(zero_copy_only=False)
+        ids, order, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], np.zeros(len(stems), np.int64)
+        for tokenizer, some in ((self.plain, ascii_letters), (self.tokenizer, letters | odd)):
+            there = np.flatnonzero(some)
+            for at in range(0, len(there), self.AT_ONCE):
+                part = there[at : at + self.AT_ONCE]
+                got, n[part] = self._together(tokenizer, stems.take(pa.array(part)).to_pylist(), pieces[part])
+                ids.append(got)
+                order.append(part)
+        order, first = np.concatenate(order), np.zeros(len(stems), np.int64)
+        first[order] = np.cumsum(n[order]) - n[order]
+        return np.concatenate(ids), first, n
 
     def _distinct(self, words: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(table, begins, sizes): the ids of words[i] are table[begins[i] :][: sizes[i]]; behind the words follows end_id.
-
-        Letters that a stop or comma ends are pieces of their own, so such words are encoded without it.
-        """
-        tails, tail_sizes = self._singly([".", ","])
-        ends_stem = pc.match_substring_regex(words, r"^\p{L}+[.,]$") if (tail_sizes == 1).all() else pa.array([False] * len(words))
-        stems = pc.if_else(ends_stem, pc.utf8_slice_codeunits(words, 0, -1), words).dictionary_encode()
-        stem, stems = stems.indices.to_numpy(zero_copy_only=False).astype(np.int64), stems.dictionary
-        real = pc.not_equal(stems, "").to_numpy(zero_copy_only=False).astype(bool)
-        pieces = np.where(real, pc.count_substring_regex(stems, self.PIECES).to_numpy(zero_copy_only=False), 0).astype(np.int64)
-        there, odd = np.flatnonzero(pieces > 0), np.flatnonzero(real & (pieces == 0))
-        ids, order, n = [], [], np.zeros(len(stems), np.int64)
-        for at in range(0, len(there), self.AT_ONCE):
-            part = there[at : at + self.AT_ONCE]
-            got, n[part] = self._together(stems.take(pa.array(part)).to_pylist(), pieces[part])
-            ids.append(got)
-            order.append(part)
-        got, n[odd] = self._singly(stems.take(pa.array(odd)).to_pylist())
-        ids, order = np.concatenate([*ids, got, tails[:2], [end_id]]).astype(np.uint32), np.concatenate([*order, odd])
-        first = np.zeros(len(stems), np.int64)
-        first[order] = np.cumsum(n[order]) - n[order]
-        has_tail = ends_stem.to_numpy(zero_copy_only=False).astype(bool)
-        sizes = np.append(n[stem] + has_tail, 1)
-        ends = np.cumsum(sizes)
-        begins = ends - sizes
-        at = np.repeat(np.append(first[stem], len(ids) - 1) - begins, sizes) + np.arange(ends[-1])
-        at[ends[:-1][has_tail] - 1] = len(ids) - 3 + pc.ends_with(words, ",").to_numpy(zero_copy_only=False).astype(np.int64)[has_tail]
-        return ids[at], begins, sizes
+        """(table, begins, sizes): the ids of words[i] are table[begins[i] :][: sizes[i]]; behind the words follows end_id."""
+        stems = pc.utf8_rtrim(words, characters=self.TAIL)
+        apart = pc.or_(pc.utf8_is_alpha(stems), pc.equal(stems, ""))
+        whole = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        cut = np.where(_flags(apart), pc.binary_length(stems).to_numpy(zero_copy_only=False), whole)
+        stems = pc.if_else(apart, stems, words).dictionary_encode()
+        tailed = np.flatnonzero(cut < whole)
+        some = words.take(pa.array(tailed)).to_pylist()
+        tails = pa.array([w[-k:] for w, k in zip(some, (whole - cut)[tailed].tolist(), strict=True)], pa.string()).dictionary_encode()
+        ids, first, n = self._stems(stems.dictionary)
+        tail_ids, tail_n = self._singly(tails.dictionary.to_pylist())
+        table = np.concatenate([ids, tail_ids, [end_id]]).astype(np.uint32)
+        stem, tail = (x.indices.to_numpy(zero_copy_only=False).astype(np.int64) for x in (stems, tails))
+        head, rest, rest_first = n[stem], np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        rest[tailed], rest_first[tailed] = tail_n[tail], (len(ids) + np.cumsum(tail_n) - tail_n)[tail]
+        # Every word is two runs of the table: its stem's ids and its tail's.
+        runs = np.append(np.stack([head, rest], 1).ravel(), 1)
+        froms = np.append(np.stack([first[stem], rest_first], 1).ravel(), len(table) - 1)
+        upto = np.cumsum(runs)
+        sizes = np.append(head + rest, 1)
+        return table[np.repeat(froms - (upto - runs), runs) + np.arange(upto[-1])], np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); every text ends with end_id, a null one is that id alone."""
@@ -149,6 +173,18 @@ def compress(ids: np.ndarray, shares=SHARES, least: int = LEAST) -> tuple[np.nda
     return seq, np.concatenate(rules), base
 
 
+def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """A rule names symbols of earlier rounds only; so many sums at once as a round has rules."""
+    size = np.ones(base + len(rules), np.int64)
+    at = 0
+    while at < len(rules):
+        later = np.flatnonzero(rules[at:].max(1) >= base + at)
+        to = at + int(later[0]) if len(later) else len(rules)
+        size[base + at : base + to] = size[rules[at:to]].sum(1)
+        at = to
+    return size[base:]
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """(lengths, ids): how long each rule expands, and all expansions one after another."""
     whole: list[np.ndarray] = []
@@ -161,7 +197,7 @@ def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
 def pack_block(doc_ids: list, sizes: list[int], flat: np.ndarray) -> bytes:
     """A self-contained block of documents: their doc_ids (None allowed), numbers of ids, and all ids."""
     seq, rules, base = compress(flat)
-    lengths, _ = expansions(rules, base)
+    lengths = expansion_lengths(rules, base)
     alphabet, ranks = _ranked(seq, base + len(rules))
     docs = np.array([d or 0 for d in doc_ids], "<i8").tobytes() + np.array([d is None for d in doc_ids], "u1").tobytes() + np.array(sizes, "<u4").tobytes()
     head = struct.pack(_HEAD, MAGIC, len(doc_ids), base, len(rules), len(alphabet), len(seq))
