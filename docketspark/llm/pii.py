@@ -36,6 +36,8 @@ SPANS = "array<struct<kind:string,start:int,end:int>>"
 HITS = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 #: A pattern needs so many distinct instances, and an instance such a score, to count.
 LEAST_SUPPORT, CONFIDENT, ROUNDS = 3, 0.5, 3
+#: Parts that the join of discovered spans to documents splits each text's copies into.
+SALTS = 16
 
 
 def _digits(x: Column) -> Column:
@@ -98,7 +100,7 @@ def found(docs: DataFrame) -> DataFrame:
     text = F.col("_p_text")
     some = text.rlike("[0-9@]|[(\\[]at[)\\]]")
     loose = F.when(some, F.concat(*[_hits(k, text, LOOSE[k]) for k in KINDS])).otherwise(none)
-    rows = rows.select("doc_id", F.xxhash64("_p_text", F.length("_p_text")).alias("_p_t"), "base", loose.alias("loose"))
+    rows = rows.select("doc_id", F.md5(F.col("_p_text").cast("binary")).alias("_p_t"), "base", loose.alias("loose"))
     apart = F.filter("loose", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     return rows.select("doc_id", "_p_t", "base", apart.alias("loose"))
 
@@ -117,9 +119,9 @@ def _edges(rows: DataFrame) -> DataFrame:
 
 
 def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """word, total: how often each of words stands in docs, copies included."""
+    """word, total: how often each of words stands in docs, copies included. Tasks count before anything moves: Spark would put a semi join below the counting."""
     every = docs.select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
-    return every.join(words.select("word").distinct(), "word", "left_semi")
+    return every.join(words.select("word").distinct(), "word")
 
 
 def scored_instances(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -146,16 +148,20 @@ def personal_data(docs: DataFrame, confident: float = CONFIDENT) -> DataFrame:
     equal texts have equal spans; an empty table gives an empty result; other columns don't matter.
     """
     rows = stored(found(docs), "pii-found")
-    out = rows
-    if rows.where(F.size("loose") > 0).isEmpty():
-        out = rows.withColumn("more", F.array().cast(HITS))
+    none = F.array().cast(HITS)
+    some = rows.where(F.size("loose") > 0)
+    if some.isEmpty():
+        out = rows.withColumn("more", none)
     else:
         edges = stored(_edges(rows), "pii-edges")
-        good = scored_instances(edges, word_totals(docs, edges)).where(F.col("score") >= confident)
-        each = rows.where(F.size("loose") > 0).select("_p_t", F.explode("loose").alias("h")).select("_p_t", "h", F.col("h.kind").alias("kind"), F.col("h.value").alias("value"), F.col("h.start").alias("start"))
+        # Words without candidates can't lead to any.
+        good = scored_instances(edges, word_totals(docs, edges.where("not seed"))).where(F.col("score") >= confident)
+        each = some.select("_p_t", F.explode("loose").alias("h")).select("_p_t", "h", F.col("h.kind").alias("kind"), F.col("h.value").alias("value"), F.col("h.start").alias("start"))
         each = each.dropDuplicates(["_p_t", "kind", "start"]).join(good, ["kind", "value"], "left_semi")
         more = each.groupBy("_p_t").agg(F.collect_list("h").alias("more"))  # one text's candidates
-        out = rows.join(more, "_p_t", "left").withColumn("more", F.coalesce("more", F.array().cast(HITS)))
+        more = more.withColumn("_p_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        some = some.withColumn("_p_s", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(more, ["_p_t", "_p_s"], "left")
+        out = some.select("doc_id", "base", F.coalesce("more", none).alias("more")).union(rows.where(F.size("loose") == 0).select("doc_id", "base", none.alias("more")))
     order = F.map_from_arrays(F.array(*map(F.lit, KINDS)), F.array(*map(F.lit, range(len(KINDS)))))
     all_ = F.array_sort(F.transform(F.concat("base", "more"), lambda h: F.struct(order[h["kind"]].alias("o"), h["start"].alias("start"), h["end"].alias("end"), h["kind"].alias("kind"))))
     plain = lambda h: F.struct(h["kind"].alias("kind"), h["start"].alias("start"), h["end"].alias("end"))
