@@ -43,33 +43,38 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
 BLOCK_ITEMS, BLOCK_WEIGHT, LARGE_GROUP = 256, 4_000_000, 1 << 14
 
 
-def _cells(open_: DataFrame, payload: DataFrame) -> DataFrame:
+def _cells(open_: DataFrame, payload: DataFrame, chained: bool) -> DataFrame:
     """g, i, j, own, id, c, data: the items of block i and block j of a candidate group; own tells an item's block.
 
-    A candidate group holds what shares open bands, directly or through others; of one with LARGE_GROUP items or
-    more every band is a group of its own. Either way two items of one band meet in a cell, and an item is copied
-    once for every BLOCK_ITEMS items of its group.
+    A candidate group holds what shares open bands, directly or through others, so that two items of many common
+    bands meet once; of one with LARGE_GROUP items or more, and of all if not chained, every band is a group of its
+    own. Either way two items of one band meet in a cell, and an item is copied once for every BLOCK_ITEMS items of
+    its group.
     """
-    ends = open_.groupBy("band").agg(F.min("id").alias("lo"))
-    chains = components(open_.join(ends, "band").select(F.col("id").alias("a"), F.col("lo").alias("b")).where("a != b").distinct())
-    sizes = chains.groupBy("component").agg((F.count("*") >= LARGE_GROUP).alias("large"))
-    where = stored(chains.join(sizes, "component").select("id", "component", "large"), "group-chains")
-    placed = open_.join(where, "id")
-    g = F.when(F.col("large"), F.xxhash64("band")).otherwise(F.col("component"))
-    placed = placed.select(g.alias("g"), "large", "id", "c").distinct().join(payload, "id")
+    if chained:
+        ends = open_.groupBy("band").agg(F.min("id").alias("lo"))
+        chains = components(open_.join(ends, "band").select(F.col("id").alias("a"), F.col("lo").alias("b")).where("a != b").distinct())
+        sizes = chains.groupBy("component").agg((F.count("*") >= LARGE_GROUP).alias("large"))
+        where = stored(chains.join(sizes, "component").select("id", "component", "large"), "group-chains")
+        g = F.when(F.col("large"), F.xxhash64("band")).otherwise(F.col("component"))
+        placed = open_.join(where, "id").select(g.alias("g"), "large", "id", "c").distinct()
+    else:
+        placed = open_.select(F.xxhash64("band").alias("g"), F.lit(True).alias("large"), "id", "c")
+    placed = placed.join(payload, "id")
     totals = placed.groupBy("g", "large").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.ceil(F.sum("weight") / BLOCK_WEIGHT), F.lit(1)).cast("int").alias("blocks"))
     placed = placed.join(totals, ["g", "large"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return placed.select("g", "large", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "id", "c", "data")
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, schema: str) -> tuple[DataFrame, DataFrame]:
+def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, schema: str, chained: bool = True) -> tuple[DataFrame, DataFrame]:
     """(id, component) of all items that have a link, and the links found; all links between components, not all links.
 
     rows: band, id; two items may be linked if they share a band. verify(pairs): the rows of pairs (a, b; a < b)
     that are links, stored, in schema. payload(ids): id, weight and data (binary) of ids (id), all that compare
     needs. compare(left, right): of two lists of (id, component, data), a link in the order of schema for each two
-    components that have one; right is None if left is to be compared with itself.
+    components that have one; right is None if left is to be compared with itself. chained: whether two items tend to
+    share many bands (see _cells).
 
     Members of a band are first held against the least and the greatest end of all their bands; where a band still
     spans several components, against its ends from the other components; and where it still does, everything is
@@ -97,7 +102,7 @@ def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: C
             left, right = [x for x, f in zip(items, first, strict=True) if f], [x for x, f in zip(items, first, strict=True) if not f]
             return pd.DataFrame(compare(left, None if i == j else right), columns=[x.split()[0] for x in schema.split(", ")])
 
-        found = _cells(open_, payload(open_.select("id").distinct())).groupBy("g", "large", "i", "j").applyInPandas(crossed, schema)
+        found = _cells(open_, payload(open_.select("id").distinct()), chained).groupBy("g", "large", "i", "j").applyInPandas(crossed, schema)
         links = links.union(stored(found, "group-links"))
         comps = stored(components(links), "components")
     return comps, links
