@@ -40,7 +40,7 @@ def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
 
 
 #: Items in a block, and their weight (see linked), at most about so many; and the items of a candidate group from which its bands stand alone.
-BLOCK_ITEMS, BLOCK_WEIGHT, LARGE_GROUP = 256, 4_000_000, 1 << 14
+BLOCK_ITEMS, BLOCK_WEIGHT, LARGE_GROUP = 256, 1_000_000, 1 << 14
 
 
 def _cells(open_: DataFrame, payload: DataFrame, chained: bool) -> DataFrame:
