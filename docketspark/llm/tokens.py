@@ -117,9 +117,8 @@ class WordEncoder:
         # Every word is two runs of the table: its stem's ids and its tail's.
         runs = np.append(np.stack([head, rest], 1).ravel(), 1)
         froms = np.append(np.stack([first[stem], rest_first], 1).ravel(), len(table) - 1)
-        upto = np.cumsum(runs)
         sizes = np.append(head + rest, 1)
-        return table[np.repeat(froms - (upto - runs), runs) + np.arange(upto[-1])], np.cumsum(sizes) - sizes, sizes
+        return gathered(table, froms, runs), np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids of each text); every text ends with end_id, a null one is that id alone."""
@@ -132,9 +131,8 @@ class WordEncoder:
         table, begins, sizes = self._distinct(small.dictionary, end_id)
         # The end of a text is a word of its own, the last in `sizes`.
         code = np.insert(code.astype(np.int64), np.cumsum(per_text), len(sizes) - 1)
-        n, ends = sizes[code], np.cumsum(sizes[code])
-        flat_ids = table[np.repeat(begins[code] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
-        return flat_ids, np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
+        ends = np.cumsum(sizes[code])
+        return gathered(table, begins[code], sizes[code]), np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
 
 # --- Re-Pair blocks -------------------------------------------------------------------------------------------
@@ -155,10 +153,15 @@ def compress(ids: np.ndarray, shares=SHARES, least: int = LEAST) -> tuple[np.nda
         if not len(often):
             continue
         slot = lambda k: ((k.astype(np.uint64) * _MULTIPLY) >> np.uint64(64 - _SLOTS)).astype(np.intp)
-        used = np.zeros(1 << _SLOTS, bool)
-        used[slot(often)] = True
-        at = np.flatnonzero(used[slot(keys)])
-        rule = np.minimum(np.searchsorted(often, keys[at]), len(often) - 1)
+        used, one = np.zeros(1 << _SLOTS, bool), np.zeros(1 << _SLOTS, np.int32)
+        slots = slot(often)
+        used[slots], one[slots] = True, np.arange(len(often))
+        slots = slot(keys)
+        at = np.flatnonzero(used[slots])
+        rule = one[slots[at]].astype(np.int64)
+        # Where the slot's pair is another one, the pair may be one of several in that slot, or none.
+        other = np.flatnonzero(often[rule] != keys[at])
+        rule[other] = np.minimum(np.searchsorted(often, keys[at[other]]), len(often) - 1)
         hit = often[rule] == keys[at]
         at, rule = at[hit], rule[hit]
         # Of overlapping places, those at even distance from the start of their run.
@@ -185,13 +188,27 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return size[base:]
 
 
-def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """(lengths, ids): how long each rule expands, and all expansions one after another."""
-    whole: list[np.ndarray] = []
-    part = lambda s: whole[s - base] if s >= base else np.array([s], np.uint32)
-    for a, b in rules.tolist():
-        whole.append(np.concatenate([part(a), part(b)]))
-    return np.array([len(w) for w in whole], np.int64), np.concatenate([np.zeros(0, np.uint32), *whole]).astype(np.uint32)
+def gathered(table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """table[begin[0] :][: size[0]], table[begin[1] :][: size[1]] and so on, one after another."""
+    ends = np.cumsum(size)
+    return table[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def expansions(rules: np.ndarray, base: int, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(table, begin, size): symbol s stands for the ids table[begin[s] :][: size[s]]. All rules of a round at once."""
+    size = np.concatenate([np.ones(base, np.int64), lengths])
+    begin = np.cumsum(size) - size
+    table = np.empty(int(size.sum()), np.uint32)
+    table[:base] = np.arange(base, dtype=np.uint32)
+    at = 0
+    while at < len(rules):
+        later = np.flatnonzero(rules[at:].max(1) >= base + at)
+        to = at + int(later[0]) if len(later) else len(rules)
+        part = rules[at:to].ravel()
+        ids = gathered(table, begin[part], size[part])
+        table[begin[base + at] : begin[base + at] + len(ids)] = ids
+        at = to
+    return table, begin, size
 
 
 def pack_block(doc_ids: list, sizes: list[int], flat: np.ndarray) -> bytes:
@@ -237,12 +254,8 @@ class Block:
         self.seq = alphabet[take("<u2" if n_alphabet <= 1 << 16 else "<u4", n_seq)].astype(np.int64)
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
-        lengths, whole = expansions(self.rules, self.base)
-        table = np.concatenate([np.arange(self.base, dtype=np.uint32), whole])
-        size = np.concatenate([np.ones(self.base, np.int64), lengths])[seq]
-        begin = np.concatenate([np.arange(self.base), self.base + np.cumsum(lengths) - lengths])[seq]
-        ends = np.cumsum(size)
-        return table[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+        table, begin, size = expansions(self.rules, self.base, self.lengths)
+        return gathered(table, begin[seq], size[seq])
 
     def ids(self) -> np.ndarray:
         return self._expand(self.seq)
