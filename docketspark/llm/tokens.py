@@ -131,8 +131,9 @@ class WordEncoder:
         table, begins, sizes = self._distinct(small.dictionary, end_id)
         # The end of a text is a word of its own, the last in `sizes`.
         code = np.insert(code.astype(np.int64), np.cumsum(per_text), len(sizes) - 1)
-        ends = np.cumsum(sizes[code])
-        return gathered(table, begins[code], sizes[code]), np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
+        n = sizes[code]
+        ends = np.cumsum(n)
+        return gathered(table, begins[code], n, ends), np.diff(ends[np.cumsum(per_text + 1) - 1], prepend=0)
 
 
 # --- Re-Pair blocks -------------------------------------------------------------------------------------------
@@ -188,9 +189,9 @@ def expansion_lengths(rules: np.ndarray, base: int) -> np.ndarray:
     return size[base:]
 
 
-def gathered(table: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """table[begin[0] :][: size[0]], table[begin[1] :][: size[1]] and so on, one after another."""
-    ends = np.cumsum(size)
+def gathered(table: np.ndarray, begin: np.ndarray, size: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+    """table[begin[0] :][: size[0]], table[begin[1] :][: size[1]] and so on, one after another; ends: the sums of size, if known."""
+    ends = np.cumsum(size) if ends is None else ends
     return table[np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
