@@ -2,9 +2,9 @@
 
 A recording's spectrum is folded into twelve pitch classes a frame. Sixteen filters, differences of areas of that
 image read from its integral image, slide over it; each gives two bits, and the 32 bits of a position are one packed
-integer. Integers KEY_GAP positions apart, taken together, are a recording's keys. The histogram of the offsets at
-which two recordings' keys agree names their alignment, and the share of differing bits there confirms it; so only
-recordings with a common key can align, and all of those are held against each other.
+integer. Two recordings align at the offset with the least share of differing bits. Every two recordings are held
+against each other at every offset with enough overlap: bits written as +1 and -1 make agreement a correlation, so
+that a product of spectra gives the differing bits of all offsets of many pairs at once, whatever the noise.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import by_value, stored
-from docketspark.llm.grouping import linked
+from docketspark.llm.common import by_value, shared_path, stored
+from docketspark.llm.grouping import components
 
 by_value(__name__)
 
@@ -30,12 +30,14 @@ SPAN = 16
 FILTERS = [(k % 4, 5 * k % (13 - (4 + k % 5)), 4 + k % 5, (SPAN, SPAN, 8, 12)[k // 4]) for k in range(16)]
 #: A filter's value is coded by where it lies to -STEP, 0 and STEP.
 STEP = 0.3
-#: A key is two integers so many positions apart: half a window, so that one note that differs spoils few keys.
-KEY_GAP = 8
 #: Most bits that may differ, in hundredths, and least number of integers that must overlap.
 MOST_ERRORS, LEAST_OVERLAP = 20, 40
 #: Frames below this root-mean-square amplitude (full scale 1) are silence.
 SILENCE = 1e-3
+#: Positions of a block that is broadcast, and values that one product of spectra may have.
+BLOCK_PRINTS, PRODUCT = 1 << 18, 1 << 21
+#: Of the 32 bits, those that are looked at first: they rule out most pairs, since all bits differ at least as often as some.
+SIEVE = 22
 
 
 def samples(audio: bytes) -> tuple[np.ndarray, int]:
@@ -95,27 +97,60 @@ def fingerprint(audio: bytes | None) -> np.ndarray:
     return out
 
 
-def keys(prints: np.ndarray) -> np.ndarray:
-    """The key at each position, 0 where one of its integers is silent."""
-    p = prints.astype(np.int64)
-    a, b = p[:-KEY_GAP], p[KEY_GAP:]
-    return np.where((a != 0) & (b != 0), a << 32 | b, 0)
+def _size(n: int) -> int:
+    """The least 2^i, 3 * 2^i or 25 * 2^i from n on: a length with a quick transform."""
+    return min(f << max(0, (-(-n // f) - 1).bit_length()) for f in (1, 3, 25))
 
 
-def align(x: np.ndarray, y: np.ndarray) -> tuple[int, int, int]:
-    """(offset, differing bits, compared bits): x[i] goes with y[i + offset] at the offset at which most keys agree (of equals the least); zeros without a common key."""
-    kx, ky = keys(x), keys(y)
-    order = np.argsort(ky, kind="stable")
-    left, right = np.searchsorted(ky[order], kx, "left"), np.searchsorted(ky[order], kx, "right")
-    n = np.where(kx != 0, right - left, 0)
-    if not n.sum():
+def _spectra(prints: list[np.ndarray], bits: range, size: int) -> np.ndarray:
+    """recordings x bits x frequencies: of +1 and -1 at the positions, 0 behind them."""
+    kind = np.float32 if size <= 1 << 12 else np.float64  # counts stay exact when rounded
+    out = np.zeros((len(prints), len(bits), size // 2 + 1), np.complex64 if kind is np.float32 else np.complex128)
+    for row, p in zip(out, prints, strict=True):
+        row[:] = np.fft.rfft((2 * (p >> np.array(bits, np.uint32)[:, None] & 1).astype(kind) - 1), size, axis=1)
+    return out
+
+
+def _overlap(n, m, at):
+    """Positions in which recordings of n and m overlap at offsets."""
+    return np.maximum(np.minimum(n, m - at) - np.maximum(0, -at), 0)
+
+
+def _places(n: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
+    """The offset that each place of a transform stands for, by pair: where two offsets share a place, the one with more overlap."""
+    at = np.arange(size)
+    n, m = np.asarray(n)[..., None], np.asarray(m)[..., None]
+    return np.where(_overlap(n, m, at) >= _overlap(n, m, at - size), at, at - size)
+
+
+def best_offsets(x: list[np.ndarray], y: list[np.ndarray], least_overlap: int) -> np.ndarray:
+    """(offset, differing bits, compared bits) for each x and y in turn; see align."""
+    n, m = np.array([len(p) for p in x]), np.array([len(p) for p in y])
+    # With so many places an offset of enough overlap shares its place with offsets of no overlap only.
+    size = _size(int(n.max() + m.max()))
+    turn = lambda a, b: np.fft.irfft((a.conj() * b).sum(1), size, axis=1).round().astype(np.int64)
+    agree = turn(_spectra(x, range(32), size), _spectra(y, range(32), size))
+    at = _places(n, m, size)
+    both = _overlap(n[:, None], m[:, None], at)
+    errors, compared = (32 * both - agree) // 2, 32 * both
+    hush = np.flatnonzero([not (p.all() or q.all()) for p, q in zip(x, y, strict=True)])
+    if len(hush):
+        silent = lambda z: np.fft.rfft([np.pad((z[i] == 0).astype(float), (0, size - len(z[i]))) for i in hush], axis=1)[:, None]
+        compared[hush] -= 32 * turn(silent(x), silent(y))
+    valid = compared >= 32 * max(1, least_overlap)
+    share = np.where(valid, errors / np.maximum(compared, 1), 2)
+    least = share == share.min(1, keepdims=True)
+    least &= compared == np.where(least, compared, -1).max(1, keepdims=True)
+    order = np.where(least, at, 1 << 40).argmin(1)
+    rows = np.arange(len(n))
+    return np.where(valid[rows, order, None], np.stack([at[rows, order], errors[rows, order], compared[rows, order]], 1), 0)
+
+
+def align(x: np.ndarray, y: np.ndarray, least_overlap: int = LEAST_OVERLAP) -> tuple[int, int, int]:
+    """(offset, differing bits, compared bits): x[i] goes with y[i + offset] at the offset with the least share of differing bits (of equals the most compared bits, then the least offset) of all that compare least_overlap integers or more; zeros without one. Integers that are silent in both are not compared."""
+    if not len(x) or not len(y):
         return 0, 0, 0
-    at = np.repeat(left - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    offsets, votes = np.unique(order[at] - np.repeat(np.arange(len(kx)), n), return_counts=True)
-    best = int(offsets[np.argmax(votes)])
-    a, b = x[max(0, -best) : len(y) - best], y[max(0, best) : len(x) + best]
-    sound = (a != 0) | (b != 0)
-    return best, int(np.bitwise_count(a[sound] ^ b[sound]).sum()), 32 * int(sound.sum())
+    return tuple(best_offsets([x], [y], least_overlap)[0].tolist())
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -131,19 +166,6 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.select("rec_id", "audio").mapInArrow(taken, "rec_id long, n_prints long, digest binary, prints binary")
 
 
-def _keys(reps: DataFrame) -> DataFrame:
-    """band, id: the distinct keys of each recording, without silence."""
-
-    def each(batches):
-        for b in batches:
-            own = [np.unique(keys(np.frombuffer(p, "<u4"))) for p in b.column("prints").to_pylist()]
-            own = [k[k != 0] for k in own]
-            ids = np.repeat(b.column("id").to_numpy(), [len(k) for k in own])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *own])), pa.array(ids, pa.int64())], names=["band", "id"])
-
-    return reps.mapInArrow(each, "band long, id long")
-
-
 LINK = ["a", "b", "offset", "bit_errors", "compared_bits"]
 
 
@@ -152,32 +174,107 @@ def _sound(alignment: tuple[int, int, int], most_errors: int, least_overlap: int
     return compared >= 32 * least_overlap and 100 * errors <= most_errors * compared
 
 
-def compare_prints(left: list, right: list | None, most_errors: int, least_overlap: int) -> list[tuple]:
-    """A link for each two components in lists of (id, component, prints) that have one."""
-    out, read = {}, lambda x: np.frombuffer(x, "<u4")
-    for i, (a, c, x) in enumerate(left):
-        for b, d, y in left[i + 1 :] if right is None else right:
-            key = (min(c, d), max(c, d))
-            if c != d and key not in out:
-                (p, u), (q, v) = ((a, x), (b, y)) if a < b else ((b, y), (a, x))
-                got = align(read(u), read(v))
-                if _sound(got, most_errors, least_overlap):
-                    out[key] = (p, q, *got)
-    return list(out.values())
-
-
-def _aligned(pairs: DataFrame, reps: DataFrame, most_errors: int, least_overlap: int) -> DataFrame:
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("prints").alias(f"{x}p"))
-
-    def tested(batches):
-        for t in batches:
-            got = [align(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for x, y in zip(t.column("ap").to_pylist(), t.column("bp").to_pylist(), strict=True)]
-            good = [_sound(g, most_errors, least_overlap) for g in got]
-            cols = [t.column("a"), t.column("b"), *[pa.array([g[i] for g in got], pa.int64()) for i in range(3)]]
-            yield pa.RecordBatch.from_arrays(cols, names=LINK).filter(pa.array(good, pa.bool_()))
+class Block:
+    """Recordings (id, prints) that others are held against, with their spectra by size."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        self.ids, self.prints = np.array([i for i, _ in items], np.int64), [np.frombuffer(p, "<u4") for _, p in items]
+        self.lengths, self.spectra = np.array([len(p) for p in self.prints]), {}
+
+    def candidates(self, x: list[np.ndarray], most_errors: int, least_overlap: int):
+        """Runs of (places in x, places in the block) of all pairs that the SIEVE bits don't rule out at some offset."""
+        n = np.array([len(p) for p in x])
+        size = _size(int(n.max() + self.lengths.max()) - least_overlap + 1)  # offsets of enough overlap have places of their own
+        bits = SIEVE if 64 * most_errors < 100 * SIEVE else 32  # fewer would ask for less agreement with more overlap
+        if (size, bits) not in self.spectra:
+            self.spectra = {(size, bits): np.ascontiguousarray(_spectra(self.prints, range(bits), size).transpose(2, 1, 0))}
+        right, most = self.spectra[size, bits], max(1, PRODUCT // (size * len(self.prints)))
+        for at in range(0, len(x), most):
+            left = np.ascontiguousarray(_spectra(x[at : at + most], range(bits), size).conj().transpose(2, 0, 1))
+            agree = np.fft.irfft(np.matmul(left, right), size, axis=0)
+            # The least overlap of any of these pairs at a place; silence compares fewer bits, which asks for more agreement.
+            low = (int(n[at : at + most].min()), int(self.lengths.min()))
+            both = np.maximum(_overlap(*low, _places(*low, size)), least_overlap)
+            asked = bits * both - 2 * np.floor(32 * both * most_errors / 100) - 0.5
+            if most_errors >= 50:
+                asked[:] = -np.inf
+            yield at, np.nonzero((agree >= asked[:, None, None].astype(agree.dtype)).any(0))
+
+
+def compare(ids: np.ndarray, prints: list[np.ndarray], same: bool, block: Block, most_errors: int, least_overlap: int) -> list[tuple]:
+    """Links between recordings and a block (each two once if the recordings are of that block): of every recording the best, and so many others that they connect all that links connect."""
+    root, best, tree = {}, {}, {}
+
+    def find(i):
+        while root.setdefault(i, i) != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    for at, (i, j) in block.candidates(prints, most_errors, least_overlap):
+        i = i + at
+        if same:
+            i, j = i[ids[i] < block.ids[j]], j[ids[i] < block.ids[j]]
+        step = max(1, PRODUCT // (64 * int(max(len(p) for p in prints) + block.lengths.max())))
+        for k in range(0, len(i), step):
+            a, b = ids[i[k : k + step]], block.ids[j[k : k + step]]
+            u, v = [prints[p] for p in i[k : k + step]], [block.prints[q] for q in j[k : k + step]]
+            pairs = [(x, y) if p < q else (y, x) for p, q, x, y in zip(a, b, u, v, strict=True)]
+            got = best_offsets([x for x, _ in pairs], [y for _, y in pairs], least_overlap)
+            good = (got[:, 2] >= 32 * least_overlap) & (100 * got[:, 1] <= most_errors * got[:, 2])
+            for p, q, g in zip(np.minimum(a, b)[good].tolist(), np.maximum(a, b)[good].tolist(), got[good].tolist(), strict=True):
+                link, share = (p, q, *g), g[1] / g[2]
+                for own, other in ((p, q), (q, p)):
+                    if own not in best or (share, other) < best[own][0]:
+                        best[own] = ((share, other), link)
+                x, y = find(p), find(q)
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    tree[p, q] = link
+    return list({**tree, **{x[:2]: x for _, x in best.values()}}.values())
+
+
+def links_of(reps: DataFrame, most_errors: int, least_overlap: int) -> DataFrame:
+    """Links between reps (id, prints), every two held against each other: see compare for those that are returned.
+
+    Recordings of like length form blocks of about BLOCK_PRINTS positions. A block at a time is broadcast and all
+    recordings of it and later blocks pass by, so nothing is shuffled and a task holds one block, however many there are.
+    """
+    spark, least_overlap, size = reps.sparkSession, max(1, least_overlap), F.expr("length(prints) div 4")
+    reps = reps.where(size >= least_overlap).withColumn("_m_class", F.length(F.bin(size)))
+    sizes = reps.groupBy("_m_class").agg(F.ceil(F.sum(size) / BLOCK_PRINTS).cast("int").alias("blocks"))
+    first = F.sum("blocks").over(Window.orderBy("_m_class")) - F.col("blocks")  # a row for each power of two of lengths
+    blocks = F.broadcast(sizes.withColumn("first", first))
+    own = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
+    # Few bytes, much work: the files are so many that all cores have some.
+    reps = reps.join(blocks, "_m_class").select("id", "prints", own.alias("block")).repartition(2 * spark.sparkContext.defaultParallelism, "id")
+    reps = stored(reps, "media-blocks")
+    n = reps.agg(F.max("block")).first()[0]
+    schema, path = ", ".join(f"{c} long" for c in LINK), shared_path(spark, "media-links")
+    if n is None:
+        return spark.createDataFrame([], schema)
+    for k in range(n + 1):
+        # Bounded by BLOCK_PRINTS (or one recording's length) up to the spread of the hash.
+        items = [(r.id, bytes(r.prints)) for r in reps.where(F.col("block") == k).select("id", "prints").collect()]
+        if items:
+            _against(reps.where(F.col("block") >= k), k, items, most_errors, least_overlap).write.mode("append").parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _against(reps: DataFrame, k: int, items: list, most_errors: int, least_overlap: int) -> DataFrame:
+    shared = reps.sparkSession.sparkContext.broadcast(items)
+
+    def held(batches):
+        block = Block(shared.value)
+        for b in batches:
+            ids, at = b.column("id").to_numpy(), b.column("block").to_numpy()
+            prints = [np.frombuffer(p, "<u4") for p in b.column("prints").to_pylist()]
+            kinds = np.array([2 * len(p).bit_length() + (i == k) for p, i in zip(prints, at, strict=True)])
+            for kind in np.unique(kinds):  # like lengths together
+                rows = np.flatnonzero(kinds == kind)
+                got = compare(ids[rows], [prints[r] for r in rows], bool(kind & 1), block, most_errors, least_overlap)
+                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(5)], names=LINK)
 
-    out = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(tested, ", ".join(f"{n} long" for n in LINK))
-    return stored(out, "media-links")
+    return reps.mapInArrow(held, ", ".join(f"{c} long" for c in LINK))
 
 
 def align_recordings(media: DataFrame, most_errors: int = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
@@ -193,14 +290,8 @@ def align_recordings(media: DataFrame, most_errors: int = MOST_ERRORS, least_ove
     classes = stored(prints.where("digest is not null").groupBy("digest").agg(F.min("rec_id").alias("id")), "media-classes")
     reps = prints.join(classes.select("digest", F.col("id").alias("rec_id")), ["digest", "rec_id"]).select(F.col("rec_id").alias("id"), "prints")
     reps = stored(reps.dropDuplicates(["id"]), "media-reps")
-    comps, links = linked(
-        _keys(reps),
-        lambda pairs: _aligned(pairs, reps, most_errors, least_overlap),
-        lambda ids: reps.join(ids, "id", "left_semi").select("id", F.length("prints").cast("long").alias("weight"), F.col("prints").alias("data")),
-        lambda left, right: compare_prints(left, right, most_errors, least_overlap),
-        ", ".join(f"{c} long" for c in LINK),
-        chained=False,
-    )
+    links = links_of(reps, most_errors, least_overlap)
+    comps = components(links)
     both = links.select(F.col("a").alias("id"), F.col("b").alias("to"), "offset", "bit_errors", "compared_bits").union(links.select("b", "a", -F.col("offset"), "bit_errors", "compared_bits"))
     best = both.groupBy("id").agg(F.min(F.struct((F.col("bit_errors") / F.col("compared_bits")).alias("r"), "to", "offset", "bit_errors", "compared_bits")).alias("m"))
     whole = classes.join(comps, "id", "left").join(best, "id", "left")

@@ -189,6 +189,57 @@ def test_components_match_brute_force_alignments(spark):
     assert {r.rec_id: r.component_id for r in media.align_recordings(df).collect()} == {i: find(root, i) for i in prints}
 
 
+def plain_best(x, y, least_overlap=media.LEAST_OVERLAP):
+    """Every offset in turn: (differing bits / compared bits, -compared, offset)."""
+    out = []
+    for at in range(-len(x), len(y) + 1):
+        a, b = x[max(0, -at) : len(y) - at], y[max(0, at) : len(x) + at]
+        sound = (a != 0) | (b != 0)
+        if sound.sum() >= least_overlap:
+            out.append((int(np.bitwise_count(a[sound] ^ b[sound]).sum()) / (32 * int(sound.sum())), -32 * int(sound.sum()), at))
+    return min(out, default=None)
+
+
+def noisy_prints():
+    """Parts of twelve fingerprints with 0 to 22 % of their bits turned, some with silence, and one that is long."""
+    gen, out = np.random.default_rng(6), {}
+    base = [gen.integers(1, 1 << 32, 150, dtype=np.uint32) for _ in range(12)]
+    for i in range(90):
+        x = base[i % 12][i % 5 * 7 : 150 - i % 7 * 9].copy()
+        for bit in range(32):
+            x ^= (gen.random(len(x)) < (i % 12 * 2 % 23 if i >= 12 else 0) / 100).astype(np.uint32) << np.uint32(bit)
+        if i % 8 == 3:
+            x = np.concatenate([np.zeros(i % 30, np.uint32), x, np.zeros(4, np.uint32)])
+        out[i] = x
+    out[90] = np.concatenate([gen.integers(1, 1 << 32, 5000, dtype=np.uint32), base[3][20:80]])
+    out[91] = base[4][:39]
+    return out
+
+
+def test_alignments_match_every_offset_of_noisy_prints(spark, monkeypatch):
+    prints = noisy_prints()
+    want = {p: plain_best(prints[p[0]], prints[p[1]]) for p in combinations(prints, 2)}
+    for (a, b), w in want.items():
+        got = media.align(prints[a], prints[b])
+        assert got == ((w[2], round(-w[0] * w[1]), -w[1]) if w else (0, 0, 0))
+    links = {p: w for p, w in want.items() if w and w[0] <= media.MOST_ERRORS / 100}
+    assert sum(w[0] > 0.1 for w in links.values()) > 50 and any(w[0] > 0.18 for w in links.values())
+    monkeypatch.setattr(media, "BLOCK_PRINTS", 1000)  # many blocks
+    reps = spark.createDataFrame([(i, bytearray(p.astype("<u4").tobytes())) for i, p in prints.items()], "id long, prints binary")
+    got = {(r.a, r.b): r for r in media.links_of(reps, media.MOST_ERRORS, media.LEAST_OVERLAP).collect()}
+    assert got and got.keys() <= links.keys()
+    for i in prints:  # the best link of each, and so all recordings that have one
+        best = min((w[0], a + b - i) for (a, b), w in [*links.items(), ((i, i), (2,))] if i in (a, b))
+        mine = min(((r.bit_errors / r.compared_bits, a + b - i) for (a, b), r in got.items() if i in (a, b)), default=(2, i))
+        assert mine == best, i
+    root, other = {i: i for i in prints}, {i: i for i in prints}
+    for tree, pairs in ((root, links), (other, got)):
+        for a, b in pairs:
+            x, y = find(tree, a), find(tree, b)
+            tree[max(x, y)] = min(x, y)
+    assert [find(root, i) for i in prints] == [find(other, i) for i in prints]
+
+
 def find(root, x):
     while root[x] != x:
         x = root[x]
