@@ -106,16 +106,18 @@ def found(docs: DataFrame) -> DataFrame:
 
 
 def _edges(rows: DataFrame) -> DataFrame:
-    """kind, value, seed, side, word, n: how often each instance stands beside each word. Copies of a text count once."""
+    """kind, value, seed, side, word, n: how often each instance stands beside each word, copies of a text included, as in word_totals."""
     hits = F.concat(
         F.transform("base", lambda h: F.struct(h.alias("h"), F.lit(True).alias("seed"))),
         F.transform("loose", lambda h: F.struct(h.alias("h"), F.lit(False).alias("seed"))),
     )
     one = rows.where((F.size("base") > 0) | (F.size("loose") > 0)).select("_p_t", F.explode(hits).alias("x"))
     one = one.select("_p_t", "x.h.kind", "x.h.value", "x.h.start", "x.h.before", "x.h.after", "x.seed").dropDuplicates(["_p_t", "kind", "start"])
+    copies = rows.groupBy("_p_t").agg(F.count("*").alias("copies"))
+    one = one.join(copies, "_p_t")
     sides = F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("word")), F.struct(F.lit("after").alias("side"), F.col("after").alias("word")))
-    out = one.select("kind", "value", "seed", F.explode(sides).alias("s")).select("kind", "value", "seed", "s.side", "s.word")
-    return out.where("word != ''").groupBy("kind", "value", "seed", "side", "word").agg(F.count("*").alias("n"))
+    out = one.select("kind", "value", "seed", "copies", F.explode(sides).alias("s")).select("kind", "value", "seed", "copies", "s.side", "s.word")
+    return out.where("word != ''").groupBy("kind", "value", "seed", "side", "word").agg(F.sum("copies").alias("n"))
 
 
 def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:

@@ -167,6 +167,16 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert not any(more[i] for i in more if i not in (12, 13, 14))
 
 
+def test_copies_leave_discoveries_alone(spark):
+    texts = [f"Some words here. Mail: user{i}@site{i}.org thanks and goodbye" for i in range(12)]
+    texts += [f"Other words. Mail: john.doe{i}(at)corp{i} thanks" for i in range(3)]
+    rows = personal_data(spark.createDataFrame(list(enumerate(texts * 5)), "doc_id long, text string")).collect()
+    assert len(rows) == 75
+    for r in rows:
+        more = {tuple(s) for s in r.spans} - {tuple(s) for s in r.base}
+        assert len(more) == (r.doc_id % 15 >= 12), r.doc_id
+
+
 @pytest.mark.parametrize("name", ["op5_adaptive_rules", "op7_source_mix"])
 def test_registered_queries_match_sql(spark, tmp_path, name):
     sf = Path("/root/testdata/sf0.001")
