@@ -22,13 +22,25 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
+_PEM = re.compile(r"-----BEGIN ([A-Z ]{0,40}PRIVATE KEY)-----")
+#: A key's body without an END line: header lines, lines of base64 alone and longer runs of it, also quoted or with \\n for line ends.
+_BODY = re.compile(r"""(?:(?:[\x20\t\r\n>"',]|\\[nr])*+(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*+|[A-Za-z0-9+/=]++(?=[\x20\t]*+(?:[\r\n"'\\]|\Z))|[A-Za-z0-9+/=]{16,}+))*+""")
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 
 
+def _keys(text: str) -> list[tuple[str, int, int]]:
+    """Private keys from the BEGIN line through the matching END line, or through the body if the next key or the text's end comes first."""
+    heads, out = list(_PEM.finditer(text)), []
+    for m, limit in zip(heads, [h.start() for h in heads[1:]] + [len(text)], strict=True):
+        foot = f"-----END {m[1]}-----"
+        at = text.find(foot, m.end(), limit)
+        out.append(("pem", m.start(), at + len(foot) if at >= 0 else _BODY.match(text, m.end(), limit).end()))
+    return out
+
+
 def scan(raw: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start and then kind. Cheap byte searches rule out most texts first."""
     low, found, text = raw.lower(), [], None
@@ -43,7 +55,7 @@ def scan(raw: bytes) -> list[tuple[str, int, int]]:
         found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if b"-----BEGIN " in raw:
         text = text or raw.decode("utf-8", "replace")
-        found += [("pem", *m.span()) for m in _PEM.finditer(text)]
+        found += _keys(text)
     if b"eyJ" in raw:
         text = text or raw.decode("utf-8", "replace")
         found += [("jwt", *m.span()) for m in _JWT.finditer(text)]

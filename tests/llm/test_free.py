@@ -484,3 +484,17 @@ def test_redaction_masks_findings_and_keeps_the_rest(spark):
                 out += text[end:a] + "[SECRET]"
             end = max(end, b)
         assert r.text == out + text[end:] and r.n_chars == len(r.text)
+
+
+def test_private_keys_are_redacted_with_their_body(spark):
+    lines = ["".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(64)) for _ in range(6)] + ["c2hvcnQ="]
+    body, escaped = "\n".join(lines), "\\n".join(lines)
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = [
+        f"before\n{begin}\n{body}\n{end}\nand after it", f"before {begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB\n\n{body}\n\nand after it", f"{{'k': '{begin}\\n{escaped}\\n{end}\\n'}} and after it",
+        f"{begin}\r\n{body}", f"{begin}\n{body}\n{begin}\n{body}\n{end} and after it", f"the line {begin} and after it", f"{begin}\n{body}\n-----END PRIVATE KEY----- and after it",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in secrets.redacted(docs).collect():
+        assert not any(x in r.text for x in lines) and "BEGIN" not in r.text and not secrets.scan(r.text.encode())
+        assert r.doc_id == 3 or r.text.endswith("and after it")
