@@ -68,9 +68,13 @@ def media_conflict(declared: Column, detected: Column) -> Column:
 # --- file names -------------------------------------------------------------------------------------------------
 
 
+def base_name(name: Column) -> Column:
+    """What follows the last slash, of either kind."""
+    return F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
+
+
 def display_filename(name: Column, media: Column) -> Column:
-    last = F.substring_index(F.replace(name, F.lit("\\"), F.lit("/")), "/", -1)
-    clean = trim_white(F.regexp_replace(trim_white(F.regexp_replace(last, r"\p{Cc}", " ")), r"\A\.+|\.+\z", ""))
+    clean = trim_white(F.regexp_replace(trim_white(F.regexp_replace(base_name(name), r"\p{Cc}", " ")), r"\A\.+|\.+\z", ""))
     short = trim_white(F.substring(clean, 1, S.FILENAME_MAX))
     return F.coalesce(F.nullif(short, F.lit("")), F.concat(F.lit("upload."), choose(media, EXTENSIONS)))
 
@@ -165,6 +169,12 @@ STATUS_LABELS = [
 BYTE_UNITS = ("Б", "КиБ", "МиБ", "ГиБ")
 
 
+def status_presentation(status: Column) -> Column:
+    """label, hint and tone of a material's status; an unknown one is its own label."""
+    of = lambda k: {row[0]: row[k] for row in STATUS_LABELS}
+    return F.struct(choose(status, of(1), status).alias("label"), choose(status, of(2), F.lit("")).alias("hint"), choose(status, of(3), F.lit("neutral")).alias("tone"))
+
+
 def retry_refusal(status: Column) -> Column:
     return choose(status, RETRY_MESSAGES)
 
@@ -222,7 +232,3 @@ def parse_count(x: Column) -> Column:
     """A non-negative integer, else null."""
     word = trim_white(x)
     return F.when(word.rlike(r"\A\+?[0-9]+\z"), word.try_cast("decimal(20,0)"))
-
-
-def nonempty(x: Column) -> Column:
-    return F.nullif(x, F.lit(""))

@@ -29,32 +29,39 @@ def first_over_limit(chunks: DataFrame, limit: int, keys: list[str], order: list
 
 
 def receive(parts: DataFrame, max_bytes: int = S.MAX_UPLOAD_BYTES, other_bytes: int = S.OTHER_FIELDS_MAX_BYTES) -> DataFrame:
-    """A row a request: its one file with error_code (null if accepted), media_type, sha256 and display name.
+    """A row a request: its one file with seq, error_code (null if accepted), media_type, size_bytes, sha256 and display name.
 
     parts: see schemas.UPLOAD_PARTS, one row a whole part. Exactly one part must be named file; the other parts
-    together may have other_bytes bytes.
+    together may have other_bytes bytes. Bytes are typed, measured and hashed where they are read and don't move;
+    with_content brings them back for the requests that need them.
     """
-    is_file = F.col("part_name") == "file"
-    size = F.octet_length("content").cast("long")
-    files = F.struct("seq", "filename", "declared_type", "content")
-    one = parts.groupBy("request_id", "bureau_id", "partner_id").agg(
-        F.count_if(is_file).alias("files"),
-        F.coalesce(F.sum(F.when(~is_file, size)), F.lit(0)).alias("other_bytes"),
+    is_file, content = F.col("part_name") == "file", F.col("content")
+    size = F.coalesce(F.octet_length(content), F.lit(0)).cast("long")
+    facts = F.struct("seq", "filename", "declared_type", detect_media_type(content).alias("media_type"), size.alias("size_bytes"), sha256_hex(content).alias("sha256"))
+    light = parts.select("request_id", "bureau_id", "partner_id", "arrival", is_file.alias("is_file"), size.alias("size"), F.when(is_file, facts).alias("f"))
+    one = light.groupBy("request_id", "bureau_id", "partner_id").agg(
+        F.count_if("is_file").alias("files"),
+        F.coalesce(F.sum(F.when(~F.col("is_file"), F.col("size"))), F.lit(0)).alias("other_bytes"),
         F.min("arrival").alias("arrival"),
-        F.min_by(F.when(is_file, files), F.when(is_file, F.col("seq"))).alias("f"),
+        F.min("f").alias("f"),
     )
-    one = one.select("request_id", "bureau_id", "partner_id", "arrival", "files", "other_bytes", "f.filename", "f.declared_type", "f.content")
-    one = one.withColumn("size_bytes", F.coalesce(F.octet_length("content"), F.lit(0)).cast("long")).withColumn("media_type", detect_media_type(F.col("content")))
+    one = one.select("request_id", "bureau_id", "partner_id", "arrival", "files", "other_bytes", "f.*").withColumn("size_bytes", F.coalesce("size_bytes", F.lit(0).cast("long")))
     error = (
         F.when(F.col("files") != 1, F.lit("validation_failed"))
         .when(F.col("other_bytes") > other_bytes, F.lit("payload_too_large"))
         .when(file_size_error(F.col("size_bytes"), max_bytes).isNotNull(), file_size_error(F.col("size_bytes"), max_bytes))
         .otherwise(media_conflict(F.col("declared_type"), F.col("media_type")))
     )
-    one = one.withColumn("error_code", error).withColumn("sha256", sha256_hex(F.col("content")))
+    one = one.withColumn("error_code", error)
     return one.withColumn("filename", display_filename(F.coalesce("filename", F.lit("")), F.col("media_type"))).drop("files", "other_bytes")
 
 
+def with_content(received: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of receive() with the content of their file."""
+    files = parts.where(F.col("part_name") == "file").select("request_id", "bureau_id", "partner_id", "seq", "content")
+    return received.join(files, ["request_id", "bureau_id", "partner_id", "seq"])
+
+
 def first_of_each(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key; the group is reduced to its least row before the shuffle."""
     others = [c for c in rows.columns if c not in keys and c not in order]

@@ -75,6 +75,6 @@ def count_by_status(jobs: DataFrame, bureau_id: str | None) -> DataFrame:
     return job_statuses(tenant_scope(jobs, bureau_id)).groupBy("status").agg(F.count("*").alias("total"))
 
 
-def any_pending(materials: DataFrame) -> DataFrame:
-    """One row: pending (boolean), false for an empty list."""
-    return materials.agg(F.coalesce(F.bool_or(F.col("status").isin("queued", "processing")), F.lit(False)).alias("pending"))
+def any_pending(materials: DataFrame, *by: str) -> DataFrame:
+    """pending (boolean) of each group, or one row for the whole list, false if it is empty."""
+    return materials.groupBy(*by).agg(F.coalesce(F.bool_or(F.col("status").isin("queued", "processing")), F.lit(False)).alias("pending"))

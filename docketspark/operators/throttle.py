@@ -1,21 +1,52 @@
-"""Ordered per-key state machines as folds: the login throttle and the replay of session use.
+"""Ordered per-key state machines: the login throttle and the replay of session use.
 
-Neither clock-aligned nor session windows have these semantics: a window starts with the first attempt that opens it,
-and a refused attempt changes state too. The fold runs inside Catalyst over each key's sorted events. A key's events
-are first cut into runs that the state can't outlive, so that a hot key is many small groups.
+Neither clock-aligned nor session windows have the throttle's semantics: a window starts with the first attempt that
+opens it, and a refused attempt changes state too. Events are dealt out by key, sorted, and pass by one after another,
+so that a key of any number of events takes linear time and the memory of one state. A key's events are first cut
+into runs that the state can't outlive, so that a hot key with pauses is many groups.
 """
 
 from __future__ import annotations
 
+import sys
+
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Attempts in the window, the window's start and the lock's end (microseconds).
+NOTHING = (0, None, None)
+
+
+def decide(state: tuple, t: int, success: bool, most: int, window: int, lockout: int) -> tuple[tuple, bool | None, int | None]:
+    """(state after the event, admitted, time left); the latter null for a success or if admitted."""
+    n, w, lock = state
+    if success:
+        return NOTHING, None, None
+    if lock is not None and lock > t:
+        return state, False, lock - t
+    if w is None or lock is not None or t - w > window:
+        n, w = 0, t
+    if n >= most:
+        return (n, w, t + lockout), False, lockout
+    return (n + 1, w, None), True, None
 
-def _runs(events: DataFrame, gap_us: int) -> DataFrame:
-    """events with run: a new one begins after more than gap_us without an event of the key."""
-    w = Window.partitionBy("key").orderBy("t", "id")
-    fresh = F.col("t") - F.lag("t").over(w) > gap_us
-    return events.withColumn("run", F.sum(F.coalesce(fresh, F.lit(False)).cast("long")).over(w))
+
+def _runs(events: DataFrame, gap: int) -> DataFrame:
+    """events with run: a new one begins where the key had no event for more than gap.
+
+    Within a block of gap there is no such pause, so the ends of blocks tell: they are few, and a hot key's events are
+    reduced to them before they move.
+    """
+    block = F.floor(F.col("t") / gap)
+    ends = events.groupBy(F.col("key").alias("_k"), block.alias("_b")).agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
+    w = Window.partitionBy("_k").orderBy("_b")
+    fresh = F.coalesce(F.col("lo") - F.lag("hi").over(w) > gap, F.lit(False)).cast("long")
+    runs = ends.withColumn("fresh", fresh).select("_k", "_b", F.sum("fresh").over(w).alias("run"))
+    return events.withColumn("block", block).join(runs, F.col("key").eqNullSafe(F.col("_k")) & (F.col("block") == F.col("_b"))).drop("block", "_k", "_b")
 
 
 def throttle(events: DataFrame, most: int, window_seconds: int, lockout_seconds: int) -> DataFrame:
@@ -24,38 +55,28 @@ def throttle(events: DataFrame, most: int, window_seconds: int, lockout_seconds:
     events: key, id, at (timestamp) and kind: attempt or success. A window begins with the attempt that finds none
     and ends when more than window_seconds have passed; attempt most + 1 within it locks the key for
     lockout_seconds, during which attempts are refused with the time left. At the lock's end, and after a
-    success, everything starts afresh. Rows of success have a null admitted.
+    success, everything starts afresh. Rows of success have a null admitted. A null key is a key.
     """
     us = 1_000_000
-    window, lockout = window_seconds * us, lockout_seconds * us
+    window, lockout, columns = window_seconds * us, lockout_seconds * us, len(events.columns)
     timed = events.withColumn("t", F.unix_micros(F.col("at").cast("timestamp")))
-    runs = _runs(timed, max(window, lockout))
-    item = F.struct("t", "id", "kind", F.struct(*events.columns).alias("row"))
-    seq = runs.groupBy("key", "run").agg(F.array_sort(F.collect_list(item)).alias("seq"))
-    nothing = F.lit(None).cast("long")
-    verdict = F.struct(F.lit(None).cast("boolean").alias("admitted"), nothing.alias("retry_after_us"))
-    start = F.struct(F.lit(0).alias("n"), nothing.alias("w"), nothing.alias("l"), F.array(verdict).alias("out"))
-
-    def step(acc, e):
-        t = e["t"]
-        success = e["kind"] == "success"
-        locked = F.coalesce(acc["l"] > t, F.lit(False))
-        fresh = acc["w"].isNull() | acc["l"].isNotNull() | (t - acc["w"] > window)
-        n = F.when(fresh, F.lit(0)).otherwise(acc["n"])
-        full = n >= most
-        admitted = ~success & ~locked & ~full
-        wait = F.when(locked, acc["l"] - t).when(full, F.lit(lockout).cast("long"))
-        said = F.struct(F.when(~success, admitted).alias("admitted"), F.when(~success, wait).alias("retry_after_us"))
-        return F.struct(
-            F.when(success, 0).when(locked, acc["n"]).when(full, n).otherwise(n + 1).cast("int").alias("n"),
-            F.when(success, nothing).when(locked, acc["w"]).when(fresh, t).otherwise(acc["w"]).alias("w"),
-            F.when(success, nothing).when(locked, acc["l"]).when(full, t + lockout).otherwise(nothing).alias("l"),
-            F.concat(acc["out"], F.array(said)).alias("out"),
-        )
-
-    said = F.slice(F.aggregate("seq", start, step)["out"], 2, F.greatest(F.size("seq"), F.lit(1)))
-    rows = seq.select(F.explode(F.arrays_zip("seq", said.alias("said"))).alias("x"))
-    return rows.select("x.seq.row.*", "x.said.admitted", "x.said.retry_after_us")
+    runs = _runs(timed, max(window, lockout)).select(*events.columns, "t", "run")
+
+    def folded(batches):
+        own, state = None, NOTHING
+        for b in batches:
+            admitted, wait = [], []
+            for key, run, t, kind in zip(*(b.column(c).to_pylist() for c in ("key", "run", "t", "kind")), strict=True):
+                if own != (key, run):
+                    own, state = (key, run), NOTHING
+                state, a, left = decide(state, t, kind == "success", most, window, lockout)
+                admitted.append(a)
+                wait.append(left)
+            yield pa.RecordBatch.from_arrays([*b.columns[:columns], pa.array(admitted, pa.bool_()), pa.array(wait, pa.int64())], names=[*b.schema.names[:columns], "admitted", "retry_after_us"])
+
+    ordered = runs.repartition("key", "run").sortWithinPartitions("key", "run", "t", "id")
+    said = events.select("*", F.lit(None).cast("boolean").alias("admitted"), F.lit(None).cast("long").alias("retry_after_us"))
+    return ordered.mapInArrow(folded, said.schema)
 
 
 def replay_touches(events: DataFrame, idle_seconds: int, ttl_seconds: int) -> DataFrame:

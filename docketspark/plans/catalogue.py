@@ -12,10 +12,11 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketspark import schemas as S
 from docketspark.functions import scalars as X
 from docketspark.functions import validation as V
 from docketspark.operators import ingest, maintenance, reads, throttle, transitions
-from docketspark.operators.tenancy import foreign_rows, tenant_scope
+from docketspark.operators.tenancy import bureau_by_slug, foreign_rows, tenant_scope
 from docketspark.sources.bodies import list_response, patch_body
 from docketspark.sources.tables import test_table
 
@@ -99,27 +100,127 @@ def exists_probe(spark, sf_dir):
     return reads.partner_exists(partners(spark, sf_dir), BUREAU, BUREAU)
 
 
-@query("SELECT event_type AS status, count(*) AS total FROM events WHERE user_id = 5 GROUP BY event_type")
+@query("SELECT CASE WHEN event_type = 'click' THEN 'running' ELSE 'queued' END AS status, count(*) AS total FROM events GROUP BY 1")
 def status_count(spark, sf_dir):
-    e = tenant_scope(test_table(spark, sf_dir, "events"), "5", "user_id")
-    return e.groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("total"))
+    return reads.count_by_status(jobs(spark, sf_dir), BUREAU)
 
 
 @query("SELECT source, bool_or(lang IN ('de', 'fr')) AS pending FROM documents GROUP BY source")
 def any_pending(spark, sf_dir):
     d = test_table(spark, sf_dir, "documents")
-    return d.groupBy("source").agg(F.bool_or(F.col("lang").isin("de", "fr")).alias("pending"))
+    status = F.when(F.col("lang") == "de", "queued").when(F.col("lang") == "fr", "processing").otherwise("completed")
+    return reads.any_pending(d.select("source", status.alias("status")), "source")
 
 
 @query("SELECT doc_id, source FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def partner_guard(spark, sf_dir):
     d, known = test_table(spark, sf_dir, "documents"), test_table(spark, sf_dir, "labels")
-    return d.join(known.select("doc_id"), "doc_id", "left_semi").select("doc_id", "source")
+    children = d.select("doc_id", "source", F.lit(BUREAU).alias("bureau_id"), uuid_like(F.col("doc_id")).alias("partner_id"))
+    there = known.select(F.lit(BUREAU).alias("bureau_id"), uuid_like(F.col("doc_id")).alias("id"))
+    return reads.with_partner(children, there).select("doc_id", "source")
 
 
-@query("SELECT key AS page_id FROM (SELECT page_id AS key FROM pages ORDER BY page_id LIMIT 17)")
+def materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as materials of one tenant, their source as the partner."""
+    d = test_table(spark, sf_dir, "documents")
+    at, none = F.timestamp_seconds(F.col("doc_id")), F.lit(None).cast("string")
+    status = X.choose(F.col("doc_id") % 6, dict(enumerate(S.MATERIAL_STATUS)))
+    digest = X.sha256_hex(F.col("text").cast("binary"))
+    return d.select(
+        uuid_like(F.col("doc_id")).alias("id"), F.lit(BUREAU).alias("bureau_id"), F.col("source").alias("partner_id"), F.lit("x.pdf").alias("filename"), F.lit("application/pdf").alias("media_type"),
+        F.col("n_chars").alias("size_bytes"), digest.alias("sha256"), F.concat_ws("/", F.lit("k"), digest).alias("storage_key"), status.alias("status"), F.lit(None).cast("int").alias("page_count"), none.alias("error"), at.alias("created_at"), at.alias("updated_at"),
+    )
+
+
+_STATUS = "CASE doc_id % 6 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(S.MATERIAL_STATUS)) + " END"
+_MATERIALS = f"(SELECT doc_id, {_EVENT_ID.format('doc_id')} AS id, source AS partner_id, sha256(text) AS sha256, n_chars AS size_bytes, {_STATUS} AS status FROM documents)"
+
+
+@query(f"SELECT id, partner_id, size_bytes, status FROM {_MATERIALS} WHERE partner_id = (SELECT min(source) FROM documents)")
+def material_list(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    partner = m.agg(F.min("partner_id")).first()[0]
+    return reads.list_materials(m, BUREAU, partner).select("id", "partner_id", "size_bytes", "status")
+
+
+@query(f"SELECT id, size_bytes, status, 'k/' || sha256 AS storage_key FROM {_MATERIALS} WHERE doc_id = (SELECT max(doc_id) FROM documents)")
+def material_lookup(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    one = m.agg(F.max_by(F.struct("partner_id", "id"), "id")).first()[0]
+    return reads.get_material(m, BUREAU, one.partner_id, one.id).select("id", "size_bytes", "status", "storage_key")
+
+
+@query(f"SELECT id, status FROM {_MATERIALS} WHERE (partner_id, sha256) IN (SELECT source, sha256(text) FROM documents WHERE doc_id = (SELECT max(doc_id) FROM documents))")
+def digest_lookup(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    one = m.agg(F.max_by(F.struct("partner_id", "sha256"), "id")).first()[0]
+    return reads.find_by_digest(m, BUREAU, one.partner_id, one.sha256).select("id", "status")
+
+
+@query(f"SELECT id, status FROM {_MATERIALS} WHERE (partner_id, sha256) IN (SELECT source, sha256(text) FROM documents JOIN labels USING (doc_id))")
+def digest_lookup_bulk(spark, sf_dir):
+    known = test_table(spark, sf_dir, "documents").join(test_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    wanted = known.select(F.lit(BUREAU).alias("bureau_id"), F.col("source").alias("partner_id"), X.sha256_hex(F.col("text").cast("binary")).alias("sha256"))
+    return reads.find_all_by_digest(materials(spark, sf_dir), wanted).select("id", "status")
+
+
+@query(f"SELECT {_EVENT_ID.format('event_id')} AS id, CASE WHEN event_type = 'click' THEN 'running' ELSE 'queued' END AS status, (event_id % 8)::INTEGER AS attempts FROM events WHERE user_id = (SELECT max(user_id) FROM events)")
+def job_list(spark, sf_dir):
+    last = test_table(spark, sf_dir, "events").agg(F.max("user_id")).first()[0]
+    return reads.list_jobs(jobs(spark, sf_dir), BUREAU, str(last)).select("id", "status", "attempts")
+
+
+@query("SELECT n_nationkey AS id FROM nation WHERE lower(n_name) = 'france'")
+def tenant_by_slug(spark, sf_dir):
+    n = test_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("slug"))
+    return bureau_by_slug(n, "france")
+
+
+@query("SELECT n_nationkey, CASE WHEN NOT regexp_full_match(replace(lower(n_name), 'united ', 'united-'), '[a-z0-9-]{1,64}') THEN 'validation_failed' END AS error_code FROM nation")
+def slug_verdict(spark, sf_dir):
+    slug = F.replace(F.lower("n_name"), F.lit("united "), F.lit("united-"))
+    return test_table(spark, sf_dir, "nation").select("n_nationkey", V.slug_error(slug).alias("error_code"))
+
+
+@query(
+    f"""SELECT 'material' AS kind, id, CASE WHEN size_bytes % 5 = 0 OR size_bytes % 7 = 0 THEN 'validation_failed' END AS error_code FROM {_MATERIALS}
+        UNION ALL SELECT 'job', {_EVENT_ID.format('event_id')}, CASE WHEN event_id % 9 = 0 OR event_id % 8 = 0 AND event_id % 2 = 1 THEN 'validation_failed' END FROM events
+        UNION ALL SELECT 'session', user_id::VARCHAR, CASE WHEN user_id % 3 = 0 THEN 'validation_failed' END FROM events GROUP BY user_id"""
+)
+def row_checks(spark, sf_dir):
+    m = materials(spark, sf_dir)
+    m = m.withColumns({"sha256": F.when(F.col("size_bytes") % 5 == 0, F.upper(F.concat("sha256", F.lit("x")))).otherwise(F.col("sha256")), "media_type": F.when(F.col("size_bytes") % 7 == 0, "text/html").otherwise(F.col("media_type"))})
+    number = F.substring("id", 25, 12).cast("long")
+    j = jobs(spark, sf_dir).withColumn("lease_owner", F.when(number % 9 == 0, F.when(F.col("lease_owner").isNull(), "w")).otherwise(F.col("lease_owner")))
+    s = sessions(spark, sf_dir).withColumn("csrf_token", F.when(F.col("id").cast("long") % 3 == 0, "short").otherwise(F.col("csrf_token")))
+    of = lambda df, kind, error: df.select(F.lit(kind).alias("kind"), "id", error.alias("error_code"))
+    return of(m, "material", V.material_error()).union(of(j, "job", V.job_error())).union(of(s, "session", V.session_error()))
+
+
+@query("SELECT c_custkey AS request_id, c_custkey % 4 = 0 AS rejected, CASE WHEN c_custkey % 4 > 0 THEN c_name END AS name, CASE WHEN c_custkey % 4 > 1 THEN c_mktsegment END AS note FROM customer")
+def partner_insert(spark, sf_dir):
+    k = F.col("c_custkey")
+    name = F.when(k % 4 == 0, F.lit(" \t ")).otherwise(F.concat(F.lit("  "), F.col("c_name"), F.lit("\n")))
+    asked = test_table(spark, sf_dir, "customer").select(k.alias("request_id"), F.lit(BUREAU).alias("bureau_id"), name.alias("name"), F.when(k % 4 > 1, F.col("c_mktsegment")).otherwise("  ").alias("note"))
+    new, bad = transitions.insert_partners(asked, as_of(spark, sf_dir))
+    made = asked.select("request_id", ingest.uuid_of(F.col("bureau_id"), F.col("request_id")).alias("id")).join(new, "id")
+    return made.select("request_id", F.lit(False).alias("rejected"), "name", "note").union(bad.select("request_id", F.lit(True), F.lit(None).cast("string"), F.lit(None).cast("string")))
+
+
+@query(f"SELECT sha256(user_id::VARCHAR) AS token_fingerprint, n_nationkey AS bureau_id, TIMESTAMP '{LATE}' + INTERVAL 3600 SECONDS AS expires_at FROM (SELECT DISTINCT user_id FROM events) JOIN nation ON n_nationkey = user_id % 25")
+def session_open(spark, sf_dir):
+    n = test_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("slug"))
+    users = test_table(spark, sf_dir, "events").select("user_id").distinct().join(n, F.col("user_id") % 25 == F.col("id"))
+    asked = users.select("slug", F.sha2(F.col("user_id").cast("string").cast("binary"), 256).alias("token_fingerprint"), F.lit("c" * 20).alias("csrf_token"))
+    opened = transitions.open_sessions(asked, n, 3_600, as_of(spark, sf_dir))
+    return opened.select("token_fingerprint", "bureau_id", F.col("expires_at").cast("timestamp_ntz").alias("expires_at"))
+
+
+@query("SELECT page_id, count(*) OVER () >= 17 AS truncated FROM (SELECT page_id FROM pages ORDER BY page_id LIMIT 17)")
 def bounded_listing(spark, sf_dir):
-    return test_table(spark, sf_dir, "pages").select("page_id").orderBy("page_id").limit(17)
+    from docketspark.sources.objects import bounded
+
+    return bounded(test_table(spark, sf_dir, "pages").select("page_id"), "page_id", 17)
 
 
 @query("SELECT conv_id, '{\"items\":[' || string_agg('{\"turn\":' || turn || ',\"role\":\"' || role || '\"}', ',' ORDER BY turn, role) || ']}' AS body FROM conversations GROUP BY conv_id")
@@ -132,7 +233,7 @@ def list_envelope(spark, sf_dir):
 
 @query("SELECT page_id, regexp_extract(url, '[^/]*$') AS base FROM pages")
 def basename(spark, sf_dir):
-    return test_table(spark, sf_dir, "pages").select("page_id", F.substring_index("url", "/", -1).alias("base"))
+    return test_table(spark, sf_dir, "pages").select("page_id", X.base_name(F.col("url")).alias("base"))
 
 
 _WHITE = r"\x{9}-\x{D}\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -156,15 +257,15 @@ def filename_ascii(spark, sf_dir):
     return test_table(spark, sf_dir, "pages").select("page_id", X.disposition_ascii(F.col("url"), F.lit("image/png")).alias("fallback"))
 
 
-@query("SELECT doc_id, 'UTF-8''''' || url_encode(substring(text, 1, 60)) AS encoded FROM documents")
+@query("SELECT doc_id, 'UTF-8''''' || url_encode(text) AS encoded FROM documents")
 def rfc5987(spark, sf_dir):
     d = test_table(spark, sf_dir, "documents")
-    return d.select("doc_id", X.disposition_utf8(F.substring("text", 1, 60)).alias("encoded"))
+    return d.select("doc_id", X.disposition_utf8(F.col("text")).alias("encoded"))
 
 
-@query("SELECT page_id, upper(substring(regexp_extract(url, '[^.]*$'), 1, 3)) AS label FROM pages WHERE url LIKE '%.%' AND url NOT LIKE '%.'")
+@query("SELECT page_id, CASE WHEN url LIKE '%.%' AND url NOT LIKE '%.' THEN upper(substring(regexp_extract(url, '[^.]*$'), 1, 3)) ELSE 'PNG' END AS label FROM pages")
 def extension_label(spark, sf_dir):
-    p = test_table(spark, sf_dir, "pages").where("url like '%.%' and url not like '%.'")
+    p = test_table(spark, sf_dir, "pages")
     return p.select("page_id", X.extension_label(F.col("url"), F.lit("image/png")).alias("label"))
 
 
@@ -227,11 +328,14 @@ def upload_percent(spark, sf_dir):
     return test_table(spark, sf_dir, "events").select("event_id", X.upload_percent(F.col("user_id"), F.col("value")).alias("percent"))
 
 
-@query("SELECT event_id, coalesce(l.label, e.event_type) AS label FROM events e LEFT JOIN (VALUES ('click', 'Clicked'), ('view', 'Viewed'), ('purchase', 'Bought')) l(status, label) ON l.status = e.event_type")
+_SHOWN = ", ".join("('" + "', '".join(row) + "')" for row in X.STATUS_LABELS)
+
+
+@query(f"SELECT doc_id, coalesce(label, status) AS label, coalesce(hint, '') AS hint, coalesce(tone, 'neutral') AS tone FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN lang ELSE CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{v}'" for i, v in enumerate(S.MATERIAL_STATUS)) + f" END END AS status FROM documents) LEFT JOIN (VALUES {_SHOWN}) l(status, label, hint, tone) USING (status)")
 def status_label(spark, sf_dir):
-    names = spark.createDataFrame([("click", "Clicked"), ("view", "Viewed"), ("purchase", "Bought")], "event_type string, label string")
-    e = test_table(spark, sf_dir, "events").join(F.broadcast(names), "event_type", "left")  # a fixed list of three rows
-    return e.select("event_id", F.coalesce("label", "event_type").alias("label"))
+    """Every status and, as an unknown one, the language."""
+    status = X.choose(F.col("doc_id") % 7, dict(enumerate(S.MATERIAL_STATUS)), F.col("lang"))
+    return test_table(spark, sf_dir, "documents").select("doc_id", X.status_presentation(status).alias("s")).select("doc_id", "s.*")
 
 
 @query("SELECT o_orderkey, o_orderstatus IN ('F', 'P') AS can_retry, CASE o_orderstatus WHEN 'F' THEN 'material can be retried' WHEN 'P' THEN 'material can be retried' WHEN 'O' THEN 'material is already queued for extraction' END AS message FROM orders")
@@ -248,10 +352,10 @@ def error_codes(spark, sf_dir):
     return e.select("event_id", X.http_status(code).alias("http_status"), X.code_retryable(code).alias("retryable"))
 
 
-@query("SELECT page_id, regexp_extract(url, 'utm_source=([^&#;]*)', 1) AS value FROM pages WHERE url LIKE '%?utm_source=%'")
+@query("SELECT page_id, CASE WHEN url LIKE '%?utm_source=%' THEN regexp_extract(url, 'utm_source=([^&#;]*)', 1) WHEN page_id % 2 = 0 THEN 'later' END AS value FROM pages")
 def cookie_value(spark, sf_dir):
-    p = test_table(spark, sf_dir, "pages").where("url like '%?utm_source=%'")
-    header = F.concat(F.lit("a=1; "), F.replace(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("&"), F.lit(";")), F.lit("; utm_source=later"))
+    p = test_table(spark, sf_dir, "pages")
+    header = F.concat(F.lit("a=1; "), F.replace(F.regexp_extract("url", r"\?([^#]*)", 1), F.lit("&"), F.lit(";")), F.when(F.col("page_id") % 2 == 0, "; utm_source=later").otherwise(""))
     return p.select("page_id", X.cookie_value(header, "utm_source").alias("value"))
 
 
@@ -324,11 +428,16 @@ def upsert_or_get(spark, sf_dir):
     return out.select(F.col("request_id").cast("long").alias("doc_id"), "outcome", F.when(F.col("material_id").startswith("00000000-0000"), F.col("material_id")).alias("known_id"))
 
 
-@query("SELECT 0::BIGINT AS materials_without_job, 0::BIGINT AS jobs_without_material")
+_NEW = "(SELECT min(doc_id) AS doc_id FROM documents GROUP BY source, sha256(text) HAVING count(*) FILTER (doc_id IN (SELECT doc_id FROM labels)) = 0)"
+
+
+@query(f"SELECT count(*) FILTER (doc_id % 3 = 0 AND doc_id % 5 > 0) AS materials_without_job, count(*) FILTER (doc_id % 5 = 0 AND doc_id % 3 > 0) AS jobs_without_material FROM {_NEW}")
 def publish_invariant(spark, sf_dir):
+    """A publication torn apart: every third material lost its job, every fifth job its material."""
     received, known = received_documents(spark, sf_dir)
-    _, materials, jobs = ingest.ingest(received, known, known_jobs(spark, sf_dir).limit(0))
-    a, b = ingest.job_gaps(materials, jobs)
+    _, new, jobs = ingest.ingest(received, known, known_jobs(spark, sf_dir).limit(0))
+    number = F.unix_timestamp("created_at")
+    a, b = ingest.job_gaps(new.where(number % 5 > 0), jobs.where(number % 3 > 0))
     return a.agg(F.count("*").alias("materials_without_job")).crossJoin(b.agg(F.count("*").alias("jobs_without_material")))  # one row each
 
 
@@ -520,18 +629,21 @@ def maintenance_report(spark, sf_dir):
 @query(_THROTTLE)
 def login_throttle_stream(spark, sf_dir):
     """The throttle as a stream over the events folder, run to its end; one table in the shared folder is its sink."""
-    import tempfile
-    import uuid
-
+    from docketspark.session import shared_path
     from docketspark.streaming.throttle import throttle_stream
 
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or 'file://' + tempfile.mkdtemp()}/throttle-{uuid.uuid4().hex}"
+    root = shared_path(spark, "throttle")
     stream = spark.readStream.schema(test_table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parquet*")
     stream = stream.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("t"), F.lit("attempt").alias("kind"))
     out = throttle_stream(stream, 3, 3 * 86_400, 2 * 86_400)
-    done = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
-    done.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        done = out.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+        done.awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
     return spark.read.parquet(f"{root}/out").select(F.col("id").alias("event_id"), "admitted")
 
 

@@ -1,7 +1,10 @@
-"""A session with the settings that the operators assume."""
+"""A session with the settings that the operators assume, and the folder that its executors share."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +18,22 @@ def build(name: str = "docketspark", **conf: str) -> SparkSession:
         **{k.replace("__", "."): v for k, v in conf.items()},
     }
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder all executors and the driver share: spark.checkpoint.dir. One of our own where that is unset and everything runs in one process; on a cluster it must be set."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        there = context._jsc.sc().getCheckpointDir()
+        root = there.get() if there.isDefined() else None
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="docketspark-")
+        context.setCheckpointDir(root)
+    return root.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"

@@ -7,7 +7,7 @@ import sys
 import pyarrow as pa
 import pyarrow.fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docketspark.functions.scalars import parse_key, sha256_hex
@@ -24,12 +24,14 @@ def object_files(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.substr(plain, F.lit(len(base) + 2)).alias("key"), F.col("length"), F.col("modificationTime").alias("modified"))
 
 
-def list_objects(spark: SparkSession, root: str, limit: int) -> tuple[DataFrame, bool]:
-    """(valid objects by key, at most limit; whether the limit was reached). Other files are skipped."""
-    if limit <= 0:
-        return object_files(spark, root).limit(0), False
-    found = object_files(spark, root).where(parse_key(F.col("key")).isNotNull()).orderBy("key").limit(limit)
-    return found, found.count() >= limit
+def bounded(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """The first `limit` rows by key, with truncated: whether there are so many. One pass; at most `limit` rows come together."""
+    return rows.orderBy(key).limit(max(0, limit)).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) >= limit)
+
+
+def list_objects(spark: SparkSession, root: str, limit: int) -> DataFrame:
+    """Valid objects by key, at most limit, with truncated. Other files are skipped."""
+    return bounded(object_files(spark, root).where(parse_key(F.col("key")).isNotNull()), "key", limit)
 
 
 def read_objects(spark: SparkSession, root: str) -> DataFrame:
@@ -44,12 +46,18 @@ def plan_puts(new: DataFrame, existing: DataFrame) -> DataFrame:
     return new.join(there, "key", "left").withColumn("action", action).drop("_length")
 
 
-def publish(objects: DataFrame, root: str) -> DataFrame:
-    """Writes objects (key, content) below root, a URI all executors share; returns key and size_bytes of each.
+def publish(objects: DataFrame, root: str, existing: DataFrame | None = None) -> DataFrame:
+    """Writes objects (key, content) below root, a URI all executors share; returns key, size_bytes and action of each.
 
-    Every file is written under a name of its own in .staging and then renamed to its key, so readers see whole
-    files only and a task that runs again replaces equal bytes. The result is to be materialised once.
+    A key must end in its content's SHA-256. Every file is written under a name of its own in .staging and then
+    renamed to its key, so readers see whole files only and a task that runs again replaces equal bytes. existing
+    (key, length; see object_files): what is there already with the right size is left alone. The result is to be
+    materialised once.
     """
+    digest = parse_key(F.col("key"))["digest"]
+    wrong = F.raise_error(F.concat(F.lit("key and content differ: "), F.coalesce("key", F.lit("null"))))
+    rows = objects.select("key", F.when(F.coalesce(digest == sha256_hex(F.col("content")), F.lit(False)), F.col("content")).otherwise(wrong).alias("content"), F.octet_length("content").cast("long").alias("size_bytes"))
+    rows = rows.withColumn("action", F.lit("write")) if existing is None else plan_puts(rows, existing)
 
     def put(batches):
         import uuid
@@ -57,16 +65,17 @@ def publish(objects: DataFrame, root: str) -> DataFrame:
         fs, base = pyarrow.fs.FileSystem.from_uri(root)
         fs.create_dir(f"{base}/.staging", recursive=True)
         for b in batches:
-            for key, content in zip(b.column("key").to_pylist(), b.column("content").to_pylist(), strict=True):
+            for key, content, action in zip(*(b.column(c).to_pylist() for c in ("key", "content", "action")), strict=True):
+                if action == "already_present":
+                    continue
                 draft = f"{base}/.staging/{uuid.uuid4().hex}"
                 with fs.open_output_stream(draft, compression=None) as out:
                     out.write(content)
                 fs.create_dir(f"{base}/{key}".rpartition("/")[0], recursive=True)
                 fs.move(draft, f"{base}/{key}")
-            sizes = [len(x) for x in b.column("content").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(sizes, pa.int64())], names=["key", "size_bytes"])
+            yield b.select(["key", "size_bytes", "action"])
 
-    return objects.select("key", "content").mapInArrow(put, "key string, size_bytes long")
+    return rows.select("key", "content", "size_bytes", "action").mapInArrow(put, "key string, size_bytes long, action string")
 
 
 def sweep(stale: DataFrame) -> int:

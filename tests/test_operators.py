@@ -1,13 +1,15 @@
 import datetime as dt
 import random
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from docketspark import schemas as S
 from docketspark.operators import ingest, maintenance, reads, tenancy, throttle, transitions
-from docketspark.sources import bodies, objects
+from docketspark.sources import bodies, objects, tables
+from docketspark.streaming import intake
 
 T0 = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
 B, P, Q = (f"00000000-0000-0000-0000-{i:012d}" for i in (1, 2, 3))
@@ -38,6 +40,9 @@ def test_receive(spark):
     out = ingest.receive(parts(spark, rows), max_bytes=4096, other_bytes=99).select("request_id", "error_code", "filename").collect()
     assert {r[0]: r[1] for r in out} == {"ok": None, "none": "validation_failed", "two": "validation_failed", "lies": "unsupported_media_type", "zip": "unsupported_media_type", "empty": "validation_failed", "large": "payload_too_large", "chatty": "payload_too_large"}
     assert {r[0]: r[2] for r in out}["ok"] == "a.pdf"
+    received = ingest.receive(parts(spark, rows), 4096, 99)
+    assert [(r.request_id, bytes(r.content), r.size_bytes) for r in ingest.with_content(received.where("error_code is null"), parts(spark, rows)).collect()] == [("ok", pdf, len(pdf))]
+    assert "content" not in received.columns
 
 
 def test_dedup_across_partners_and_revisions(spark):
@@ -54,6 +59,26 @@ def test_dedup_across_partners_and_revisions(spark):
     assert [f.dataType for f in materials.select(*S.MATERIALS.names).schema] == [f.dataType for f in S.MATERIALS]
 
 
+def test_tables_prune_to_a_tenant(spark, tmp_path):
+    p = spark.createDataFrame([("1", B, "x", None, T0, T0), ("2", Q, "y", None, T0, T0)], S.PARTNERS)
+    tables.write_table(p, str(tmp_path), "partners", "bureau_id")
+    back = tables.read_table(spark, str(tmp_path), "partners", S.PARTNERS)
+    assert sorted(map(str, back.select(*S.PARTNERS.names).collect())) == sorted(map(str, p.collect()))
+    assert all(B in f for f in reads.list_partners(back, B).inputFiles()) or "PartitionFilters: [isnotnull(bureau_id" in reads.list_partners(back, B)._jdf.queryExecution().toString()
+
+
+def test_first_uploads_and_ticks(spark, tmp_path):
+    rows = [(B, P, "a", T0, 1), (B, P, "a", at(5), 2), (B, Q, "a", at(6), 3), (B, P, "b", at(7), 4)]
+    schema = "bureau_id string, partner_id string, sha256 string, arrival timestamp, n int"
+    spark.createDataFrame(rows, schema).coalesce(1).sortWithinPartitions("n").write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = intake.first_uploads(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+    q = intake.every(stream, lambda df, batch: seen.extend(r.n for r in df.collect()), 1).option("checkpointLocation", str(tmp_path / "state")).start()
+    q.processAllAvailable()
+    q.stop()
+    assert sorted(seen) == [1, 3, 4]
+
+
 def test_byte_limit(spark):
     df = spark.createDataFrame([("r", 1, 6), ("r", 2, 4), ("r", 3, 1), ("r", 4, 1)], "r string, seq int, n long")
     assert [x.over for x in ingest.first_over_limit(df, 10, ["r"], ["seq"], "n").orderBy("seq").collect()] == [False, False, True, False]
@@ -197,6 +222,38 @@ def test_throttle_against_model_and_stream(spark, tmp_path):
     assert got == want
 
 
+def test_throttle_splits_a_hot_key_and_keeps_null_keys(spark):
+    rng = random.Random(6)
+    events, t = [], 0
+    for i in range(3000):
+        t += rng.choice((0, 1, 200, 800, 950, 2000))
+        events.append((rng.choice((None, "hot", "hot")), i, t, "success" if rng.random() < 0.05 else "attempt"))
+    want = {}
+    for key in (None, "hot"):
+        want |= model([e for e in events if e[0] == key], 3, 900, 300)
+    out = fold(spark, events, 3, 900, 300)
+    assert {r.id: r.admitted for r in out.collect()} == want
+    assert out.columns == ["key", "id", "at", "kind", "admitted", "retry_after_us"] and fold(spark, [("a", 0, 0, "attempt")], 3, 900, 300).count() == 1
+    timed = spark.createDataFrame([("k", i, n) for i, n in enumerate([0, 5, 15, 16, 26, 37, 38])], "key string, id long, t long")
+    assert [r.run for r in throttle._runs(timed, 10).orderBy("id").collect()] == [0, 0, 0, 0, 0, 1, 1]
+
+
+def test_stream_state_is_gone_after_its_window(spark, tmp_path):
+    from docketspark.streaming.throttle import throttle_stream
+
+    schema, second = "key string, id long, t long, kind string", 1_000_000
+    parts_ = [[("a", 0, 0), ("b", 1, 0), ("b", 2, second), ("b", 3, second)], [("c", 4, 1500 * second)], [("d", 5, 1600 * second)], [("a", 6, 1700 * second)]]
+    for n, part in enumerate(parts_):
+        spark.createDataFrame([(k, i, t + 10**12, "attempt") for k, i, t in part], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = throttle_stream(stream, 2, 900, 300, "0 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    held = spark.read.format("statestore").option("stateVarName", "throttle").load(str(tmp_path / "state")).select("key.key").collect()
+    assert {r.key for r in held} == {"a", "c", "d"}  # b's window and lock are over; a came again
+    got = {r.id: r.admitted for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {0: True, 1: True, 2: True, 3: False, 4: True, 5: True, 6: True}
+
+
 def test_replay_edges(spark):
     times = [0, 59, 118, 178, 200]  # a gap of exactly idle ends the session
     df = spark.createDataFrame([("k", i, at(t)) for i, t in enumerate(times)], "key string, id long, at timestamp")
@@ -211,13 +268,19 @@ def test_store_round_trip(spark, tmp_path):
     from docketspark.functions.scalars import object_key
 
     df = df.withColumn("key", object_key(F.lit(B), F.lit(P), F.col("sha256")))
-    assert {r.size_bytes for r in objects.publish(df, root).collect()} == {10}
+    done = objects.publish(df, root).collect()
+    assert {(r.size_bytes, r.action) for r in done} == {(10, "write")}
     (tmp_path / "objects" / "stray.txt").write_text("x")
-    listing, truncated = objects.list_objects(spark, root, 10)
-    assert listing.count() == 2 and not truncated
-    one, truncated = objects.list_objects(spark, root, 1)
-    assert one.count() == 1 and truncated
-    assert objects.list_objects(spark, root, 2)[1] and not objects.list_objects(spark, root, 0)[1]
+    before = {p: p.stat().st_ino for p in (tmp_path / "objects").glob("bureau-*/**/*") if p.is_file()}
+    again = objects.publish(df, root, objects.object_files(spark, root)).collect()
+    assert {r.action for r in again} == {"already_present"} and all(p.stat().st_ino == n for p, n in before.items())
+    with pytest.raises(Exception, match="key and content differ"):
+        objects.publish(df.withColumn("content", F.lit(b"other")), root).collect()
+    listing = objects.list_objects(spark, root, 10)
+    assert [r.truncated for r in listing.collect()] == [False, False]
+    one = objects.list_objects(spark, root, 1)
+    assert [r.truncated for r in one.collect()] == [True]
+    assert [r.truncated for r in objects.list_objects(spark, root, 2).collect()] == [True, True] and objects.list_objects(spark, root, 0).isEmpty()
     assert {bytes(r.content) for r in objects.read_objects(spark, root).where("path not like '%stray%'").collect()} == set(bodies_)
     known = df.limit(1).select(F.lit(B).alias("bureau_id"), F.lit(P).alias("partner_id"), "sha256")
     assert maintenance.orphans(listing, known, B).count() == 1
