@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import sys
-import tempfile
-import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketspark.session import shared_path, shared_root
+
 #: Words and the white space between them (ASCII only, as the contracts fix).
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -20,22 +20,6 @@ def by_value(module: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder all executors and the driver share: spark.checkpoint.dir, or one of our own where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        there = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = there.get() if there.isDefined() else None
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="docketspark-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it from there."""
     spark = df.sparkSession

@@ -1,11 +1,11 @@
-"""Groups of linked items from buckets, without pairing everything within a bucket."""
+"""Connected components of links, and runs of equal keys in sorted batches."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from docketspark.llm.common import by_value, forget, stored
@@ -13,104 +13,59 @@ from docketspark.llm.common import by_value, forget, stored
 by_value(__name__)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id, component: for every end of links (a, b) the least id that it reaches. Alternates large-star and small-star until nothing changes."""
-    edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "components")
-    state = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = state(edges)
-    while before[0]:
-        both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        after = stored(small, "components")
-        now = state(after)
-        forget(edges)
-        edges = after
-        if now == before:
-            break
-        before = now
-    roots = edges.select(F.col("v").alias("id")).distinct().withColumn("component", F.col("id"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(roots).distinct()
-
-
-def _pairs(x: DataFrame, a: str, b: str) -> DataFrame:
-    return x.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct()
-
-
-#: Items in a block, and their weight (see linked), at most about so many; and the items of a candidate group from which its bands stand alone.
-BLOCK_ITEMS, BLOCK_WEIGHT, LARGE_GROUP = 256, 1_000_000, 1 << 14
-
-
-def _cells(open_: DataFrame, payload: DataFrame, chained: bool) -> DataFrame:
-    """g, i, j, own, id, c, data: the items of block i and block j of a candidate group; own tells an item's block.
+def _round(edges: DataFrame) -> DataFrame:
+    """c, p, changed: edges after one large-star and one small-star.
 
-    A candidate group holds what shares open bands, directly or through others, so that two items of many common
-    bands meet once; of one with LARGE_GROUP items or more, and of all if not chained, every band is a group of its
-    own. Either way two items of one band meet in a cell, and an item is copied once for every BLOCK_ITEMS items of
-    its group.
+    Large-star moves an edge from its parent to the parent's own least parent. A parent of very many children is
+    joined, not grouped, so a skewed join is split; roots match nothing and their edges stay. Small-star leaves a
+    child its least parent and links the other parents to that one.
     """
-    if chained:
-        ends = open_.groupBy("band").agg(F.min("id").alias("lo"))
-        chains = components(open_.join(ends, "band").select(F.col("id").alias("a"), F.col("lo").alias("b")).where("a != b").distinct())
-        sizes = chains.groupBy("component").agg((F.count("*") >= LARGE_GROUP).alias("large"))
-        where = stored(chains.join(sizes, "component").select("id", "component", "large"), "group-chains")
-        g = F.when(F.col("large"), F.xxhash64("band")).otherwise(F.col("component"))
-        placed = open_.join(where, "id").select(g.alias("g"), "large", "id", "c").distinct()
-    else:
-        placed = open_.select(F.xxhash64("band").alias("g"), F.lit(True).alias("large"), "id", "c")
-    placed = placed.join(payload, "id")
-    totals = placed.groupBy("g", "large").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.ceil(F.sum("weight") / BLOCK_WEIGHT), F.lit(1)).cast("int").alias("blocks"))
-    placed = placed.join(totals, ["g", "large"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return placed.select("g", "large", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"), "own", "id", "c", "data")
+    least = edges.groupBy(F.col("c").alias("x")).agg(F.min("p").alias("m"))
+    jumped = edges.join(least, edges["p"] == least["x"], "left").select("c", F.coalesce("m", "p").alias("p"), F.col("m").isNotNull().alias("moved"))
+    w = Window.partitionBy("c").orderBy("p", "moved")
+    each = jumped.select("c", "p", "moved", F.first("p").over(w).alias("m"), F.lag("p").over(w).alias("before")).where("before is null or before < p")
+    first = F.col("before").isNull()
+    return each.select(F.when(first, F.col("c")).otherwise(F.col("p")).alias("c"), F.col("m").alias("p"), (F.col("moved") | ~first).alias("changed"))
+
+
+def forest(links: DataFrame) -> DataFrame:
+    """id, component (the least id that id reaches), stored, for every end of links (a, b) that is not its own component; links are read twice, so they should be stored."""
+    edges, changed = links.select(F.greatest("a", "b").alias("c"), F.least("a", "b").alias("p")).where("c > p"), True
+    before = None
+    while changed:
+        seen = Observation()
+        after = _round(edges).observe(seen, F.sum(F.col("changed").cast("long")).alias("n")).drop("changed")
+        edges = stored(after, "components")
+        # No edge moved and no child had two parents: what is left are stars.
+        changed = bool(seen.get["n"])
+        if before is not None:
+            forget(before)
+        before = edges
+    return edges.select(F.col("c").alias("id"), F.col("p").alias("component"))
 
 
-def linked(rows: DataFrame, verify: Callable[[DataFrame], DataFrame], payload: Callable[[DataFrame], DataFrame], compare: Callable, schema: str, chained: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(id, component) of all items that have a link, and the links found; all links between components, not all links.
-
-    rows: band, id; two items may be linked if they share a band. verify(pairs): the rows of pairs (a, b; a < b)
-    that are links, stored, in schema. payload(ids): id, weight and data (binary) of ids (id), all that compare
-    needs. compare(left, right): of two lists of (id, component, data), a link in the order of schema for each two
-    components that have one; right is None if left is to be compared with itself. chained: whether two items tend to
-    share many bands (see _cells).
-
-    Members of a band are first held against the least and the greatest end of all their bands; where a band still
-    spans several components, against its ends from the other components; and where it still does, everything is
-    compared in blocks, inside tasks that return links only. A band of any number of items of one group so costs as
-    many pairs as items, and no link between components is missed.
-    """
-    ends = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    members = stored(rows.join(ends, "band"), "group-members")
-    near = members.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    tried = stored(_pairs(near, "id", "lo").union(_pairs(near, "id", "hi")).distinct(), "group-tried")
-    links = verify(tried)
-    comps, open_ = _opened(members, links)
-    if not open_.isEmpty():
-        cut = open_.groupBy("band").agg(F.min(F.struct("c", "id")).alias("p"), F.max(F.struct("c", "id")).alias("q"))
-        both = open_.join(cut, "band")
-        pairs = _pairs(both.where("c != p.c"), "id", "p.id").union(_pairs(both.where("c != q.c"), "id", "q.id")).distinct()
-        links = links.union(verify(stored(pairs.join(tried, ["a", "b"], "left_anti"), "group-tried")))
-        comps, open_ = _opened(members, links)
-    if not open_.isEmpty():
-
-        def crossed(key, pdf: pd.DataFrame) -> pd.DataFrame:
-            items = list(zip(pdf["id"], pdf["c"], pdf["data"], strict=True))
-            _, _, i, j = key
-            first = (pdf["own"] == i).tolist()
-            left, right = [x for x, f in zip(items, first, strict=True) if f], [x for x, f in zip(items, first, strict=True) if not f]
-            return pd.DataFrame(compare(left, None if i == j else right), columns=[x.split()[0] for x in schema.split(", ")])
-
-        found = _cells(open_, payload(open_.select("id").distinct()), chained).groupBy("g", "large", "i", "j").applyInPandas(crossed, schema)
-        links = links.union(stored(found, "group-links"))
-        comps = stored(components(links), "components")
-    return comps, links
-
-
-def _opened(members: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The components of links, and band, id, c of the bands that span several."""
-    comps = stored(components(links), "components")
-    own = members.select("band", "id").join(comps, "id", "left").select("band", "id", F.coalesce("component", "id").alias("c"))
-    span = own.groupBy("band").agg(F.min("c").alias("c_lo"), F.max("c").alias("c_hi")).where("c_lo < c_hi")
-    return comps, stored(own.join(span.select("band"), "band"), "group-open")
+def components(links: DataFrame) -> DataFrame:
+    """id, component: for every end of links (a, b) with a != b the least id that it reaches."""
+    stars = forest(links)
+    roots = stars.select(F.col("component").alias("id")).distinct().withColumn("component", F.col("id"))
+    return stars.union(roots)
+
+
+def runs(batches, keys: int):
+    """(table, bounds) of sorted batches: rows bounds[k] to bounds[k + 1] have equal values in the first `keys` columns, and no run is cut."""
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+        new = np.zeros(t.num_rows - 1, bool)
+        for c in t.columns[:keys]:
+            c = c.combine_chunks()
+            new |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+        starts = np.flatnonzero(np.concatenate(([True], new)))
+        cut = int(starts[-1])
+        if cut:
+            yield t.slice(0, cut).combine_chunks(), starts
+        held = t.slice(cut)
+    if held is not None:
+        yield held.combine_chunks(), np.array([0, held.num_rows])

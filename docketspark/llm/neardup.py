@@ -6,12 +6,13 @@ hash of all shingles, which fills every coordinate. Coordinates of two sets agre
 similarity, with concentration as of that many independent hashes. Each coordinate keeps one byte.
 
 Documents of equal sets are one class, told by a digest; only class representatives are compared. Bands of sketch
-bytes put representatives into buckets, which grouping.linked searches without pairing all their members. Every link
-is confirmed on the full shingle sets.
+bytes put representatives into buckets, which are searched without pairing all their members (see near_duplicates).
+Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketspark.llm.common import by_value, forget, stored
-from docketspark.llm.grouping import linked
+from docketspark.llm.grouping import forest, runs
 
 by_value(__name__)
 
@@ -30,6 +31,8 @@ BINS, BAND_ROWS, BANDS = 256, 6, 42
 MARGIN = 0.15
 #: Values of a hash of doc_id by which rows that need verification are told apart before their texts move. A bound of the broadcast, not of the rows.
 SIEVE = 1 << 18
+#: Items of a band, and shingles of theirs, at most about so many in a block.
+BLOCK_ITEMS, BLOCK_WEIGHT = 1024, 1_000_000
 
 _M1, _M2, _K = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -104,25 +107,33 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """band, id: one row a representative and band."""
+    """band, id, n: one row a representative and band."""
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring("sketch", b * BAND_ROWS + 1, F.lit(BAND_ROWS)), b))
-    return reps.select("id", F.explode(keys).alias("band"))
+    return reps.select(F.explode(keys).alias("band"), "id", "n")
 
 
-def _alike(pairs: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Of pairs (a, b), those whose sketches agree in a share of `least` of the coordinates."""
-    side = lambda x: reps.select(F.col("id").alias(x), F.col("sketch").alias(f"{x}s"))
+def least_agreement(percent: int) -> int:
+    """Coordinates in which two sketches must agree to be looked at further."""
+    return int(np.ceil((percent / 100 - MARGIN) * BINS))
+
+
+def star_pairs(members: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """a, b of members (band, id, lo) and the least id of each of their bands, if their sketches agree enough."""
+    los = members.where("id > lo").groupBy("id").agg(F.collect_set("lo").alias("los"))  # BANDS at most
+    right = los.join(reps.select("id", F.col("sketch").alias("bs")), "id").select(F.col("id").alias("b"), "bs", F.explode("los").alias("a"))
+    both = right.join(reps.select(F.col("id").alias("a"), F.col("sketch").alias("as")), "a")
+    least = least_agreement(percent)
 
     def kept(batches):
         for t in batches:
             x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint8).reshape(-1, BINS) for c in ("as", "bs"))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= least * BINS))
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array((x == y).sum(1) >= least))
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(kept, "a long, b long")
+    return both.select("a", "b", "as", "bs").mapInArrow(kept, "a long, b long")
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """id, weight (shingles) and data (their sorted hashes) of the documents named by ids (id), stored."""
+    """id and data (the sorted hashes of its shingles) of the documents named by ids (id), stored."""
     sieve = lambda c: F.pmod(F.xxhash64(c), F.lit(SIEVE))
     # At most SIEVE rows of one number are broadcast, whatever the corpus; the join by id below is exact.
     few = docs.join(F.broadcast(ids.select(sieve("id").alias("_nd_s")).distinct()), sieve("doc_id") == F.col("_nd_s"), "left_semi")
@@ -130,19 +141,101 @@ def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     def sets(batches):
         words = WordHashes()
         for b in batches:
-            got = [shingle_set(t, size, words) for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in got], pa.int64()), pa.array([s.tobytes() for s in got], pa.binary())], names=["id", "weight", "data"])
+            got = [shingle_set(t, size, words).tobytes() for t in b.column("text").cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(got, pa.binary())], names=["id", "data"])
+
+    full = few.select("doc_id", "text").mapInArrow(sets, "id long, data binary").where("length(data) > 0")
+    return stored(full.join(ids, "id", "left_semi"), "neardup-sets")
+
+
+def confirmed(close: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of close (stored) with 100 * intersection >= percent * union of their full sets, stored."""
+    full = full_sets(close.select(F.explode(F.array("a", "b")).alias("id")), docs, size)
+
+    def checked(batches):
+        for t in batches:
+            good = []
+            for x, y in zip(t.column("ax").to_pylist(), t.column("bx").to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    side = lambda x: full.select(F.col("id").alias(x), F.col("data").alias(f"{x}x"))
+    links = stored(close.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ax", "bx").mapInArrow(checked, "a long, b long"), "neardup-links")
+    forget(full)
+    return links
 
-    full = few.select("doc_id", "text").mapInArrow(sets, "id long, weight long, data binary").join(ids, "id", "left_semi").dropDuplicates(["id"])
-    return stored(full, "neardup-sets")
 
+def open_members(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """band, id, n, c, blocks of the members of bands that span several components c, stored."""
+    own = members.join(labels, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("c"))
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_ITEMS), F.ceil(F.sum("n") / BLOCK_WEIGHT)).cast("int").alias("blocks")
+    span = own.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), blocks).where("low < high")
+    return stored(own.join(span.select("band", "blocks"), "band"), "neardup-open")
 
-def compare_sets(left: list, right: list | None, percent: int, columns: int = 4096) -> list[tuple[int, int]]:
-    """A link (a, b) for each two components in lists of (id, component, set bytes) that have one; sizes of all intersections come from products of incidence matrices, `columns` shingles at a time."""
-    items = left + (right or [])
-    if len({c for _, c, _ in items}) < 2:
+
+CELL = ["band", "k", "i", "j", "part"]
+
+
+def cells(open_: DataFrame, percent: int) -> DataFrame:
+    """CELL, id, c, n: where the members of open bands are held against each other.
+
+    Sets with 100 * intersection >= percent * union differ in size by a factor of 100 / percent at most. A band is
+    cut by size into classes k of that factor, so a class meets itself and the next one only. Where a band has
+    several blocks, items are dealt to them by hash and cell i, j holds block i of class k (part 0) and block j of
+    what it meets (part 1), so an item is copied about three times for each block of its band.
+    """
+    width = math.log(100 / percent) * 1.0001 + 1e-6  # a hair wider, for rounding
+    k, last = F.floor(F.log(F.col("n")) / width).cast("int"), F.col("blocks") - 1
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    at = lambda k, i, j, part: F.struct(k.alias("k"), i.alias("i"), j.alias("j"), F.lit(part).alias("part"))
+    every = F.sequence(F.lit(0), last)
+    left = F.transform(every, lambda j: at(F.col("k"), F.col("own"), j, 0))
+    right = F.transform(F.filter(every, lambda i: i < F.col("own")), lambda i: at(F.col("k"), i, F.col("own"), 1))
+    above = F.transform(every, lambda i: at(F.col("k") - 1, i, F.col("own"), 1))
+    placed = open_.withColumn("k", k).withColumn("own", own)
+    return placed.select("band", F.explode(F.concat(left, right, above)).alias("x"), "id", "c", "n").select("band", "x.*", "id", "c", "n")
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL[:4]).sortWithinPartitions(*CELL, "id")
+
+
+def partnered(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The rows of cells whose sketch agrees enough with one of another component in their cell; at most as many as come in."""
+    least = least_agreement(percent)
+
+    def found(batches):
+        for t, bounds in runs(batches, 4):
+            part, c, n = (t.column(x).to_numpy() for x in ("part", "c", "n"))
+            keep = np.zeros(t.num_rows, bool)
+            sketches = t.column("sketch")
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                m = a + int(np.count_nonzero(part[a:b] == 0))
+                if m == a or b - a < 2 or (c[a:b] == c[a]).all():
+                    continue
+                s = np.frombuffer(b"".join(sketches[a:b].to_pylist()), np.uint8).reshape(-1, BINS)
+                i, j = t.column("i")[a].as_py(), t.column("j")[a].as_py()
+                for x in range(m - a):
+                    y0 = x + 1 if i == j else m - a  # block i of part 0 meets itself in cell i, i
+                    good = (s[y0:] == s[x]).sum(1) >= least
+                    good &= (c[a + y0 : b] != c[a + x]) & (percent * np.maximum(n[a + y0 : b], n[a + x]) <= 100 * np.minimum(n[a + y0 : b], n[a + x]))
+                    if good.any():
+                        keep[a + x] = True
+                        keep[a + y0 : b] |= good
+            yield from t.select([*CELL, "id", "c"]).filter(pa.array(keep)).to_batches()
+
+    rows = rows.join(reps.select("id", "sketch"), "id").select(*CELL, "id", "c", "n", "sketch")
+    return _sorted(rows).mapInArrow(found, "band long, k int, i int, j int, part int, id long, c long")
+
+
+def compare_sets(left: list, right: list, percent: int, itself: bool, columns: int = 4096) -> list[tuple[int, int]]:
+    """Each two components (a < b) with a link in lists of (component, set bytes): left against right, and against itself if so said. Sizes of all intersections come from products of incidence matrices, `columns` shingles at a time."""
+    items = left + right
+    if not left or len({c for c, _ in items}) < 2:
         return []
-    sets = [np.frombuffer(d, np.uint64) for _, _, d in items]
+    sets = [np.frombuffer(d, np.uint64) for _, d in items]
     n = np.array([len(s) for s in sets])
     row, every = np.repeat(np.arange(len(sets)), n), np.concatenate(sets)
     order = np.argsort(every, kind="stable")
@@ -152,43 +245,34 @@ def compare_sets(left: list, right: list | None, percent: int, columns: int = 40
     shared = count[column] > 1  # a shingle of one set is in no intersection
     row, column = row[shared], column[shared]
     column = np.cumsum(np.concatenate(([0], np.diff(column) != 0)))  # numbered anew; sorted as before
-    k = len(left)
-    both = np.zeros((k, len(items) - k if right is not None else k), np.float32)
+    k, from_ = len(left), 0 if itself else len(left)
+    both = np.zeros((k, len(items) - from_), np.int64)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, columns):
         a, b = np.searchsorted(column, [at, at + columns])
         there = np.zeros((len(items), columns), np.float32)
         there[row[a:b], column[a:b] - at] = 1
-        both += there[:k] @ (there[:k] if right is None else there[k:]).T
-    x, y = np.arange(k), np.arange(k) if right is None else np.arange(k, len(items))
-    c, ids = np.array([c for _, c, _ in items]), np.array([i for i, _, _ in items])
-    good = (100 * both >= percent * (n[x][:, None] + n[y][None, :] - both)) & (c[x][:, None] != c[y][None, :])
-    out = {}
-    for i, j in zip(*np.nonzero(good), strict=True):
-        p, q = x[i], y[j]
-        out.setdefault((min(c[p], c[q]), max(c[p], c[q])), (int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))))
-    return list(out.values())
-
-
-def verify(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of representatives with 100 * intersection >= percent * union of their full sets, stored."""
-    close = stored(_alike(pairs, reps, percent / 100 - MARGIN), "neardup-close")
-    if close.isEmpty():
-        return close
-    ids = stored(close.select(F.col("a").alias("id")).union(close.select("b")).distinct(), "neardup-ids")
-    full = full_sets(ids, docs, size)
-
-    def confirmed(batches):
-        for t in batches:
-            good = []
-            for x, y in zip(t.column("ax").to_pylist(), t.column("bx").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    side = lambda x: full.select(F.col("id").alias(x), F.col("data").alias(f"{x}x"))
-    links = stored(close.join(side("a"), "a").join(side("b"), "b").mapInArrow(confirmed, "a long, b long"), "neardup-links")
-    forget(close, ids, full)
+        both += (there[:k] @ there[from_:].T).astype(np.int64)  # sums of at most `columns` ones are exact
+    c = np.array([c for c, _ in items])
+    good = (100 * both >= percent * (n[:k, None] + n[None, from_:] - both)) & (c[:k, None] != c[None, from_:])
+    return list({(min(c[x], c[from_ + y]), max(c[x], c[from_ + y])) for x, y in zip(*np.nonzero(good), strict=True)})
+
+
+def cell_links(rows: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """a, b: components with a link between rows (CELL, id, c; stored) of one cell, stored."""
+    full = full_sets(rows.select("id"), docs, size)
+
+    def compared(batches):
+        for t, bounds in runs(batches, 4):
+            part, c, i, j = (t.column(x).to_numpy() for x in ("part", "c", "i", "j"))
+            out = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                items = list(zip(c[a:b].tolist(), t.column("data")[a:b].to_pylist(), strict=True))
+                m = int(np.count_nonzero(part[a:b] == 0))
+                out += compare_sets(items[:m], items[m:], percent, bool(i[a] == j[a]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[s] for x in out], pa.int64()) for s in (0, 1)], names=["a", "b"])
+
+    links = stored(_sorted(rows.join(full, "id").select(*CELL, "id", "c", "data")).mapInArrow(compared, "a long, b long"), "neardup-links")
+    forget(full)
     return links
 
 
@@ -199,21 +283,34 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     size words (fewer words are one shingle). Documents with 100 * intersection >= percent * union are linked;
     component_id is the least doc_id reachable, kept tells whether it is the row's own. Null, empty and wordless
     texts have no shingles and are linked with nothing. Copies share their class's component; repeated rows of a
-    doc_id all appear, kept alike. An empty table gives an empty result; extra columns don't matter. A link of
-    similarity 0.8 is missed with probability below 1e-5 in each round it is looked for.
+    doc_id all appear, kept alike. Where one doc_id has several texts, classes that it is the least of count as
+    one document, with the links of any of its texts. Rows without a doc_id take the component of their copies, null without
+    any. An empty table gives an empty result; extra columns don't matter. A link of similarity 0.8 is missed with
+    probability below 1e-5.
+
+    Members of a band are first held against its least id, which links most groups with as many pairs as members.
+    What of a band is then still in several components meets in cells, first by sketches, then by full sets; only
+    links come out of these tasks, so no group is paired out, and no link between components is missed.
     """
-    signed = stored(signatures(docs, size), "neardup-signed")
-    classes = stored(signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")), "neardup-classes")
-    reps = stored(signed.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"]).select(F.col("doc_id").alias("id"), "sketch").dropDuplicates(["id"]), "neardup-reps")
     texts = docs.select("doc_id", "text")
-    comps, _ = linked(
-        bands(reps),
-        lambda pairs: verify(pairs, reps, texts, size, percent),
-        lambda ids: full_sets(stored(ids, "neardup-ids"), texts, size),
-        lambda left, right: compare_sets(left, right, percent),
-        "a long, b long",
-    )
-    whole = classes.join(comps, "id", "left").select("digest", F.coalesce("component", "id").alias("_nd_c"))
+    signed = stored(signatures(docs, size), "neardup-signed")
+    classes = signed.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = stored(classes.where("id is not null"), "neardup-reps")
+    rows = bands(reps)
+    ends = rows.groupBy("band").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
+    members = stored(rows.join(ends.select("band", "lo"), "band"), "neardup-members")
+    close = stored(star_pairs(members, reps, percent), "neardup-close")
+    links = confirmed(close, texts, size, percent)
+    labels = forest(links)
+    open_ = open_members(members, labels)
+    forget(members, close, links)
+    some = stored(partnered(cells(open_, percent), reps, percent), "neardup-cells")
+    found = cell_links(some, texts, size, percent)
+    joined = forest(found).select(F.col("id").alias("_nd_c"), F.col("component").alias("_nd_d"))
+    whole = reps.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("_nd_c"))
+    whole = whole.join(joined, "_nd_c", "left").select("digest", F.coalesce("_nd_d", "_nd_c").alias("_nd_c"))
+    forget(open_, some, found)
+    # A class of very many copies is split by the skewed join: nothing is grouped behind it.
     out = signed.select("doc_id", "n_shingles", "digest").join(whole, "digest", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("_nd_c", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
