@@ -2,9 +2,9 @@
 
 A recording's spectrum is folded into twelve pitch classes a frame. Sixteen filters, differences of areas of that
 image read from its integral image, slide over it; each gives two bits, and the 32 bits of a position are one packed
-integer. Two recordings align at the offset with the least share of differing bits. Every two recordings are held
-against each other at every offset with enough overlap: bits written as +1 and -1 make agreement a correlation, so
-that a product of spectra gives the differing bits of all offsets of many pairs at once, whatever the noise.
+integer. Recordings are searched for by parts of these integers: KEY_BITS of the 32 bits, taken at TURNS places, so
+that a position with a few wrong bits still votes. Votes make a histogram of offsets for two recordings, and offsets
+with LEAST_VOTES are held to the share of bits that really differ there.
 """
 
 from __future__ import annotations
@@ -15,11 +15,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import by_value, shared_path, stored
-from docketspark.llm.grouping import components
+from docketspark.llm.common import by_value, stored
+from docketspark.llm.grouping import runs
 
 by_value(__name__)
 
@@ -34,10 +34,12 @@ STEP = 0.3
 MOST_ERRORS, LEAST_OVERLAP = 20, 40
 #: Frames below this root-mean-square amplitude (full scale 1) are silence.
 SILENCE = 1e-3
-#: Positions of a block that is broadcast, and values that one product of spectra may have.
-BLOCK_PRINTS, PRODUCT = 1 << 18, 1 << 21
-#: Of the 32 bits, those that are looked at first: they rule out most pairs, since all bits differ at least as often as some.
-SIEVE = 22
+#: Bits of a key, how many keys an integer has, and votes that an offset needs.
+KEY_BITS, TURNS, LEAST_VOTES = 20, 4, 2
+#: Rows whose rec_id is divisible by this ask.
+EVERY = 20
+#: Positions of a block of asking recordings and of a part of all, at most about so many; votes or positions that are looked at together.
+BLOCK_PRINTS, PART_PRINTS, AT_ONCE = 1 << 19, 1 << 17, 1 << 20
 
 
 def samples(audio: bytes) -> tuple[np.ndarray, int]:
@@ -97,60 +99,84 @@ def fingerprint(audio: bytes | None) -> np.ndarray:
     return out
 
 
-def _size(n: int) -> int:
-    """The least 2^i, 3 * 2^i or 25 * 2^i from n on: a length with a quick transform."""
-    return min(f << max(0, (-(-n // f) - 1).bit_length()) for f in (1, 3, 25))
+def turned(prints: np.ndarray) -> np.ndarray:
+    """TURNS x positions: keys of KEY_BITS bits, of every integer turned by so many bits; a key tells its turn."""
+    p, step = prints.astype(np.uint64), 32 // TURNS
+    both = [p << np.uint64(step * k) | p >> np.uint64(32 - step * k) for k in range(TURNS)]
+    return np.stack([(x & np.uint64((1 << KEY_BITS) - 1)).astype(np.int64) | k << KEY_BITS for k, x in enumerate(both)])
 
 
-def _spectra(prints: list[np.ndarray], bits: range, size: int) -> np.ndarray:
-    """recordings x bits x frequencies: of +1 and -1 at the positions, 0 behind them."""
-    kind = np.float32 if size <= 1 << 12 else np.float64  # counts stay exact when rounded
-    out = np.zeros((len(prints), len(bits), size // 2 + 1), np.complex64 if kind is np.float32 else np.complex128)
-    for row, p in zip(out, prints, strict=True):
-        row[:] = np.fft.rfft((2 * (p >> np.array(bits, np.uint32)[:, None] & 1).astype(kind) - 1), size, axis=1)
-    return out
+def gathered(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1 and so on, size[0] of them, then the same for begin[1]."""
+    ends = np.cumsum(size)
+    return np.repeat(begin - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def errors_at(x: np.ndarray, y: np.ndarray, x0: np.ndarray, y0: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(differing bits, compared bits) of x[x0 :][: n] and y[y0 :][: n] for each x0, y0 and n; where both are silent nothing is compared."""
+    errors, compared = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    upto, at = np.cumsum(n), 0
+    while at < len(n):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + AT_ONCE, "right")))
+        a, b = x[gathered(x0[at:to], n[at:to])], y[gathered(y0[at:to], n[at:to])]
+        some = np.flatnonzero(n[at:to])
+        if len(some):
+            starts = (np.cumsum(n[at:to]) - n[at:to])[some]
+            errors[at + some] = np.add.reduceat(np.bitwise_count(a ^ b), starts, dtype=np.int64)
+            compared[at + some] = 32 * np.add.reduceat((a | b) != 0, starts, dtype=np.int64)
+        at = to
+    return errors, compared
 
 
-def _overlap(n, m, at):
-    """Positions in which recordings of n and m overlap at offsets."""
-    return np.maximum(np.minimum(n, m - at) - np.maximum(0, -at), 0)
-
-
-def _places(n: np.ndarray, m: np.ndarray, size: int) -> np.ndarray:
-    """The offset that each place of a transform stands for, by pair: where two offsets share a place, the one with more overlap."""
-    at = np.arange(size)
-    n, m = np.asarray(n)[..., None], np.asarray(m)[..., None]
-    return np.where(_overlap(n, m, at) >= _overlap(n, m, at - size), at, at - size)
-
-
-def best_offsets(x: list[np.ndarray], y: list[np.ndarray], least_overlap: int) -> np.ndarray:
-    """(offset, differing bits, compared bits) for each x and y in turn; see align."""
-    n, m = np.array([len(p) for p in x]), np.array([len(p) for p in y])
-    # With so many places an offset of enough overlap shares its place with offsets of no overlap only.
-    size = _size(int(n.max() + m.max()))
-    turn = lambda a, b: np.fft.irfft((a.conj() * b).sum(1), size, axis=1).round().astype(np.int64)
-    agree = turn(_spectra(x, range(32), size), _spectra(y, range(32), size))
-    at = _places(n, m, size)
-    both = _overlap(n[:, None], m[:, None], at)
-    errors, compared = (32 * both - agree) // 2, 32 * both
-    hush = np.flatnonzero([not (p.all() or q.all()) for p, q in zip(x, y, strict=True)])
-    if len(hush):
-        silent = lambda z: np.fft.rfft([np.pad((z[i] == 0).astype(float), (0, size - len(z[i]))) for i in hush], axis=1)[:, None]
-        compared[hush] -= 32 * turn(silent(x), silent(y))
-    valid = compared >= 32 * max(1, least_overlap)
-    share = np.where(valid, errors / np.maximum(compared, 1), 2)
-    least = share == share.min(1, keepdims=True)
-    least &= compared == np.where(least, compared, -1).max(1, keepdims=True)
-    order = np.where(least, at, 1 << 40).argmin(1)
-    rows = np.arange(len(n))
-    return np.where(valid[rows, order, None], np.stack([at[rows, order], errors[rows, order], compared[rows, order]], 1), 0)
-
-
-def align(x: np.ndarray, y: np.ndarray, least_overlap: int = LEAST_OVERLAP) -> tuple[int, int, int]:
-    """(offset, differing bits, compared bits): x[i] goes with y[i + offset] at the offset with the least share of differing bits (of equals the most compared bits, then the least offset) of all that compare least_overlap integers or more; zeros without one. Integers that are silent in both are not compared."""
-    if not len(x) or not len(y):
-        return 0, 0, 0
-    return tuple(best_offsets([x], [y], least_overlap)[0].tolist())
+class Index:
+    """Recordings (id, prints) by the keys of their integers."""
+
+    def __init__(self, items: list[tuple[int, bytes]]):
+        prints = [np.frombuffer(p, "<u4") for _, p in items]
+        self.ids, self.lengths = np.array([i for i, _ in items], np.int64), np.array([len(p) for p in prints], np.int64)
+        self.flat, self.begins = np.concatenate(prints), np.cumsum(self.lengths) - self.lengths
+        keys, sounding = turned(self.flat), self.flat != 0
+        keys = keys[:, sounding].ravel()
+        order = np.argsort(keys, kind="stable")
+        self.count = np.bincount(keys, minlength=TURNS << KEY_BITS)
+        self.first = np.cumsum(self.count) - self.count
+        at = np.flatnonzero(sounding)[order % max(1, int(sounding.sum()))]
+        self.owner = np.repeat(np.arange(len(items)), self.lengths)[at]
+        self.place = at - self.begins[self.owner]
+
+    def search(self, ids: np.ndarray, prints: list[np.ndarray], most_errors: int, least_overlap: int):
+        """Arrays (own recording's number, i, offset, differing bits, compared bits) of all alignments of own recordings and prints[i]: of two that align, the best offset that the histogram of votes names."""
+        lengths = np.array([len(p) for p in prints], np.int64)
+        flat, begins = np.concatenate(prints), np.cumsum(lengths) - lengths
+        keys = turned(flat)
+        votes = np.where(flat != 0, self.count[keys], 0)
+        upto = np.concatenate(([0], np.cumsum(votes.sum(0))))
+        ends, at, width = upto[begins + lengths], 0, int(self.lengths.max() + lengths.max())
+        while at < len(prints):
+            to = max(at + 1, int(np.searchsorted(ends, upto[begins[at]] + AT_ONCE, "right")))
+            part = slice(begins[at], begins[to - 1] + lengths[to - 1])
+            own = np.repeat(np.arange(at, to), lengths[at:to])
+            place = np.arange(len(own)) - np.repeat(begins[at:to] - begins[at], lengths[at:to])
+            n = votes[:, part].ravel()
+            post = gathered(self.first[keys[:, part].ravel()], n)
+            pair = np.repeat(np.tile(own, TURNS), n) * len(self.ids) + self.owner[post]
+            code = np.sort(pair * width + np.repeat(np.tile(place, TURNS), n) - self.place[post] + self.lengths.max())
+            starts = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1]))) if len(code) else code
+            code = code[starts[np.diff(np.append(starts, len(code))) >= LEAST_VOTES]]
+            i, q, offset = code // width // len(self.ids), code // width % len(self.ids), code % width - self.lengths.max()
+            apart = self.ids[q] != ids[i]
+            i, q, offset = i[apart], q[apart], offset[apart]
+            low = np.maximum(0, -offset)
+            n = np.minimum(self.lengths[q], lengths[i] - offset) - low
+            long_ = n >= least_overlap
+            i, q, offset, low, n = i[long_], q[long_], offset[long_], low[long_], n[long_]
+            errors, compared = errors_at(self.flat, flat, self.begins[q] + low, begins[i] + low + offset, n)
+            good = np.flatnonzero((compared >= 32 * least_overlap) & (100 * errors <= most_errors * compared))
+            good = good[np.lexsort((offset[good], -compared[good], errors[good] / compared[good], q[good], i[good]))]
+            pair = i[good] * len(self.ids) + q[good]
+            good = good[np.concatenate(([True], pair[1:] != pair[:-1]))] if len(good) else good
+            yield q[good], i[good], offset[good], errors[good], compared[good]
+            at = to
 
 
 def fingerprints(media: DataFrame) -> DataFrame:
@@ -166,139 +192,72 @@ def fingerprints(media: DataFrame) -> DataFrame:
     return media.select("rec_id", "audio").mapInArrow(taken, "rec_id long, n_prints long, digest binary, prints binary")
 
 
-LINK = ["a", "b", "offset", "bit_errors", "compared_bits"]
+FOUND = ["id", "n_links", "aligned_to", "offset", "bit_errors", "compared_bits"]
 
 
-def _sound(alignment: tuple[int, int, int], most_errors: int, least_overlap: int) -> bool:
-    _, errors, compared = alignment
-    return compared >= 32 * least_overlap and 100 * errors <= most_errors * compared
+def _found(index: Index, ids: np.ndarray, prints: list[np.ndarray], most_errors: int, least_overlap: int) -> list[tuple]:
+    """FOUND of every recording of the index that has an alignment with one of prints."""
+    best, count = {}, {}
+    for q, i, *rest in index.search(ids, prints, most_errors, least_overlap):
+        for own, other, offset, errors, compared in zip(index.ids[q].tolist(), ids[i].tolist(), *(x.tolist() for x in rest), strict=True):
+            count[own] = count.get(own, 0) + 1
+            best[own] = min(best.get(own, (2,)), (errors / compared, other, offset, errors, compared))
+    return [(own, count[own], *best[own][1:]) for own in best]
 
 
-class Block:
-    """Recordings (id, prints) that others are held against, with their spectra by size."""
+def searched(reps: DataFrame, most_errors: int = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
+    """FOUND of every asking row of reps (id, prints, asked) that aligns with another: its number of alignments, and the best one.
 
-    def __init__(self, items: list[tuple[int, bytes]]):
-        self.ids, self.prints = np.array([i for i, _ in items], np.int64), [np.frombuffer(p, "<u4") for _, p in items]
-        self.lengths, self.spectra = np.array([len(p) for p in self.prints]), {}
-
-    def candidates(self, x: list[np.ndarray], most_errors: int, least_overlap: int):
-        """Runs of (places in x, places in the block) of all pairs that the SIEVE bits don't rule out at some offset."""
-        n = np.array([len(p) for p in x])
-        size = _size(int(n.max() + self.lengths.max()) - least_overlap + 1)  # offsets of enough overlap have places of their own
-        bits = SIEVE if 64 * most_errors < 100 * SIEVE else 32  # fewer would ask for less agreement with more overlap
-        if (size, bits) not in self.spectra:
-            self.spectra = {(size, bits): np.ascontiguousarray(_spectra(self.prints, range(bits), size).transpose(2, 1, 0))}
-        right, most = self.spectra[size, bits], max(1, PRODUCT // (size * len(self.prints)))
-        for at in range(0, len(x), most):
-            left = np.ascontiguousarray(_spectra(x[at : at + most], range(bits), size).conj().transpose(2, 0, 1))
-            agree = np.fft.irfft(np.matmul(left, right), size, axis=0)
-            # The least overlap of any of these pairs at a place; silence compares fewer bits, which asks for more agreement.
-            low = (int(n[at : at + most].min()), int(self.lengths.min()))
-            both = np.maximum(_overlap(*low, _places(*low, size)), least_overlap)
-            asked = bits * both - 2 * np.floor(32 * both * most_errors / 100) - 0.5
-            if most_errors >= 50:
-                asked[:] = -np.inf
-            yield at, np.nonzero((agree >= asked[:, None, None].astype(agree.dtype)).any(0))
-
-
-def compare(ids: np.ndarray, prints: list[np.ndarray], same: bool, block: Block, most_errors: int, least_overlap: int) -> list[tuple]:
-    """Links between recordings and a block (each two once if the recordings are of that block): of every recording the best, and so many others that they connect all that links connect."""
-    root, best, tree = {}, {}, {}
-
-    def find(i):
-        while root.setdefault(i, i) != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for at, (i, j) in block.candidates(prints, most_errors, least_overlap):
-        i = i + at
-        if same:
-            i, j = i[ids[i] < block.ids[j]], j[ids[i] < block.ids[j]]
-        step = max(1, PRODUCT // (64 * int(max(len(p) for p in prints) + block.lengths.max())))
-        for k in range(0, len(i), step):
-            a, b = ids[i[k : k + step]], block.ids[j[k : k + step]]
-            u, v = [prints[p] for p in i[k : k + step]], [block.prints[q] for q in j[k : k + step]]
-            pairs = [(x, y) if p < q else (y, x) for p, q, x, y in zip(a, b, u, v, strict=True)]
-            got = best_offsets([x for x, _ in pairs], [y for _, y in pairs], least_overlap)
-            good = (got[:, 2] >= 32 * least_overlap) & (100 * got[:, 1] <= most_errors * got[:, 2])
-            for p, q, g in zip(np.minimum(a, b)[good].tolist(), np.maximum(a, b)[good].tolist(), got[good].tolist(), strict=True):
-                link, share = (p, q, *g), g[1] / g[2]
-                for own, other in ((p, q), (q, p)):
-                    if own not in best or (share, other) < best[own][0]:
-                        best[own] = ((share, other), link)
-                x, y = find(p), find(q)
-                if x != y:
-                    root[max(x, y)] = min(x, y)
-                    tree[p, q] = link
-    return list({**tree, **{x[:2]: x for _, x in best.values()}}.values())
-
-
-def links_of(reps: DataFrame, most_errors: int, least_overlap: int) -> DataFrame:
-    """Links between reps (id, prints), every two held against each other: see compare for those that are returned.
-
-    Recordings of like length form blocks of about BLOCK_PRINTS positions. A block at a time is broadcast and all
-    recordings of it and later blocks pass by, so nothing is shuffled and a task holds one block, however many there are.
+    reps (stored) is dealt by hash to parts, its asking rows to blocks, both of bounded size. Every block meets every
+    part in a cell: the block is indexed there and the part's recordings vote. So each row moves once for every block,
+    each asking row once for every part, and cells return a row an asking recording at most.
     """
-    spark, least_overlap, size = reps.sparkSession, max(1, least_overlap), F.expr("length(prints) div 4")
-    reps = reps.where(size >= least_overlap).withColumn("_m_class", F.length(F.bin(size)))
-    sizes = reps.groupBy("_m_class").agg(F.ceil(F.sum(size) / BLOCK_PRINTS).cast("int").alias("blocks"))
-    first = F.sum("blocks").over(Window.orderBy("_m_class")) - F.col("blocks")  # a row for each power of two of lengths
-    blocks = F.broadcast(sizes.withColumn("first", first))
-    own = (F.col("first") + F.pmod(F.xxhash64("id"), F.col("blocks"))).cast("int")
-    # Few bytes, much work: the files are so many that all cores have some.
-    reps = reps.join(blocks, "_m_class").select("id", "prints", own.alias("block")).repartition(2 * spark.sparkContext.defaultParallelism, "id")
-    reps = stored(reps, "media-blocks")
-    n = reps.agg(F.max("block")).first()[0]
-    schema, path = ", ".join(f"{c} long" for c in LINK), shared_path(spark, "media-links")
-    if n is None:
-        return spark.createDataFrame([], schema)
-    for k in range(n + 1):
-        # Bounded by BLOCK_PRINTS (or one recording's length) up to the spread of the hash.
-        items = [(r.id, bytes(r.prints)) for r in reps.where(F.col("block") == k).select("id", "prints").collect()]
-        if items:
-            _against(reps.where(F.col("block") >= k), k, items, most_errors, least_overlap).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def _against(reps: DataFrame, k: int, items: list, most_errors: int, least_overlap: int) -> DataFrame:
-    shared = reps.sparkSession.sparkContext.broadcast(items)
+    least_overlap, n = max(1, least_overlap), F.expr("length(prints) div 4")
+    reps = reps.where(n >= least_overlap)
+    asked, every = reps.agg(F.sum(F.when(F.col("asked"), n)), F.sum(n)).first()
+    blocks, parts = (max(1, -(-(x or 0) // size)) for x, size in ((asked, BLOCK_PRINTS), (every, PART_PRINTS)))
+    dealt = lambda count: F.pmod(F.xxhash64("id"), F.lit(count)).cast("int")
+    all_of = lambda count: F.explode(F.sequence(F.lit(0), F.lit(int(count) - 1)))
+    queries = reps.where("asked").select(dealt(blocks).alias("block"), all_of(parts).alias("part"), F.lit(0).alias("side"), "id", "prints")
+    others = reps.select(all_of(blocks).alias("block"), dealt(parts).alias("part"), F.lit(1).alias("side"), "id", "prints")
+    cells = queries.union(others).repartition("block", "part").sortWithinPartitions("block", "part", "side", "id")
 
     def held(batches):
-        block = Block(shared.value)
-        for b in batches:
-            ids, at = b.column("id").to_numpy(), b.column("block").to_numpy()
-            prints = [np.frombuffer(p, "<u4") for p in b.column("prints").to_pylist()]
-            kinds = np.array([2 * len(p).bit_length() + (i == k) for p, i in zip(prints, at, strict=True)])
-            for kind in np.unique(kinds):  # like lengths together
-                rows = np.flatnonzero(kinds == kind)
-                got = compare(ids[rows], [prints[r] for r in rows], bool(kind & 1), block, most_errors, least_overlap)
-                yield pa.RecordBatch.from_arrays([pa.array([g[c] for g in got], pa.int64()) for c in range(5)], names=LINK)
-
-    return reps.mapInArrow(held, ", ".join(f"{c} long" for c in LINK))
-
-
-def align_recordings(media: DataFrame, most_errors: int = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
-    """rec_id, n_prints, class_id, component_id, aligned_to, offset, bit_errors, compared_bits for every row of media.
-
-    media: rec_id (long) and audio (16-bit PCM WAVE bytes). class_id: the least rec_id with the same
-    fingerprint; component_id: the least rec_id reachable through alignments. The last four name the
-    alignment of the class with the fewest differing bits (then the least rec_id), null without any: its print i
-    sounds with print i + offset of aligned_to. Null, broken, silent and too short files have no class but
-    themselves; repeated rows all appear; an empty table gives an empty result; other columns don't matter.
+        for t, bounds in runs(batches, 2):
+            out = []
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                m = int((t.column("side").to_numpy()[a:b] == 0).sum())
+                ids, raw = t.column("id").to_numpy()[a:b], t.column("prints")[a:b].to_pylist()
+                if 0 < m < b - a:
+                    index = Index(list(zip(ids[:m].tolist(), raw[:m], strict=True)))
+                    out += _found(index, ids[m:], [np.frombuffer(p, "<u4") for p in raw[m:]], most_errors, least_overlap)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in range(len(FOUND))], names=FOUND)
+
+    found = cells.mapInArrow(held, ", ".join(f"{c} long" for c in FOUND))
+    best = F.min(F.struct((F.col("bit_errors") / F.col("compared_bits")).alias("r"), *FOUND[2:])).alias("m")
+    return found.groupBy("id").agg(F.sum("n_links").alias("n_links"), best).select("id", "n_links", *[f"m.{c}" for c in FOUND[2:]])
+
+
+def align_recordings(media: DataFrame, every: int = EVERY, most_errors: int = MOST_ERRORS, least_overlap: int = LEAST_OVERLAP) -> DataFrame:
+    """rec_id, n_prints, class_id, n_links, aligned_to, offset, bit_errors, compared_bits for every row of media.
+
+    media: rec_id (long) and audio (16-bit PCM WAVE bytes). class_id: the least rec_id with the same fingerprint.
+    Rows whose rec_id is divisible by `every` are searched for among all recordings: n_links is the number of other
+    fingerprints that align with theirs within the bounds, and the last four name the alignment with the least share
+    of differing bits (then the least rec_id): print i sounds with print i + offset of aligned_to. These are null for
+    rows that do not ask, n_links is 0 and the rest null without an alignment. Null, broken, silent and too short
+    files have no class but themselves and align with nothing; rows without a rec_id take the class of their copies;
+    repeated rows all appear; an empty table gives an empty result; other columns don't matter.
     """
     prints = stored(fingerprints(media), "media-prints")
-    classes = stored(prints.where("digest is not null").groupBy("digest").agg(F.min("rec_id").alias("id")), "media-classes")
-    reps = prints.join(classes.select("digest", F.col("id").alias("rec_id")), ["digest", "rec_id"]).select(F.col("rec_id").alias("id"), "prints")
-    reps = stored(reps.dropDuplicates(["id"]), "media-reps")
-    links = links_of(reps, most_errors, least_overlap)
-    comps = components(links)
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("to"), "offset", "bit_errors", "compared_bits").union(links.select("b", "a", -F.col("offset"), "bit_errors", "compared_bits"))
-    best = both.groupBy("id").agg(F.min(F.struct((F.col("bit_errors") / F.col("compared_bits")).alias("r"), "to", "offset", "bit_errors", "compared_bits")).alias("m"))
-    whole = classes.join(comps, "id", "left").join(best, "id", "left")
-    whole = whole.select("digest", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), F.col("m.to").alias("aligned_to"), "m.offset", "m.bit_errors", "m.compared_bits")
-    out = prints.select("rec_id", "n_prints", "digest").join(whole, "digest", "left")
-    own = {c: F.coalesce(c, "rec_id") for c in ("class_id", "component_id")}
-    return out.withColumns(own).select("rec_id", "n_prints", "class_id", "component_id", "aligned_to", "offset", "bit_errors", "compared_bits")
+    asks = F.coalesce(F.col("rec_id") % every == 0, F.lit(False))
+    classes = prints.where("digest is not null").groupBy("digest").agg(F.min("rec_id").alias("id"), F.first("prints").alias("prints"), F.max(asks).alias("asked"))
+    classes = stored(classes.where("id is not null"), "media-classes")
+    whole = classes.select("digest", "id").join(searched(classes, most_errors, least_overlap), "id", "left")
+    out = prints.select("rec_id", "n_prints", "digest", asks.alias("asks")).join(whole, "digest", "left")
+    own = [F.when(F.col("asks"), F.col(c)).alias(c) for c in FOUND[2:]]
+    n_links = F.when(F.col("asks"), F.coalesce("n_links", F.lit(0).cast("long"))).alias("n_links")
+    return out.select("rec_id", "n_prints", F.coalesce("id", "rec_id").alias("class_id"), n_links, *own)
 
 
 # --- recordings for tests and for the query ---------------------------------------------------------------------
