@@ -25,7 +25,7 @@ BASE = {
 }
 #: Candidates of each kind.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{2,253}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,}+(?:@|\(at\)|\[at\])[A-Za-z0-9.-]{2,}+",
     "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){12,18}(?![ -]?[0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z-])",
@@ -38,6 +38,10 @@ HITS = "array<struct<kind:string,start:int,end:int,value:string,before:string,af
 LEAST_SUPPORT, CONFIDENT, ROUNDS = 3, 0.5, 3
 #: Parts that the join of discovered spans to documents splits each text's copies into.
 SALTS = 16
+#: Matches whose lengths are summed at once.
+STRIDE = 128
+#: Values of a hash of words by which those that no pattern has are left out before anything moves. A bound of the broadcast, not of the words.
+SIEVE = 1 << 18
 
 
 def _digits(x: Column) -> Column:
@@ -68,26 +72,36 @@ def _check(kind: str):
     return lambda hit: _valid(kind, hit["value"])
 
 
+def _sums_before(n: Column) -> Column:
+    """Of each number of an array, the sum of those before it. Sums of runs of STRIDE first, so that many take little more than linear time."""
+    part = lambda x, begin, size: F.aggregate(F.slice(x, begin + 1, size), F.lit(0), lambda a, v: a + v)
+    heads = F.transform(F.sequence(F.lit(0), F.floor(F.size(n) / STRIDE).cast("int")), lambda j: part(n, j * STRIDE, F.lit(STRIDE)))
+    upto = lambda x: let(heads, lambda h: F.transform(x, lambda _, k: part(h, F.lit(0), F.floor(k / STRIDE).cast("int")) + part(x, F.floor(k / STRIDE).cast("int") * STRIDE, k % STRIDE)))
+    return upto(n)
+
+
 def _hits(kind: str, text: Column, pattern: str) -> Column:
-    """All matches with their places in code points and the white-space separated words beside them."""
-    word = rf"{SPACE}*([^\x20\x09-\x0D]+){SPACE}+\z"
+    """All matches with their places in code points and the white-space separated words beside them, in whole."""
+    last = rf"\A{SPACE}+([^\x20\x09-\x0D]+)"  # of the text before, turned round
+    next_ = rf"\A{SPACE}+([^\x20\x09-\x0D]+)(?:{SPACE}|\z)"
 
     def placed(x):
-        def step(acc, value):
-            k = F.size(acc["out"])
+        def hit(value, k):
             left, right = F.get(x["p"], k), F.get(x["p"], k + 1)
-            start = acc["at"] + F.length(left)
-            end = start + F.length(value)
-            before = F.regexp_extract(F.right(left, F.lit(64)), word, 1)
-            after = F.regexp_extract(F.left(right, F.lit(64)), rf"\A{SPACE}+([^\x20\x09-\x0D]+)(?:{SPACE}|\z)", 1)
-            hit = F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), value.alias("value"), F.lower(before).alias("before"), F.lower(after).alias("after"))
-            return F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out"))
+            start = F.get(x["n"], k) + F.length(left)
+            before = F.reverse(F.regexp_extract(F.reverse(left), last, 1))
+            after = F.regexp_extract(right, next_, 1)
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"), F.lower(before).alias("before"), F.lower(after).alias("after"))
 
-        none = F.struct(F.lit(0).alias("at"), F.array().cast(HITS).alias("out"))
-        return F.aggregate(x["h"], none, step, lambda acc: acc["out"])
+        return F.transform(x["h"], hit)
 
     both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("h"), F.split(text, pattern, -1).alias("p"))
-    return F.when(text.rlike(HINT[kind]), let(both, placed)).otherwise(F.array().cast(HITS))
+
+    def summed(x):
+        lengths = F.transform(x["h"], lambda v, k: F.length(v) + F.length(F.get(x["p"], k)))
+        return let(F.struct(x["h"].alias("h"), x["p"].alias("p"), let(lengths, _sums_before).alias("n")), placed)
+
+    return F.when(text.rlike(HINT[kind]), let(both, summed)).otherwise(F.array().cast(HITS))
 
 
 def found(docs: DataFrame) -> DataFrame:
@@ -121,9 +135,11 @@ def _edges(rows: DataFrame) -> DataFrame:
 
 
 def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """word, total: how often each of words stands in docs, copies included. Tasks count before anything moves: Spark would put a semi join below the counting."""
-    every = docs.select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
-    return every.join(words.select("word").distinct(), "word")
+    """word, total: how often each of words stands in docs, copies included. Of the corpus's words only those that pass the sieve are counted and moved."""
+    sieve = F.pmod(F.xxhash64("word"), F.lit(SIEVE)).alias("_p_w")
+    few = F.broadcast(words.select(sieve).distinct())  # SIEVE rows of one number at most
+    every = docs.select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).join(few, sieve == F.col("_p_w"), "left_semi")
+    return every.groupBy("word").agg(F.count("*").alias("total")).join(words.select("word").distinct(), "word")
 
 
 def scored_instances(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
