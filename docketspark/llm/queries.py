@@ -70,9 +70,13 @@ def op9_contextual_pii(spark, sf_dir):
 
 
 def op10_secret_ledger(spark, sf_dir):
-    from docketspark.llm.secrets import KINDS, scan_secrets
+    """Two scans of one ledger: an eighth of the blobs, as of an earlier day, and then all, of which the ledger knows those."""
+    from docketspark.llm.common import shared_path
+    from docketspark.llm.secrets import KINDS, digest, scan_secrets, update_ledger
 
-    out = scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs, ledger = table(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "secret-ledger")
+    update_ledger(docs.where(F.substring(F.hex(digest()), 1, 1) < "2"), ledger)
+    out = scan_secrets(docs, ledger)
     of = lambda *kinds: F.filter("findings", lambda f: f["kind"].isin(*kinds))
     counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in KINDS]
     return out.select("doc_id", *counts, F.sha2(spans_text(of(*KINDS)).cast("binary"), 256).alias("base_sha256"), spans_text(F.col("findings")).alias("spans"))

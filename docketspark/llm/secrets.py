@@ -1,13 +1,14 @@
 """Secret scans over an incremental blob ledger.
 
-Every text version is a blob, named by its SHA-256. The ledger is a Parquet table of (digest, rule_version,
-findings); a scan takes only the pairs it doesn't have, once each however many paths hold the blob, appends their
+Every text version is a blob, named by its SHA-256. The ledger is a Parquet table of (digest, findings) with a
+folder for each rule_version; a scan takes only the pairs it doesn't have, once each however many paths hold the blob, appends their
 findings, and joins the ledger back to all paths.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,7 +18,6 @@ from docketspark.llm.common import by_value, shared_path
 
 by_value(__name__)
 
-RULE_VERSION = 1
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -28,6 +28,8 @@ _BODY = re.compile(r"""(?:(?:[\x20\t\r\n>"',]|\\[nr])*+(?:(?:Proc-Type|DEK-Info)
 _JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}")
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _HEX_BYTES = bytes(120 if chr(b) in "0123456789abcdef" else 32 for b in range(256))
+#: Told by the rules themselves, so findings of other rules are never taken for these.
+RULE_VERSION = zlib.crc32(repr([p.pattern for p in (_ASSIGN, _ACCESS, _HEX, _PEM, _BODY, _JWT)] + [_WORDS]).encode()) >> 1
 FINDINGS = "array<struct<kind:string,start:int,end:int>>"
 
 
@@ -77,8 +79,8 @@ def digest(text="text"):
 def update_ledger(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION) -> DataFrame:
     """Scans the blobs of docs that the ledger lacks for this rule version; returns the ledger's rows of that version.
 
-    The rules in force are those of this module; a change of rules takes a new rule_version. The rows appended
-    are keyed, so an append that is done twice changes no result: findings are read by key.
+    The rules in force are those of this module, and so is the version; one given by hand starts afresh. The rows
+    appended are keyed, so an append that is done twice changes no result: findings are read by key.
     """
     spark = docs.sparkSession
     blobs = docs.select(digest().alias("_sc_digest"), F.coalesce("text", F.lit("")).alias("_sc_text"))
@@ -88,7 +90,7 @@ def update_ledger(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION
         blobs = blobs.join(seen, "_sc_digest", "left_anti")
     once = blobs.groupBy("_sc_digest").agg(F.first("_sc_text").alias("_sc_text"))
     found = once.mapInArrow(_scanned, f"digest binary, findings {FINDINGS}")
-    found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").parquet(ledger)
+    found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
     return _read(spark, ledger, rule_version)
 
 
