@@ -30,6 +30,8 @@ KEEP_AT = 0.7
 #: Words at a time: counting adds to a whole table each time, pooling works on a vector for each word, which small chunks keep in the processor's cache.
 COUNT_WORDS, POOL_WORDS = 1 << 18, 1 << 13
 FEATURES = 4 * DIM + 4
+#: Bytes of a word: a longer run without white space is so many words.
+LONGEST = 64
 
 _SHAPE = bytes(65 if 65 <= b <= 90 else 48 if 48 <= b <= 57 else 97 if 97 <= b <= 122 or b >= 128 else b for b in range(256))
 
@@ -41,7 +43,7 @@ class Units(dict):
 
     def __missing__(self, word: bytes) -> int:
         shape = word.translate(_SHAPE)
-        runs = bytes(b for i, b in enumerate(shape[:64]) if i == 0 or b != shape[i - 1])
+        runs = bytes(b for i, b in enumerate(shape) if i == 0 or b != shape[i - 1])
         code = zlib.crc32(word.lower()) % WORD_UNITS | (WORD_UNITS + zlib.crc32(runs) % SHAPE_UNITS) << 16
         if len(self) >= self.LIMIT:
             self.clear()
@@ -53,7 +55,10 @@ def chunks(texts: list, units: Units, most: int):
     """(first row, units of the words, words of each row) for runs of rows with about `most` words."""
     rows, first, n = [], 0, 0
     for i, text in enumerate(texts):
-        rows.append((text or b"").split())
+        row = (text or b"").split()
+        if row and max(map(len, row)) > LONGEST:
+            row = [w[at : at + LONGEST] for w in row for at in range(0, len(w), LONGEST)]
+        rows.append(row)
         n += len(rows[-1])
         if n >= most or i == len(texts) - 1:
             code = np.fromiter(map(units.__getitem__, chain.from_iterable(rows)), np.int64, n)
@@ -91,9 +96,10 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """UNITS x DIM unit-length vectors from all of docs."""
     columns = [f"v{j}" for j in range(DIM)]
     counted = docs.select("text").mapInArrow(_count, "unit int, " + ", ".join(f"{c} long" for c in columns))
-    summed = counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in columns]).toPandas()
+    summed = counted.groupBy("unit").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
     table = np.zeros((UNITS, DIM), np.float32)
-    table[summed["unit"].to_numpy()] = summed[columns].to_numpy(np.float32)
+    for j, c in enumerate(columns):
+        table[summed["unit"].to_numpy(), j] = summed[c].to_numpy()
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
 
 
@@ -182,10 +188,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.nd
 
     # The sample has a bounded number of rows, so its broadcast is bounded.
     rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").mapInArrow(features, "doc_id long, y int, x binary")
-    got = rows.toPandas().sort_values(["doc_id", "x"])
-    x = np.frombuffer(b"".join(got["x"]), np.float32).reshape(-1, FEATURES).astype(float)
-    aside = np.array([zlib.crc32(b"aside:%d" % i) % 6 == 0 for i in got["doc_id"]], bool)
-    return vectors, Network(x, got["y"].to_numpy(int), aside)
+    # One row a doc_id, however often it is repeated: `sample` rows at most reach the driver.
+    got = rows.groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).toArrow().sort_by("doc_id")
+    shared.unpersist()
+    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, FEATURES)
+    aside = np.array([zlib.crc32(b"aside:%d" % i) % 6 == 0 for i in got["doc_id"].to_pylist()], bool)
+    return vectors, Network(x, got["y"].to_numpy(), aside)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
