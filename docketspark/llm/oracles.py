@@ -38,7 +38,7 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-_RATES = {"symbols": ("n_symbols", "word_chars", 1000, 10, False), "word_length": ("word_chars", "n_words", 100, 60, True), "dup_lines": ("n_dup_lines", "n_words", 1000, 10, False), "repeats": ("n_repeat_words", "n_words", 1000, 100, False)}
+_RATES = {"symbols": ("n_symbols", "word_chars", 1000, 10, False), "word_length": ("word_chars", "n_words", 100, 60, True), "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False), "repeats": ("n_repeat_words", "n_words", 1000, 50, False)}
 _RATE_ROWS = " UNION ALL ".join(
     f"SELECT lk, sk, '{k}' AS rate, {least} AS least, CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} END AS v FROM c WHERE NOT base_failed"
     for k, (top, bottom, scale, least, _) in _RATES.items()
@@ -75,12 +75,12 @@ WITH d AS (
   SELECT id, sum(least(8, i - before)) AS n
   FROM (SELECT id, i, coalesce(lag(i) OVER (PARTITION BY id ORDER BY i), i - 8) AS before FROM hit) GROUP BY id
 ), ln AS (
-  SELECT id, count(*) - count(DISTINCT x) AS n
+  SELECT id, count(*) AS lines, count(*) - count(DISTINCT x) AS n
   FROM (SELECT id, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, {_WORD}) GROUP BY id
 ), c AS (
   SELECT doc_id, CASE WHEN lang IS NULL THEN '-' ELSE '=' || lang END AS lk, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS sk,
          len(words)::BIGINT AS n_words, length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines,
+         len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(ln.n, 0)::BIGINT AS n_dup_lines, coalesce(ln.lines, 0)::BIGINT AS n_lines,
          coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
          len(words) < 20 OR 100 * coalesce(rep.n, 0) > 30 * len(words) AS base_failed
   FROM w LEFT JOIN rep USING (id) LEFT JOIN ln USING (id)
@@ -89,8 +89,8 @@ WITH d AS (
   FROM r WHERE v IS NOT NULL GROUP BY ALL
 ), least_of AS (SELECT DISTINCT rate, least FROM r), o AS ({_quartiles("lk, sk")}), l AS ({_quartiles("lk")}), a AS ({_quartiles("")}), q AS (
   SELECT o.lk, o.sk, o.rate, least,
-         CASE WHEN o.n >= 100 THEN o.q1 WHEN l.n >= 100 THEN l.q1 ELSE a.q1 END AS q1,
-         CASE WHEN o.n >= 100 THEN o.q3 WHEN l.n >= 100 THEN l.q3 ELSE a.q3 END AS q3
+         (o.n * o.q1 + 10 * ((l.n * l.q1 + 10 * a.q1) // (l.n + 10))) // (o.n + 10) AS q1,
+         (o.n * o.q3 + 10 * ((l.n * l.q3 + 10 * a.q3) // (l.n + 10))) // (o.n + 10) AS q3
   FROM o JOIN l ON o.lk = l.lk AND o.rate = l.rate JOIN a ON o.rate = a.rate JOIN least_of ON o.rate = least_of.rate
 ), f AS (SELECT lk, sk, {_LIMITS} FROM q GROUP BY lk, sk)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

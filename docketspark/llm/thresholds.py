@@ -18,13 +18,14 @@ from docketspark.llm.common import SPACE, let, null_key, stored
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, 10, False),
     "word_length": ("word_chars", "n_words", 100, 60, True),
-    "dup_lines": ("n_dup_lines", "n_words", 1000, 10, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 100, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 50, False),
 }
 #: Fences lie so many spreads beyond the quartiles.
 REACH = 3
-#: A language and source with fewer documents than this takes its language's sketch, and a language with fewer the corpus's.
-LEAST_GROUP = 100
+#: The quartiles of a language and source count as many as they have documents, those of the language as much as this
+#: many; and so the language's against the corpus's. Small groups so lean on large ones, without a step anywhere.
+PRIOR = 10
 WINDOW_WORDS = 8
 #: Parts that the join of fences to documents splits each language and source into.
 SALTS = 64
@@ -55,7 +56,7 @@ def _repeat_words(h: Column, n: Column) -> Column:
 
 
 def document_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words for every row; a null text has no words."""
+    """doc_id, lang, source, n_words, word_chars, n_symbols, n_lines (with a word), n_dup_lines, n_repeat_words for every row; a null text has no words."""
     text = F.coalesce(F.col("text"), F.lit(""))
     body = F.regexp_replace(text, rf"\A{SPACE}+|{SPACE}+\z", "")
     words = F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, f"{SPACE}+"))
@@ -68,9 +69,10 @@ def document_counts(docs: DataFrame) -> DataFrame:
         let(hashes, lambda h: F.struct(F.size(h).alias("n"), _repeat_words(h, F.size(h)).alias("r"))).alias("_q_w"),
         (F.length(text) - F.regexp_count(text, F.lit(SPACE))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
+        let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d"))).alias("_q_l"),
     )
-    return counted.select("doc_id", "lang", "source", F.col("_q_w.n").cast("long").alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", F.col("_q_w.r").cast("long").alias("n_repeat_words"))
+    of = lambda name, alias: F.col(name).cast("long").alias(alias)
+    return counted.select("doc_id", "lang", "source", of("_q_w.n", "n_words"), "word_chars", "n_symbols", of("_q_l.n", "n_lines"), of("_q_l.d", "n_dup_lines"), F.col("_q_w.r").cast("long").alias("n_repeat_words"))
 
 
 def rate(name: str) -> Column:
@@ -106,12 +108,13 @@ def quartiles(hist: DataFrame, keys: list[str]) -> DataFrame:
     return merged.groupBy(*keys, "rate").agg(F.max("total").alias("group_n"), at(1).alias("q1"), at(3).alias("q3"))
 
 
-def fences(hist: DataFrame, reach: int = REACH, least_group: int = LEAST_GROUP) -> DataFrame:
+def fences(hist: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """_q_lang, _q_source and for each rate its upper (and lower) fence, in one row a language and source."""
     levels = [quartiles(hist, k) for k in (["_q_lang", "_q_source"], ["_q_lang"], [])]
     own, by_lang, whole = (x.select(*[c for c in x.columns if c[0] == "_"], "rate", *[F.col(c).alias(f"{c}_{i}") for c in ("group_n", "q1", "q3")]) for i, x in enumerate(levels))
     df = own.join(by_lang, ["_q_lang", "rate"]).join(whole, "rate")
-    pick = lambda c: F.when(F.col("group_n_0") >= least_group, F.col(f"{c}_0")).when(F.col("group_n_1") >= least_group, F.col(f"{c}_1")).otherwise(F.col(f"{c}_2"))
+    weighed = lambda q, n, above: F.call_function("div", n * q + prior * above, n + prior)
+    pick = lambda c: weighed(F.col(f"{c}_0"), F.col("group_n_0"), weighed(F.col(f"{c}_1"), F.col("group_n_1"), F.col(f"{c}_2")))
     least = F.create_map(*[x for k, v in RATES.items() for x in (F.lit(k), F.lit(v[3]))])
     df = df.select("_q_lang", "_q_source", "rate", pick("q1").alias("q1"), pick("q3").alias("q3"), least[F.col("rate")].alias("least"))
     spread = F.greatest(F.col("q3") - F.col("q1"), F.col("least").cast("long"))
@@ -121,8 +124,8 @@ def fences(hist: DataFrame, reach: int = REACH, least_group: int = LEAST_GROUP)
     return df.groupBy("_q_lang", "_q_source").agg(*cols)
 
 
-def adaptive_rules(docs: DataFrame, reach: int = REACH, least_group: int = LEAST_GROUP) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, kept and the fences held against each row of docs.
+def adaptive_rules(docs: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
+    """doc_id, lang, source, the six counts, base_failed, kept and the fences held against each row of docs.
 
     Base rules: fewer than 20 words, or more than 30 % of them in repeated windows, fail. Other rows are kept if
     every rate lies within its fences. Null and empty texts have 0 words and fail; null languages and sources
@@ -132,7 +135,7 @@ def adaptive_rules(docs: DataFrame, reach: int = REACH, least_group: int = LEAST
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     counts = document_counts(docs).withColumn("base_failed", failed)
     counts = stored(counts.withColumns({"_q_lang": null_key("lang"), "_q_source": null_key("source")}), "quality-counts")
-    limits = fences(sketches(counts), reach, least_group)
+    limits = fences(sketches(counts), reach, prior)
     salted = limits.withColumn("_q_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     joined = counts.withColumn("_q_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["_q_lang", "_q_source", "_q_salt"], "left")
     within = ~F.col("base_failed")
@@ -142,4 +145,4 @@ def adaptive_rules(docs: DataFrame, reach: int = REACH, least_group: int = LEAST
             within &= rate(k) >= F.col(f"_q_{k}_lower")
     out = joined.withColumn("kept", F.coalesce(within, F.lit(False)))
     named = [F.col(c).alias(c[3:]) for c in limits.columns[2:]]
-    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *named)
+    return out.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "kept", *named)
