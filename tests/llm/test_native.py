@@ -74,6 +74,37 @@ def test_fences_adapt_to_the_group(spark):
     assert not got[1000] and all(got[i] for i in range(300))  # stars are odd among plain texts only
 
 
+def test_every_fence_can_reject_what_the_base_rules_pass(spark):
+    def plain(i, n=40):
+        return [f"word{i}x{j}" for j in range(n)]
+
+    eight = " ".join(f"again{j}" for j in range(8))
+    odd = {
+        "symbols": " ".join(plain(900)) + " *#*#*#*#*#*#*#*#*#*#",
+        "word_length": " ".join(w + "q" * 30 for w in plain(901)),
+        "dup_lines": "\n".join([" ".join(plain(902)), "short one", "short one", "short one"]),
+        "repeats": " ".join([eight, *plain(903, 60), eight]),
+    }
+    texts = [" ".join(plain(i)) for i in range(200)] + list(odd.values())
+    df = docs(spark, texts, sources=("p",)).withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r for r in adaptive_rules(df).collect()}
+    assert all(got[i].kept for i in range(200))
+    for i, name in enumerate(odd, 200):
+        r, rates = got[i], {"symbols": 1000 * got[i].n_symbols // got[i].word_chars, "word_length": 100 * got[i].word_chars // got[i].n_words, "dup_lines": 1000 * got[i].n_dup_lines // got[i].n_lines, "repeats": 1000 * got[i].n_repeat_words // got[i].n_words}
+        assert not r.base_failed and not r.kept
+        assert [k for k in rates if rates[k] > r[f"{k}_upper"]] == [name], name
+
+
+def test_fences_move_by_little_with_one_row_more(spark):
+    """A group of 99, 100 and 101 documents: quartiles are weighed, not switched."""
+    texts = [" ".join(f"w{i:03d}x{j:02d}" + "*" * (3 * (i < 101)) for j in range(40)) for i in range(600)]
+    upper = []
+    for n in (99, 100, 101):
+        df = docs(spark, texts[:n] + texts[101:], sources=("p",)).withColumn("source", F.when(F.col("doc_id") < n, "starry").otherwise("plain")).withColumn("lang", F.lit("en"))
+        upper.append(adaptive_rules(df).where("source = 'starry'").agg(F.max("symbols_upper")).first()[0])
+    assert max(upper) - min(upper) <= 0.05 * max(upper) and min(upper) > 30
+
+
 def test_buckets(spark):
     df = spark.range(0, 5000).select("id", bucket(F.col("id")).alias("b")).withColumn("s", bucket_start(F.col("b")))
     rows = df.orderBy("id").collect()
@@ -177,6 +208,56 @@ def test_copies_leave_discoveries_alone(spark):
         assert len(more) == (r.doc_id % 15 >= 12), r.doc_id
 
 
+def test_hits_carry_whole_words_and_places_however_many(spark):
+    from docketspark.llm import pii
+
+    long_ = "w" * 500
+    text = f"{long_} +1 2345678 {long_}x " + "n +49 1234567, " * 400
+    got = spark.createDataFrame([(text,)], "text string").select(pii._hits("phone", F.col("text"), BASE["phone"]).alias("h")).first().h
+    want = [(m.start(), m.end(), m[0]) for m in re.finditer(PATTERNS["phone"], text)]
+    assert [(h.start, h.end, h.value) for h in got] == want and len(got) > 400
+    assert (got[0].before, got[0].after) == (long_, f"{long_}x") and (got[1].before, got[1].after) == ("n", "")
+
+
+def test_graph_scores_match_brute_force(spark):
+    import math
+    import random
+
+    from docketspark.llm import pii
+
+    r = random.Random(4)
+    words, kinds = [f"w{i}" for i in range(8)], ("email", "phone")
+    edges, totals = {}, {w: r.randrange(20, 60) for w in words}
+    for i in range(60):
+        kind, value, seed = kinds[i % 2], f"v{i}", i % 3 > 0
+        for _ in range(3):
+            edges[kind, value, seed, r.choice(("before", "after")), r.choice(words[:6] if seed else words)] = r.randrange(1, 9)
+    score = {(k, v): float(s) for k, v, s, _, _ in edges}
+    for _ in range(pii.ROUNDS):
+        pattern = {}
+        for (k, v, _, side, w), n in edges.items():
+            p = pattern.setdefault((k, side, w), [0.0, 0, 0])
+            p[0], p[1], p[2] = p[0] + n * score[k, v], p[1] + n, p[2] + (score[k, v] >= pii.CONFIDENT)
+        p = {x: a / max(totals[x[2]], n) for x, (a, n, support) in pattern.items() if support >= pii.LEAST_SUPPORT}
+        miss = {}
+        for (k, v, _, side, w) in edges:
+            miss[k, v] = miss.get((k, v), 0.0) + math.log(1 - min(p.get((k, side, w), 0.0), 0.999))
+        score = {(k, v): max(float(s), 1 - math.exp(miss[k, v])) for k, v, s, _, _ in edges}
+    df = spark.createDataFrame([(*e, n) for e, n in edges.items()], "kind string, value string, seed boolean, side string, word string, n long")
+    got = {(x.kind, x.value): x.score for x in pii.scored_instances(df, spark.createDataFrame(list(totals.items()), "word string, total long")).collect()}
+    want = {(k, v): score[k, v] for k, v, s, _, _ in edges if not s}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert len({round(x, 6) for x in want.values()}) > 5
+
+
+def test_word_totals(spark):
+    from docketspark.llm import pii
+
+    texts = ["Alpha beta  alpha", "beta\ngamma", None, "alpha"]
+    got = pii.word_totals(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([("alpha",), ("gamma",), ("gamma",), ("none",)], "word string"))
+    assert sorted(map(tuple, got.collect())) == [("alpha", 3), ("gamma", 1)]
+
+
 @pytest.mark.parametrize("name", ["op5_adaptive_rules", "op7_source_mix"])
 def test_registered_queries_match_sql(spark, tmp_path, name):
     sf = Path("/root/testdata/sf0.001")
