@@ -1,8 +1,8 @@
 """Token ids in grammar-compressed blocks (Re-Pair) with random access.
 
 Documents are range-partitioned and sorted by doc_id; each partition is a shard, cut into blocks of about
-BLOCK_TOKENS ids. In a block the frequent pairs of ids are replaced by new symbols, round after round with a falling
-threshold; the block stores the rules, the length each rule expands to, the remaining symbols and a table of its
+BLOCK_TOKENS ids, each with a grammar of its own. In a block the frequent pairs of ids are replaced by new symbols,
+round after round, until no pair is frequent; the block stores the rules, the length each rule expands to, the remaining symbols and a table of its
 documents, so that any document is decoded without the rest. Blocks are rows of a Parquet table, which Spark
 commits, prunes and reads in any store.
 """
@@ -25,7 +25,7 @@ by_value(__name__)
 
 END_ID = 1
 BLOCK_TOKENS = 1 << 20
-#: A pair is replaced in round k if it occurs in more than one of SHARES[k] places, and at least LEAST times.
+#: A pair is replaced in round k if it occurs in one of SHARES[k] places or more, and at least LEAST times; after that as in the last of them.
 SHARES, LEAST = (2_000, 8_000, 32_000, 64_000), 12
 #: Bytes of text that a task encodes at a time.
 PORTION = 16 << 20
@@ -56,6 +56,8 @@ class WordEncoder:
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
     END_MARK, TAIL = "</w>", string.punctuation
     AT_ONCE = 512
+    #: A tokenizer that gives other ids for these than its words apart is refused.
+    PROBE = ["Hello  WORLD, it's 42\n\tÜber-x (a.b)", " lead and trail ", "don't STOP 3.14 \u65e5\u672c \u4e2d", "x"]
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -66,6 +68,9 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith(self.END_MARK)]] = True
+        ids, n = self.encode(pa.array(self.PROBE), 0)
+        if not np.array_equal(ids, [x for t in self.PROBE for x in [*self.tokenizer.encode(t, add_special_tokens=False).ids, 0]]):
+            raise ValueError("the tokenizer does not encode lower-cased words one after another")
 
     def _singly(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
@@ -139,18 +144,39 @@ class WordEncoder:
 # --- Re-Pair blocks -------------------------------------------------------------------------------------------
 
 
+def _replaced(seq: np.ndarray, at: np.ndarray, rule: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """(seq, places of the new symbols) with the pair at each of the places at replaced by symbol top + rule."""
+    # Of overlapping places, those at even distance from the start of their run.
+    run = np.concatenate(([True], np.diff(at) != 1))
+    begin = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
+    even = (at - begin) % 2 == 0
+    at, rule = at[even], rule[even]
+    seq[at] = top + rule
+    keep = np.ones(len(seq), bool)
+    keep[at + 1] = False
+    return seq[keep], at - np.arange(len(at))
+
+
+def _often(order: np.ndarray, least: int) -> np.ndarray:
+    """Values that stand in sorted order `least` times or more."""
+    first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
+    return order[first[np.diff(np.append(first, len(order))) >= least]]
+
+
 def compress(ids: np.ndarray, shares=SHARES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, int]:
-    """(symbols, rules, base): symbol base + i stands for the pair rules[i]."""
+    """(symbols, rules, base): symbol base + i stands for the pair rules[i].
+
+    Rounds of all pairs with a falling threshold, then rounds at the last threshold until no pair reaches it. Those
+    look at pairs with a symbol of the round before only: no other pair can have become frequent.
+    """
     seq, rules = ids.astype(np.int64), [np.zeros((0, 2), np.int64)]
     base = top = int(seq.max(initial=0)) + 1
+    most, new = least, np.zeros(0, np.int64)
     for share in shares:
         if len(seq) < 2:
             break
-        keys = (seq[:-1] << 32) | seq[1:]
-        order = np.sort(keys)
-        first = np.flatnonzero(np.concatenate(([True], order[1:] != order[:-1])))
-        count = np.diff(np.append(first, len(order)))
-        often = order[first[count >= max(least, len(seq) // share)]]
+        keys, most = (seq[:-1] << 32) | seq[1:], max(least, len(seq) // share)
+        often = _often(np.sort(keys), most)
         if not len(often):
             continue
         slot = lambda k: ((k.astype(np.uint64) * _MULTIPLY) >> np.uint64(64 - _SLOTS)).astype(np.intp)
@@ -164,14 +190,18 @@ def compress(ids: np.ndarray, shares=SHARES, least: int = LEAST) -> tuple[np.nda
         other = np.flatnonzero(often[rule] != keys[at])
         rule[other] = np.minimum(np.searchsorted(often, keys[at[other]]), len(often) - 1)
         hit = often[rule] == keys[at]
-        at, rule = at[hit], rule[hit]
-        # Of overlapping places, those at even distance from the start of their run.
-        run = np.concatenate(([True], np.diff(at) != 1))
-        begin = at[np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))]
-        even = (at - begin) % 2 == 0
-        at, rule = at[even], rule[even]
-        seq[at] = top + rule
-        seq = np.delete(seq, at + 1)
+        seq, new = _replaced(seq, at[hit], rule[hit], top)
+        rules.append(np.stack([often >> 32, often & 0xFFFFFFFF], 1))
+        top += len(often)
+    while len(new):
+        at = np.union1d(new[new > 0] - 1, new[new < len(seq) - 1])
+        keys = (seq[at] << 32) | seq[at + 1]
+        often = _often(np.sort(keys), most)
+        if not len(often):
+            break
+        rule = np.minimum(np.searchsorted(often, keys), len(often) - 1)
+        hit = often[rule] == keys
+        seq, new = _replaced(seq, at[hit], rule[hit], top)
         rules.append(np.stack([often >> 32, often & 0xFFFFFFFF], 1))
         top += len(often)
     return seq, np.concatenate(rules), base
