@@ -38,20 +38,32 @@ def _line(value: str) -> str:
     return " ".join(value.split())
 
 
-def record(page_id, url, payload: bytes, digest: str, original, date: str = DATE) -> bytes:
-    """One gzip member holding the record; original: the response's page_id if it is a revisit."""
+def _target(page_id, url) -> str:
+    return _line(url) if url and url.strip() else f"urn:page:{page_id}"
+
+
+def _member(head: list[str], body: bytes) -> bytes:
+    gz = zlib.compressobj(4, zlib.DEFLATED, 31)
+    return gz.compress("\r\n".join([*head, f"Content-Length: {len(body)}"]).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + gz.flush()
+
+
+def info(name: str, date: str = DATE) -> bytes:
+    """The member at the head of an archive file."""
+    head = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {date}", f"WARC-Filename: {name}", "Content-Type: application/warc-fields"]
+    return _member(head, b"software: docketspark\r\nformat: WARC File Format 1.1\r\n")
+
+
+def record(page_id, url, payload: bytes, digest: str, original, date: str = DATE, original_url=None) -> bytes:
+    """One gzip member holding the record; original, original_url: the response's page_id and url if it is a revisit."""
     named = "sha1:" + base64.b32encode(bytes.fromhex(digest)).decode()
     revisit = original is not None
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page_id, digest)}", f"WARC-Date: {date}"]
-    head += [f"WARC-Target-URI: {_line(url) if url and url.strip() else f'urn:page:{page_id}'}", f"WARC-Payload-Digest: {named}", "Content-Type: application/http; msgtype=response"]
+    head += [f"WARC-Target-URI: {_target(page_id, url)}", f"WARC-Payload-Digest: {named}", "Content-Type: application/http; msgtype=response"]
     if page_id is not None:
         head.append(f"X-Page-Id: {page_id}")
     if revisit:
-        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}"]
-    body = _HTTP if revisit else _HTTP + payload
-    head.append(f"Content-Length: {len(body)}")
-    gz = zlib.compressobj(4, zlib.DEFLATED, 31)
-    return gz.compress("\r\n".join(head).encode() + b"\r\n\r\n" + body + b"\r\n\r\n") + gz.flush()
+        head += [f"WARC-Profile: {_PROFILE}", f"WARC-Refers-To: {record_id(original, digest)}", f"WARC-Refers-To-Target-URI: {_target(original, original_url)}", f"WARC-Refers-To-Date: {date}"]
+    return _member(head, _HTTP if revisit else _HTTP + payload)
 
 
 def members(stream):
@@ -79,13 +91,14 @@ def parsed(raw: bytes) -> tuple[dict, bytes]:
 
 
 def resolved_headers(pages: DataFrame) -> DataFrame:
-    """page_id, digest, refers_to (null: a response) of each page_id and digest, from headers alone."""
-    heads = pages.select("page_id", _payload().alias("p")).select("page_id", F.sha1("p").alias("digest"), F.octet_length("p").alias("n"))
+    """page_id, digest, refers_to and its url of each page_id and digest that revisits, from headers alone."""
+    heads = pages.select("page_id", "url", _payload().alias("p")).select("page_id", "url", F.sha1("p").alias("digest"), F.octet_length("p").alias("n"))
     heads = stored(heads, "warc-heads")
-    first = heads.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.max("page_id").alias("original"))
+    first = heads.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("o"))
+    first = first.select("digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url"))
     joined = heads.join(first, "digest", "left")
     refers = F.when(F.col("original") != F.coalesce(F.col("page_id"), F.col("original") - 1), F.col("original"))
-    return joined.select("page_id", "digest", refers.alias("refers_to")).where("refers_to is not null").distinct()
+    return joined.select("page_id", "digest", refers.alias("refers_to"), "original_url").where("refers_to is not null").distinct()
 
 
 def _payload():
@@ -99,10 +112,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
     revisit it. A file is written under a name of its task's own and then renamed, so that a task that is run again
     replaces its file by an equal one.
     """
-    revisits = resolved_headers(pages).select(F.col("page_id").alias("_w_page"), F.col("digest").alias("_w_digest"), "refers_to")
+    revisits = resolved_headers(pages).select(F.col("page_id").alias("_w_page"), F.col("digest").alias("_w_digest"), "refers_to", "original_url")
     rows = pages.select("page_id", "url", _payload().alias("payload")).withColumn("digest", F.sha1("payload"))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_w_page")) & (F.col("digest") == F.col("_w_digest")), "left")
-    rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to")
+    rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to", "original_url")
 
     def written(batches):
         from pyspark import TaskContext
@@ -114,9 +127,10 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
         for b in batches:
             if b.num_rows and out is None:
                 out = fs.open_output_stream(draft, compression=None)
+                out.write(info(name, date))
             for i in range(b.num_rows):
-                page, url, payload, digest, original = (b.column(c)[i].as_py() for c in range(5))
-                out.write(record(page, url, payload or b"", digest, original, date))
+                page, url, payload, digest, original, original_url = (b.column(c)[i].as_py() for c in range(6))
+                out.write(record(page, url, payload or b"", digest, original, date, original_url))
                 n += 1
         if out is not None:
             out.close()
@@ -141,6 +155,8 @@ def read_archives(files: DataFrame) -> DataFrame:
                 with fs.open_input_stream(place, compression=None) as stream:
                     for fields, block in map(parsed, members(stream)):
                         kind, page = fields["warc-type"], fields.get("x-page-id")
+                        if kind not in ("response", "revisit"):
+                            continue
                         digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
                         payload = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                         if payload is not None and hashlib.sha1(payload).hexdigest() != digest:
