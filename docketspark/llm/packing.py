@@ -1,6 +1,6 @@
 """Conflict-constrained best-fit packing of documents into bins of fixed capacity.
 
-Rows are dealt by hash to shards of about SHARD_SIZE units of size, each packed by itself, largest pieces first. A
+Rows are dealt by hash to shards of about SHARD_SIZE units of size and rows, each packed by itself, largest pieces first. A
 shard keeps its open bins by residual capacity. A bin carries a bitmap of the duplicate clusters in it and one
 bitmap for each of the first, second, ... document of a source. For a piece the search starts at the least
 residual that holds it and goes to the next larger one until a bin is found whose bitmaps don't conflict: the
@@ -85,7 +85,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     rows = rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n"))
     rows = rows.select("doc_id", "source", "size", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))
     rows = stored(rows, "packing")
-    total = rows.agg(F.sum("size")).first()[0] or 0
+    total = rows.agg(F.sum(F.col("size") + 1)).first()[0] or 0  # rows without words count too
     shards = max(1, -(-total // shard_size))
     full, rest = F.floor(F.col("size") / capacity).cast("long"), F.col("size") % capacity
     sizes = F.concat(F.array_repeat(F.lit(capacity).cast("long"), full.cast("int")), F.when((rest > 0) | (F.col("size") == 0), F.array(rest)).otherwise(F.array().cast("array<long>")))
