@@ -206,7 +206,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
     replaced.
     """
     docs = docs.drop("held_out", "score", "predicted")
-    vectors, network = fit(docs, labels, sample)
+    return _scored(docs, *fit(docs, labels, sample))
+
+
+def _scored(docs: DataFrame, vectors: np.ndarray, network: Network) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((vectors, vars(network)))
     schema = docs.withColumn("score", F.lit(0.0)).schema
 
@@ -219,3 +222,14 @@ def score_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> D
 
     out = docs.mapInArrow(scored, schema)
     return out.withColumn("held_out", held_out()).withColumn("predicted", (F.col("score") >= KEEP_AT).cast("int"))
+
+
+def good(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that are predicted to be good, columns as in docs; all of them where the labels teach no difference."""
+    names = [f"_ql_{i}" for i in range(len(docs.columns))]  # docs may have columns named like a result
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], *[c for c in ("doc_id", "text")])
+    vectors, network = fit(docs, labels, sample)
+    if not network.fitted:
+        return docs
+    kept = _scored(plain, vectors, network).where("predicted = 1")
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -325,6 +325,13 @@ def test_word_encoder_equals_the_tokenizer(tokenizer_json):
         assert flat[a:b].tolist() == [*plain.encode(t or "", add_special_tokens=False).ids, 1], t
 
 
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, pytest.raises(ValueError):
+        tokens.WordEncoder(f.read())
+
+
 def test_tokens_round_trip(spark, tokenizer_json, tmp_path):
     from tokenizers import Tokenizer
 
@@ -363,6 +370,13 @@ def test_blocks_decode_exactly_and_compress():
         for i in range(3):
             assert block.document(i).tolist() == ids[ends[i] - sizes[i] : ends[i]].tolist()
     assert len(raw) < ids.nbytes / 5
+    passage = gen.integers(0, 49408, 700).astype(np.uint32)
+    copies = np.concatenate([np.concatenate([gen.integers(0, 49408, 30).astype(np.uint32), passage]) for _ in range(300)])
+    seq, rules, base = tokens.compress(copies)
+    assert tokens.expansion_lengths(rules, base).max() > 300  # a passage is a few symbols, however long
+    keys = np.unique((seq[:-1] << 32) | seq[1:], return_counts=True)[1]
+    assert keys.max() < max(tokens.LEAST, len(copies) // tokens.SHARES[-1]) + 1
+    assert (tokens.Block(tokens.pack_block([1], [len(copies)], copies)).ids() == copies).all()
     with pytest.raises(ValueError):
         tokens.Block(b"XXXX" + raw[4:])
 
@@ -489,7 +503,15 @@ def test_warc_round_trip(spark, tmp_path):
         whole = f.read()
     import gzip
 
-    assert gzip.decompress(whole).startswith(b"WARC/1.1\r\nWARC-Type: ")
+    assert gzip.decompress(whole).startswith(b"WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+    heads = [fields for f in files for fields, _ in map(warc.parsed, warc.members(f.open("rb")))]
+    ids = {h["warc-record-id"]: h for h in heads}
+    assert len([h for h in heads if h["warc-type"] == "warcinfo"]) == len(files)
+    for h in heads:
+        if h["warc-type"] == "revisit":
+            original = ids[h["warc-refers-to"]]
+            assert original["warc-type"] == "response" and original["warc-payload-digest"] == h["warc-payload-digest"]
+            assert (h["warc-refers-to-target-uri"], h["warc-refers-to-date"]) == (original["warc-target-uri"], original["warc-date"])
     assert warc.round_trip(pages.limit(0), f"file://{tmp_path}/none").count() == 0
 
 
