@@ -1,4 +1,8 @@
-"""The corpus pipeline: each stage's result is written as Parquet and reread as the next one's documents."""
+"""The corpus pipeline: each stage's result is written as Parquet and reread as the next one's documents.
+
+All stages take null and empty texts, null doc_ids, languages and sources, repeated rows, empty tables and more columns,
+also some named like a result of the stage; all but the last return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -8,32 +12,32 @@ from docketspark.llm.common import stored, table
 from docketspark.llm.mixing import mixed
 from docketspark.llm.neardup import deduplicated
 from docketspark.llm.packing import pack
-from docketspark.llm.quality import score_quality
+from docketspark.llm.quality import good
 from docketspark.llm.secrets import redacted
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on docs and the labels, predicts to be good."""
-    return score_quality(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select(*docs.columns)
+    """Documents that the quality classifier, fitted on docs and the labels, predicts to be good; all if there are no labels of both kinds. Null and empty texts are scored like any other."""
+    return good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8. Texts without words and rows without a doc_id all stay, and so do repeated rows of a doc_id that stays, told apart by nothing."""
     return deduplicated(docs, size=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked."""
+    """All documents, with secrets masked; a null text stays null."""
     return redacted(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of sources takes it."""
+    """Every document as often as the mix of sources takes it; texts without words take no part. A null source is one, too."""
     return mixed(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document lies in the bins."""
+    """Where each piece of each document lies in the bins; documents without words have no bin."""
     return pack(docs)
 
 
