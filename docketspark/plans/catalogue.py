@@ -170,15 +170,15 @@ def job_list(spark, sf_dir):
     return reads.list_jobs(jobs(spark, sf_dir), BUREAU, str(last)).select("id", "status", "attempts")
 
 
-@query("SELECT n_nationkey AS id FROM nation WHERE lower(n_name) = 'france'")
+@query("SELECT n_nationkey AS id FROM nation WHERE lower(n_name) = 'nation_7'")
 def tenant_by_slug(spark, sf_dir):
     n = test_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("slug"))
-    return bureau_by_slug(n, "france")
+    return bureau_by_slug(n, "nation_7")
 
 
-@query("SELECT n_nationkey, CASE WHEN NOT regexp_full_match(replace(lower(n_name), 'united ', 'united-'), '[a-z0-9-]{1,64}') THEN 'validation_failed' END AS error_code FROM nation")
+@query("SELECT n_nationkey, CASE WHEN NOT regexp_full_match(replace(lower(n_name), '_1', '-1'), '[a-z0-9-]{1,64}') THEN 'validation_failed' END AS error_code FROM nation")
 def slug_verdict(spark, sf_dir):
-    slug = F.replace(F.lower("n_name"), F.lit("united "), F.lit("united-"))
+    slug = F.replace(F.lower("n_name"), F.lit("_1"), F.lit("-1"))
     return test_table(spark, sf_dir, "nation").select("n_nationkey", V.slug_error(slug).alias("error_code"))
 
 
@@ -647,9 +647,14 @@ def login_throttle_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select(F.col("id").alias("event_id"), "admitted")
 
 
-@query()
+@query(f"SELECT DISTINCT 'bureau-{BUREAU}/partner-{BUREAU}/' || substring(sha256(html), 1, 2) || '/' || sha256(html) AS key, strlen(html)::BIGINT AS length FROM pages")
 def object_scan(spark, sf_dir):
-    """Every file below the input folder with its key and length; contents stay unread."""
-    from docketspark.sources.objects import object_files
+    """Pages published as objects of a new store, which is then listed by name and length; contents stay unread."""
+    from docketspark.session import shared_path
+    from docketspark.sources.objects import object_files, publish
 
-    return object_files(spark, sf_dir).select("key", "length")
+    root = shared_path(spark, "objects")
+    content = F.col("html").cast("binary")
+    pages = test_table(spark, sf_dir, "pages").select(X.object_key(F.lit(BUREAU), F.lit(BUREAU), X.sha256_hex(content)).alias("key"), content.alias("content"))
+    publish(pages.dropDuplicates(["key"]), root).agg(F.count("*")).collect()
+    return object_files(spark, root).where(X.parse_key(F.col("key")).isNotNull()).select("key", "length")
