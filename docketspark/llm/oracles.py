@@ -98,4 +98,50 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM c LEFT JOIN f USING (lk, sk)
 """
 
-ORACLES = {"op5_adaptive_rules": OP5, "op7_source_mix": OP7}
+OP6 = rf"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORD}) AS words
+  FROM documents
+), x AS (
+  SELECT id, unnest(words) AS word, generate_subscripts(words, 1) AS i FROM w
+), y AS (
+  SELECT id, word || ' ' || lead(word, 1) OVER k || ' ' || lead(word, 2) OVER k || ' ' || lead(word, 3) OVER k AS gram
+  FROM x WINDOW k AS (PARTITION BY id ORDER BY i)
+), g AS (
+  SELECT DISTINCT id, gram FROM y WHERE gram IS NOT NULL
+  UNION ALL SELECT id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 3
+), t AS (
+  SELECT id, doc_id, coalesce(n, 0)::BIGINT AS n FROM w LEFT JOIN (SELECT id, count(*) AS n FROM g GROUP BY id) USING (id)
+), s AS (
+  SELECT id, n, gram FROM g JOIN t USING (id)
+), c AS (
+  SELECT a.id AS a, b.id AS b, count(*) AS n FROM s a JOIN s b ON a.gram = b.gram AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.id, b.id
+), l AS (
+  SELECT x.doc_id AS a, y.doc_id AS b FROM c JOIN t x ON x.id = c.a JOIN t y ON y.id = c.b
+  WHERE 100 * c.n >= 80 * (x.n + y.n - c.n)
+), e AS (
+  SELECT a, b FROM l UNION SELECT b, a FROM l
+), r AS (
+  SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a
+), m AS (
+  SELECT a AS doc_id, min(b) AS least FROM r GROUP BY a
+)
+SELECT doc_id, n AS n_shingles, least(doc_id, coalesce(least, doc_id)) AS component_id,
+       doc_id <= coalesce(least, doc_id) AS kept
+FROM t LEFT JOIN m USING (doc_id)
+"""
+
+OP8 = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS original FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN original IS NOT NULL AND page_id IS DISTINCT FROM original THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM original THEN original END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
+
+ORACLES = {"op5_adaptive_rules": OP5, "op6_near_duplicates": OP6, "op7_source_mix": OP7, "op8_warc_revisits": OP8}

@@ -258,7 +258,7 @@ def test_word_totals(spark):
     assert sorted(map(tuple, got.collect())) == [("alpha", 3), ("gamma", 1)]
 
 
-@pytest.mark.parametrize("name", ["op5_adaptive_rules", "op7_source_mix"])
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_registered_queries_match_sql(spark, tmp_path, name):
     sf = Path("/root/testdata/sf0.001")
     if not sf.exists():
@@ -266,7 +266,8 @@ def test_registered_queries_match_sql(spark, tmp_path, name):
     from docketspark.llm.queries import QUERIES
 
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    for t in ("documents", "pages"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
     same(spark, con, name, QUERIES[name](spark, str(sf)), tmp_path)
 
 
