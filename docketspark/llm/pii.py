@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import SPACE, let, stored
+from docketspark.llm.common import SPACE, forget, let, stored
 
 KINDS = ("email", "ip", "card", "phone")
 _BYTE = "0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -40,8 +40,6 @@ LEAST_SUPPORT, CONFIDENT, ROUNDS = 3, 0.5, 3
 SALTS = 16
 #: Matches whose lengths are summed at once.
 STRIDE = 128
-#: Values of a hash of words by which those that no pattern has are left out before anything moves. A bound of the broadcast, not of the words.
-SIEVE = 1 << 18
 
 
 def _digits(x: Column) -> Column:
@@ -135,17 +133,15 @@ def _edges(rows: DataFrame) -> DataFrame:
 
 
 def word_totals(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """word, total: how often each of words stands in docs, copies included. Of the corpus's words only those that pass the sieve are counted and moved."""
-    sieve = F.pmod(F.xxhash64("word"), F.lit(SIEVE)).alias("_p_w")
-    few = F.broadcast(words.select(sieve).distinct())  # SIEVE rows of one number at most
-    every = docs.select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).join(few, sieve == F.col("_p_w"), "left_semi")
-    return every.groupBy("word").agg(F.count("*").alias("total")).join(words.select("word").distinct(), "word")
+    """word, total: how often each of words stands in docs, copies included. Tasks count before anything moves: Spark would put a semi join below the counting."""
+    every = docs.select(F.explode(F.split(F.lower("text"), f"{SPACE}+")).alias("word")).groupBy("word").agg(F.count("*").alias("total"))
+    return every.join(words.select("word").distinct(), "word")
 
 
 def scored_instances(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """kind, value, score of the candidates, after so many rounds over the graph of patterns and instances."""
     graph = stored(edges.join(totals, "word", "left"), "pii-graph")
-    instances = graph.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("score"))
+    instances, before = graph.groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("score")), None
     pattern = ["kind", "side", "word"]
     for _ in range(rounds):
         lit = graph.join(instances, ["kind", "value"])
@@ -155,6 +151,9 @@ def scored_instances(edges: DataFrame, totals: DataFrame, rounds: int = ROUNDS)
         miss = F.sum(F.log(1 - F.least(F.coalesce("p", F.lit(0.0)), F.lit(0.999))))
         new = graph.join(patterns, pattern, "left").groupBy("kind", "value").agg(F.max(F.col("seed").cast("double")).alias("seed"), (1 - F.exp(miss)).alias("q"))
         instances = stored(new.select("kind", "value", F.greatest("seed", "q").alias("score")), "pii-scores")
+        if before is not None:
+            forget(before)
+        before = instances
     return instances.join(graph.where("not seed").select("kind", "value").distinct(), ["kind", "value"], "left_semi")
 
 
