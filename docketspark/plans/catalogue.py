@@ -8,6 +8,7 @@ labels. Fixed times stand for the clock.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -543,6 +544,31 @@ def purge_complement(spark, sf_dir):
     return transitions.purge_sessions(sessions(spark, sf_dir), 7200, F.lit(END).cast("timestamp"))[1]
 
 
+def fingerprint(user_id: int) -> str:
+    return hashlib.sha256(str(user_id).encode()).hexdigest()
+
+
+@query(f"SELECT user_id::VARCHAR AS session_id, '{BUREAU}' AS bureau_id FROM {_SESSIONS} WHERE user_id < 20 AND {_live_sql(END)}")
+def session_touch(spark, sf_dir):
+    _, touched = transitions.touch_sessions(sessions(spark, sf_dir), [fingerprint(i) for i in range(20)], 7200, F.lit(END).cast("timestamp"))
+    return touched.select("session_id", "bureau_id")
+
+
+@query("SELECT DISTINCT user_id FROM events WHERE user_id <> 5")
+def session_close(spark, sf_dir):
+    rest, _ = transitions.close_session(sessions(spark, sf_dir), fingerprint(5))
+    return rest.select(F.col("id").cast("long").alias("user_id"))
+
+
+@query(f"SELECT id, CASE WHEN c_custkey % 2 = 0 THEN 'new name' ELSE name END AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN 'new note' ELSE note END AS note FROM {_PARTNERS}")
+def patch_rows(spark, sf_dir):
+    """Every partner is patched: name, note, both, or neither, which is refused and changes nothing."""
+    p = partners(spark, sf_dir)
+    k = F.substring("id", 25, 12).cast("long")
+    patches = p.select("id", "bureau_id", F.when(k % 2 == 0, " new name ").alias("name"), (k % 3 < 2).alias("has_note"), F.when(k % 3 == 1, "new note").alias("note"))
+    return transitions.patch_partners(p, patches, as_of(spark, sf_dir))[0].select("id", "name", "note")
+
+
 @query("SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.v, o.lang) AS lang, coalesce(o.n_chars, -1)::BIGINT AS position FROM documents o FULL JOIN (SELECT doc_id + 50 AS doc_id, 'new' AS v FROM labels) n ON n.doc_id = o.doc_id")
 def client_upsert(spark, sf_dir):
     shown = test_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit("p").alias("partner_id"), "lang", F.col("n_chars").alias("position"))
@@ -647,14 +673,41 @@ def login_throttle_stream(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select(F.col("id").alias("event_id"), "admitted")
 
 
-@query(f"SELECT DISTINCT 'bureau-{BUREAU}/partner-{BUREAU}/' || substring(sha256(html), 1, 2) || '/' || sha256(html) AS key, strlen(html)::BIGINT AS length FROM pages")
-def object_scan(spark, sf_dir):
-    """Pages published as objects of a new store, which is then listed by name and length; contents stay unread."""
+_PAGE_OBJECTS = f"(SELECT DISTINCT 'bureau-{BUREAU}/partner-{BUREAU}/' || substring(sha256(html), 1, 2) || '/' || sha256(html) AS key, strlen(html)::BIGINT AS length, sha256(html) AS sha256 FROM pages)"
+
+
+def published(spark: SparkSession, sf_dir: str) -> str:
+    """The root of a new store that holds the pages as objects."""
     from docketspark.session import shared_path
-    from docketspark.sources.objects import object_files, publish
+    from docketspark.sources.objects import publish
 
     root = shared_path(spark, "objects")
     content = F.col("html").cast("binary")
     pages = test_table(spark, sf_dir, "pages").select(X.object_key(F.lit(BUREAU), F.lit(BUREAU), X.sha256_hex(content)).alias("key"), content.alias("content"))
     publish(pages.dropDuplicates(["key"]), root).agg(F.count("*")).collect()
-    return object_files(spark, root).where(X.parse_key(F.col("key")).isNotNull()).select("key", "length")
+    return root
+
+
+@query(f"SELECT key, length FROM {_PAGE_OBJECTS}")
+def object_scan(spark, sf_dir):
+    """The store listed by name and length; contents stay unread."""
+    from docketspark.sources.objects import object_files
+
+    return object_files(spark, published(spark, sf_dir)).where(X.parse_key(F.col("key")).isNotNull()).select("key", "length")
+
+
+@query(f"SELECT sha256, length FROM {_PAGE_OBJECTS}")
+def object_read(spark, sf_dir):
+    from docketspark.sources.objects import read_objects
+
+    return read_objects(spark, published(spark, sf_dir)).select("sha256", "length")
+
+
+@query(f"SELECT key, length FROM {_PAGE_OBJECTS} WHERE length % 2 = 1")
+def object_sweep(spark, sf_dir):
+    """What is left of the store after a sweep of every object of even length."""
+    from docketspark.sources.objects import object_files, sweep
+
+    root = published(spark, sf_dir)
+    sweep(object_files(spark, root).where(F.col("length") % 2 == 0))
+    return object_files(spark, root).select("key", "length")
