@@ -17,7 +17,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketspark.llm.common import by_value, shared_path, stored
+from docketspark.llm.common import by_value, forget, shared_path, stored
 
 by_value(__name__)
 
@@ -90,10 +90,14 @@ def parsed(raw: bytes) -> tuple[dict, bytes]:
     return fields, rest[: int(fields["content-length"])]
 
 
-def resolved_headers(pages: DataFrame) -> DataFrame:
-    """page_id, digest, refers_to and its url of each page_id and digest that revisits, from headers alone."""
+def headers(pages: DataFrame) -> DataFrame:
+    """page_id, url, digest and n (bytes of the payload) of each row, stored."""
     heads = pages.select("page_id", "url", _payload().alias("p")).select("page_id", "url", F.sha1("p").alias("digest"), F.octet_length("p").alias("n"))
-    heads = stored(heads, "warc-heads")
+    return stored(heads, "warc-heads")
+
+
+def resolved_headers(heads: DataFrame) -> DataFrame:
+    """page_id, digest, refers_to and its url of each page_id and digest that revisits, from headers alone."""
     first = heads.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("o"))
     first = first.select("digest", F.col("o.page_id").alias("original"), F.col("o.url").alias("original_url"))
     joined = heads.join(first, "digest", "left")
@@ -112,7 +116,8 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
     revisit it. A file is written under a name of its task's own and then renamed, so that a task that is run again
     replaces its file by an equal one.
     """
-    revisits = resolved_headers(pages).select(F.col("page_id").alias("_w_page"), F.col("digest").alias("_w_digest"), "refers_to", "original_url")
+    heads = headers(pages)
+    revisits = resolved_headers(heads).select(F.col("page_id").alias("_w_page"), F.col("digest").alias("_w_digest"), "refers_to", "original_url")
     rows = pages.select("page_id", "url", _payload().alias("payload")).withColumn("digest", F.sha1("payload"))
     rows = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_w_page")) & (F.col("digest") == F.col("_w_digest")), "left")
     rows = rows.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "digest", "refers_to", "original_url")
@@ -137,7 +142,9 @@ def write_archives(pages: DataFrame, folder: str, date: str = DATE) -> DataFrame
             fs.move(draft, f"{root}/{name}")
             yield pa.RecordBatch.from_pydict({"path": [f"{folder}/{name}"], "records": [n]}, pa.schema([("path", pa.string()), ("records", pa.int64())]))
 
-    return stored(rows.mapInArrow(written, "path string, records long"), "warc-manifest")
+    manifest = stored(rows.mapInArrow(written, "path string, records long"), "warc-manifest")
+    forget(heads)
+    return manifest
 
 
 def read_archives(files: DataFrame) -> DataFrame:
