@@ -38,7 +38,7 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-_RATES = {"symbols": ("n_symbols", "word_chars", 1000, 10, False), "word_length": ("word_chars", "n_words", 100, 60, True), "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False), "repeats": ("n_repeat_words", "n_words", 1000, 50, False)}
+_RATES = {"symbols": ("n_symbols", "word_chars", 1000, 10, False), "word_length": ("word_chars", "n_words", 100, 60, True), "dup_lines": ("n_dup_lines", "n_lines", 1000, 150, False), "repeats": ("n_repeat_words", "n_words", 1000, 90, False)}
 _RATE_ROWS = " UNION ALL ".join(
     f"SELECT lk, sk, '{k}' AS rate, {least} AS least, CASE WHEN {bottom} > 0 THEN ({scale} * {top}) // {bottom} END AS v FROM c WHERE NOT base_failed"
     for k, (top, bottom, scale, least, _) in _RATES.items()

@@ -18,8 +18,8 @@ from docketspark.llm.common import SPACE, let, null_key, stored
 RATES = {
     "symbols": ("n_symbols", "word_chars", 1000, 10, False),
     "word_length": ("word_chars", "n_words", 100, 60, True),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 100, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 50, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 150, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 90, False),
 }
 #: Fences lie so many spreads beyond the quartiles.
 REACH = 3

@@ -83,7 +83,7 @@ def test_every_fence_can_reject_what_the_base_rules_pass(spark):
         "symbols": " ".join(plain(900)) + " *#*#*#*#*#*#*#*#*#*#",
         "word_length": " ".join(w + "q" * 30 for w in plain(901)),
         "dup_lines": "\n".join([" ".join(plain(902)), "short one", "short one", "short one"]),
-        "repeats": " ".join([eight, *plain(903, 60), eight]),
+        "repeats": " ".join([eight, *plain(903, 42), eight]),
     }
     texts = [" ".join(plain(i)) for i in range(200)] + list(odd.values())
     df = docs(spark, texts, sources=("p",)).withColumn("lang", F.lit("en"))
