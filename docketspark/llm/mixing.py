@@ -48,8 +48,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
 
     size: words of the text, 0 for null and empty texts. taken: words of this row in the mix; a source's rows
     take floor(target) together: whole epochs first, then rows in key order, of which the last is cut. Null
-    sources are a source of their own, after all others; rows with equal doc_id order by size, and equal rows
-    count as so many rows. An empty table gives an empty result. Input columns named like a result are replaced.
+    sources are a source of their own, after all others; rows without a doc_id are keyed by their text, rows with
+    equal doc_id order by size, and equal rows count as so many rows. An empty table gives an empty result. Input columns named like a result are replaced.
     """
     sizes = docs.select(
         "source",
@@ -79,7 +79,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS,
 
 
 def _key(seed: str):
-    return F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))))
+    return F.md5(F.concat(F.lit(seed + ":"), own))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

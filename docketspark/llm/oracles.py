@@ -6,7 +6,7 @@ _WORD = r"'[^\x20\x09-\x0D]+'"
 OP7 = rf"""
 WITH s AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '-' ELSE '=' || source END AS k,
-         md5('mix:' || coalesce(doc_id::VARCHAR, 'null')) AS h,
+         md5('mix:' || coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, '')))) AS h,
          coalesce(len(regexp_extract_all(text, {_WORD})), 0)::BIGINT AS size
   FROM documents
 ), t AS (

@@ -32,7 +32,6 @@ LOOSE = {
 }
 #: What a text must have for a kind's patterns to be tried.
 HINT = {"email": r"@|[(\[]at[)\]]", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9][0-9 -]{11}", "phone": r"[0-9][0-9 ().-]{5}"}
-SPANS = "array<struct<kind:string,start:int,end:int>>"
 HITS = "array<struct<kind:string,start:int,end:int,value:string,before:string,after:string>>"
 #: A pattern needs so many distinct instances, and an instance such a score, to count.
 LEAST_SUPPORT, CONFIDENT, ROUNDS = 3, 0.5, 3

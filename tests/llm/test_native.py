@@ -138,6 +138,13 @@ def test_mix_matches_sql_and_budgets(spark, tmp_path):
     assert text_words == sum(r.taken for r in rows)
 
 
+def test_mix_spreads_rows_without_a_doc_id(spark, tmp_path):
+    df = docs(spark, [f"text number {i} " * (i % 7 + 1) for i in range(200)], ("a", "b")).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    out = mix_sources(df)
+    assert sum(r.taken for r in out.where("doc_id is null").collect()) > 0
+    same(spark, duck(df, tmp_path), "op7_source_mix", out.select("doc_id", "size", "source_size", "target", "taken"), tmp_path)
+
+
 def test_mix_targets_stop_at_the_cap(spark):
     df = docs(spark, ["w " * 1000, "w " * 10, "w " * 10], sources=("a", "b", "c"))
     got = {r.source: (r.target, r.taken) for r in mix_sources(df).collect()}
