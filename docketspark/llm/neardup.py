@@ -107,8 +107,9 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
 
 
 def bands(reps: DataFrame) -> DataFrame:
-    """band, id, n: one row a representative and band."""
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(F.substring("sketch", b * BAND_ROWS + 1, F.lit(BAND_ROWS)), b))
+    """band, id, n: one row a representative and band; the last six bits of band are its number."""
+    key = lambda b: F.xxhash64(F.substring("sketch", b * BAND_ROWS + 1, F.lit(BAND_ROWS)), b)
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.shiftleft(F.shiftright(key(b), 6), 6) + b)
     return reps.select(F.explode(keys).alias("band"), "id", "n")
 
 
@@ -203,7 +204,10 @@ def _sorted(rows: DataFrame) -> DataFrame:
 
 
 def partnered(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """The rows of cells whose sketch agrees enough with one of another component in their cell; at most as many as come in."""
+    """The rows of cells whose sketch agrees enough with one of another component in their cell; at most as many as come in.
+
+    Two sketches of several common bands count in the first of these only, which is open as well.
+    """
     least = least_agreement(percent)
 
     def found(batches):
@@ -216,14 +220,17 @@ def partnered(rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
                 if m == a or b - a < 2 or (c[a:b] == c[a]).all():
                     continue
                 s = np.frombuffer(b"".join(sketches[a:b].to_pylist()), np.uint8).reshape(-1, BINS)
-                i, j = t.column("i")[a].as_py(), t.column("j")[a].as_py()
+                i, j, own = t.column("i")[a].as_py(), t.column("j")[a].as_py(), t.column("band")[a].as_py() & 63
+                parts = s[:, : BANDS * BAND_ROWS].reshape(-1, BANDS, BAND_ROWS)
                 for x in range(m - a):
                     y0 = x + 1 if i == j else m - a  # block i of part 0 meets itself in cell i, i
                     good = (s[y0:] == s[x]).sum(1) >= least
                     good &= (c[a + y0 : b] != c[a + x]) & (percent * np.maximum(n[a + y0 : b], n[a + x]) <= 100 * np.minimum(n[a + y0 : b], n[a + x]))
-                    if good.any():
+                    y = y0 + np.flatnonzero(good)
+                    y = y[(parts[y] == parts[x]).all(2).argmax(1) == own]
+                    if len(y):
                         keep[a + x] = True
-                        keep[a + y0 : b] |= good
+                        keep[a + y] = True
             yield from t.select([*CELL, "id", "c"]).filter(pa.array(keep)).to_batches()
 
     rows = rows.join(reps.select("id", "sketch"), "id").select(*CELL, "id", "c", "n", "sketch")
