@@ -85,10 +85,11 @@ def update_ledger(docs: DataFrame, ledger: str, rule_version: int = RULE_VERSION
     spark = docs.sparkSession
     blobs = docs.select(digest().alias("_sc_digest"), F.coalesce("text", F.lit("")).alias("_sc_text"))
     path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        seen = _read(spark, ledger, rule_version).select(F.col("digest").alias("_sc_digest"))
-        blobs = blobs.join(seen, "_sc_digest", "left_anti")
     once = blobs.groupBy("_sc_digest").agg(F.first("_sc_text").alias("_sc_text"))
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        # Not an anti join: Spark would put that below the grouping, and every copy of a text would move.
+        seen = _read(spark, ledger, rule_version).select(F.col("digest").alias("_sc_digest"), F.lit(True).alias("_sc_seen"))
+        once = once.join(seen, "_sc_digest", "left").where("_sc_seen is null").select("_sc_digest", "_sc_text")
     found = once.mapInArrow(_scanned, f"digest binary, findings {FINDINGS}")
     found.withColumn("rule_version", F.lit(rule_version)).write.mode("append").partitionBy("rule_version").parquet(ledger)
     return _read(spark, ledger, rule_version)
