@@ -88,6 +88,27 @@ def op6_near_duplicates(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, percent=80)
 
 
+def op11_anchor_simhash(spark, sf_dir):
+    from docketspark.llm.simhash import simhash_components
+
+    return simhash_components(table(spark, sf_dir, "documents"), size=4, distance=4).select("doc_id", "fingerprint", "component_id")
+
+
+def op12_token_alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from docketspark.llm.alignment import align_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as g:
+        return align_tokenizers(table(spark, sf_dir, "documents"), f.read(), g.read())
+
+
+def op13_ranked_search(spark, sf_dir):
+    from docketspark.llm.ranking import ranked_search
+
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 QUERIES = {
     "op1_quality_scores": op1_quality_scores,
     "op2_best_fit_packing": op2_best_fit_packing,
@@ -99,4 +120,7 @@ QUERIES = {
     "op8_warc_revisits": op8_warc_revisits,
     "op9_contextual_pii": op9_contextual_pii,
     "op10_secret_ledger": op10_secret_ledger,
+    "op11_anchor_simhash": op11_anchor_simhash,
+    "op12_token_alignment": op12_token_alignment,
+    "op13_ranked_search": op13_ranked_search,
 }
