@@ -144,4 +144,31 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM p LEFT JOIN m USING (payload_digest)
 """
 
-ORACLES = {"op5_adaptive_rules": OP5, "op6_near_duplicates": OP6, "op7_source_mix": OP7, "op8_warc_revisits": OP8}
+#: Terms of ranked search; the class also leaves out all other ASCII.
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
+_FOLD = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_TERM}) AS words FROM documents
+), c AS (
+  SELECT count(*)::BIGINT AS big_n, sum(len(words))::BIGINT AS big_l FROM d WHERE len(words) > 0
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {_FOLD}), {_TERM})) AS term FROM benchmark
+), p AS (
+  SELECT id, term, count(*)::BIGINT AS tf FROM (SELECT id, unnest(words) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY id, term
+), w AS (
+  SELECT term, floor(1000 * ln(((2 * big_n + 2)::DOUBLE) / (2 * df + 1)::DOUBLE))::BIGINT AS w
+  FROM (SELECT term, count(*)::BIGINT AS df FROM p GROUP BY term), c
+), s AS (
+  SELECT id, term, w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * len(words)::BIGINT * big_n) // big_l))) AS s
+  FROM p JOIN w USING (term) JOIN d USING (id), c
+), r AS (
+  SELECT item_id, id, sum(s)::BIGINT AS score FROM q JOIN s USING (term) GROUP BY item_id, id HAVING sum(s) > 0
+), k AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id ASC NULLS LAST)::INT AS rank FROM r JOIN d USING (id)
+)
+SELECT item_id, rank, doc_id, score FROM k WHERE rank <= 50
+"""
+
+ORACLES = {"op5_adaptive_rules": OP5, "op6_near_duplicates": OP6, "op7_source_mix": OP7, "op8_warc_revisits": OP8, "op13_ranked_search": OP13}
