@@ -65,11 +65,11 @@ def best_fit(sizes, sources, clusters, capacity: int, per_source: int) -> tuple[
     return place, start
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_size: int = SHARD_SIZE) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, shard_size: int = SHARD_SIZE, size: str | None = None, cluster: str | None = None) -> DataFrame:
     """doc_id, copy, piece, size, source, shard, bin, start, bin_id: a row for each piece of each row of docs.
 
-    docs: doc_id, text, source; columns size (long) and cluster (text) are used if there, else size is the number
-    of words and cluster the text with case and white space evened out. A bin holds at most one piece of a
+    docs: doc_id, text, source. size and cluster may name columns to use (a null or negative size counts as 0); else
+    size is the number of words and cluster the text with case and white space evened out. A bin holds at most one piece of a
     cluster and per_source pieces of a source; null sources are a source. A document larger than a bin is cut
     into full pieces, each alone in its bin, and a rest; full pieces meet no other. Rows of size 0 (null and
     empty texts) take no room and get no bin (null). Equal rows are told apart by copy, 0 upwards, and are of one
@@ -79,8 +79,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
     rows = docs.select(
         "doc_id",
         F.col("source"),
-        (F.col("size").cast("long") if "size" in docs.columns else n_words(F.col("text"))).alias("size"),
-        F.xxhash64(F.col("cluster") if "cluster" in docs.columns else F.trim(even)).alias("cluster"),
+        (F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)) if size else n_words(F.col("text"))).cast("long").alias("size"),
+        F.xxhash64(F.col(cluster) if cluster else F.trim(even)).alias("cluster"),
     )
     rows = rows.groupBy("doc_id", "source", "size", "cluster").agg(F.count("*").alias("n"))
     rows = rows.select("doc_id", "source", "size", "cluster", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("copy"))

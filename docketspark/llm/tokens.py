@@ -55,9 +55,12 @@ class WordEncoder:
     #: The pieces that the tokenizer's pre-tokenizer makes: fixed by the tokenizer's file.
     PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
     END_MARK, TAIL = "</w>", string.punctuation
+    #: Letters that normalizing makes a letter and a combining mark, which is none: fixed by Unicode's composition
+    #: exclusions, and the dotted capital I. A word with one is encoded whole.
+    SPLIT = "[\u0130\u0958-\u095f\u09dc\u09dd\u09df\u0a33\u0a36\u0a59-\u0a5b\u0a5e\u0b5c\u0b5d\u0f43\u0f4d\u0f52\u0f57\u0f5c\u0f69\ufb1d\ufb1f\ufb2a-\ufb36\ufb38-\ufb3c\ufb3e\ufb40\ufb41\ufb43\ufb44\ufb46-\ufb4e]"
     AT_ONCE = 512
     #: A tokenizer that gives other ids for these than its words apart is refused.
-    PROBE = ["Hello  WORLD, it's 42\n\tÜber-x (a.b)", " lead and trail ", "don't STOP 3.14 \u65e5\u672c \u4e2d", "x"]
+    PROBE = ["Hello  WORLD, it's 42\n\tÜber-x (a.b)", " lead and trail ", "don't STOP 3.14 \u65e5\u672c \u4e2d", "x", "\u0130, x\u0958-y e\u0301\u0130. I\u0307\u05bc T\u0308"]
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -87,10 +90,12 @@ class WordEncoder:
     def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, n): the ids of stems[i] are ids[first[i] :][: n[i]]."""
         ascii_letters = _flags(pc.ascii_is_alpha(stems))
-        letters = _flags(pc.utf8_is_alpha(stems)) & ~ascii_letters
+        letters = _flags(pc.utf8_is_alpha(stems)) & ~ascii_letters & ~_flags(pc.match_substring_regex(stems, self.SPLIT))
         odd = _flags(pc.not_equal(stems, "")) & ~ascii_letters & ~letters
         pieces = np.ones(len(stems), np.int64)
-        pieces[odd] = pc.count_substring_regex(stems.filter(pa.array(odd)), self.PIECES).to_numpy(zero_copy_only=False)
+        normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
+        normal = [w if w.isascii() else normalize(w) for w in stems.filter(pa.array(odd)).to_pylist()]
+        pieces[odd] = pc.count_substring_regex(pa.array(normal, pa.string()), self.PIECES).to_numpy(zero_copy_only=False)
         ids, order, n = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], np.zeros(len(stems), np.int64)
         for tokenizer, some in ((self.plain, ascii_letters), (self.tokenizer, letters | odd)):
             there = np.flatnonzero(some)
@@ -106,7 +111,7 @@ class WordEncoder:
     def _distinct(self, words: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(table, begins, sizes): the ids of words[i] are table[begins[i] :][: sizes[i]]; behind the words follows end_id."""
         stems = pc.utf8_rtrim(words, characters=self.TAIL)
-        apart = pc.or_(pc.utf8_is_alpha(stems), pc.equal(stems, ""))
+        apart = pc.or_(pc.and_not(pc.utf8_is_alpha(stems), pc.match_substring_regex(stems, self.SPLIT)), pc.equal(stems, ""))
         whole = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.where(_flags(apart), pc.binary_length(stems).to_numpy(zero_copy_only=False), whole)
         stems = pc.if_else(apart, stems, words).dictionary_encode()
@@ -131,7 +136,9 @@ class WordEncoder:
         flat = pc.list_flatten(lists)
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         words = flat.dictionary_encode()
-        code, small = words.indices.to_numpy(zero_copy_only=False), pc.ascii_lower(words.dictionary).dictionary_encode()
+        # A mark may compose with a capital otherwise than with the small letter, so words with one stay as they are.
+        small = pc.if_else(pc.match_substring_regex(words.dictionary, r"\p{M}"), words.dictionary, pc.ascii_lower(words.dictionary)).dictionary_encode()
+        code = words.indices.to_numpy(zero_copy_only=False)
         code = small.indices.to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, np.int32)
         table, begins, sizes = self._distinct(small.dictionary, end_id)
         # The end of a text is a word of its own, the last in `sizes`.

@@ -189,6 +189,16 @@ def test_packs_every_word_once_within_the_rules(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_packing_ignores_columns_that_are_not_named(spark):
+    rows = [(1, "two words", "a", -5, None), (2, "three words here", "b", None, "x"), (3, None, "b", 7, "x"), (4, "one", "c", 3, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, size long, cluster string")
+    sizes = lambda **kw: {r.doc_id: r["size"] for r in packing.pack(docs, **kw).collect()}
+    assert sizes() == {1: 2, 2: 3, 3: 0, 4: 1}
+    assert sizes(size="size") == {1: 0, 2: 0, 3: 7, 4: 3}
+    by_bin = {r.doc_id: r.bin_id for r in packing.pack(docs, size="doc_id", cluster="cluster").collect()}
+    assert by_bin[2] != by_bin[3] and len(set(by_bin.values())) == 2
+
+
 # --- media (3) ------------------------------------------------------------------------------------------------------
 
 
@@ -591,3 +601,40 @@ def test_private_keys_are_redacted_with_their_body(spark):
     for r in secrets.redacted(docs).collect():
         assert not any(x in r.text for x in lines) and "BEGIN" not in r.text and not secrets.scan(r.text.encode())
         assert r.doc_id == 3 or r.text.endswith("and after it")
+
+
+# --- ids of words in every script (4) -------------------------------------------------------------------------------
+
+
+def _word_tokenizer():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
+        raw = f.read()
+    return tokens.WordEncoder(raw), Tokenizer.from_str(raw)
+
+
+def _same_ids(encoder, whole, texts):
+    ids, n = encoder.encode(pa.array(texts, pa.string()), 1)
+    want = [[*e.ids, 1] for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert n.tolist() == [len(w) for w in want]
+    assert ids.tolist() == [i for w in want for i in w]
+
+
+def test_ids_around_every_code_point():
+    encoder, whole = _word_tokenizer()
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c <= 0xDFFF]
+    for at in range(0, len(points), 16384):
+        _same_ids(encoder, whole, [f"{c}, x{c}. {c}y! ({c}) {c}{c}'s" for c in points[at : at + 16384]])
+
+
+def test_ids_of_random_texts():
+    """Letters that normalizing takes apart, combining marks, controls and odd spaces, in any order."""
+    encoder, whole = _word_tokenizer()
+    r = random.Random(8)
+    letters = [chr(c) for c in range(0x80, 0x10000) if re.match(tokens.WordEncoder.SPLIT, chr(c))]
+    assert len(letters) == 60
+    alphabet = [*letters, *"aeiETHJ\u0308\u0331\u030c\u00e9\u0130I,.'-! \n\t\x00\x1c\x85\xa0\u3000\u200b\u0301\u0307\u093c\u05bc\u0327\u1100\u1161\u11a8\u212b\u01c4\u00df\u03a3", "'s", "'LL", " "]
+    for _ in range(25):
+        _same_ids(encoder, whole, ["".join(r.choices(alphabet, k=r.randrange(1, 14))) for _ in range(4000)])
