@@ -37,3 +37,18 @@ def shared_root(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored_table(df, name: str):
+    """df written as Parquet in the shared folder and read from there: cuts lineage, survives lost executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stored(df) -> None:
+    """Deletes the folder behind a frame of stored_table() that no later plan reads."""
+    spark = df.sparkSession
+    for file in df.inputFiles()[:1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -5,7 +5,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from docketspark.plans import catalogue
+from docketspark.plans import additional, catalogue  # noqa: F401  registers its queries
 
 SF = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
