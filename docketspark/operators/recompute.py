@@ -51,7 +51,10 @@ def computed(inputs: DataFrame, edges: DataFrame) -> DataFrame:
     """node, value of all nodes: the full computation. inputs: (node, value), a row for every node, value null without an input of its own. Edges to or from other nodes don't count."""
     known = inputs.where("node is not null")
     there = edges.join(known.select(F.col("node").alias("dst")).distinct(), "dst", "left_semi").join(known.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    return settled(known.select("node", "value"), there.select("src", "dst").distinct())
+    links = stored_table(there.select("src", "dst").distinct(), "links")
+    out = settled(known.select("node", "value"), links)
+    drop_stored(links)
+    return out
 
 
 def recomputed(before: DataFrame, inputs: DataFrame, edges: DataFrame, changed: DataFrame) -> DataFrame:
@@ -61,13 +64,15 @@ def recomputed(before: DataFrame, inputs: DataFrame, edges: DataFrame, changed:
     unaffected nodes, whose values hold, send them; then values settle along edges among the affected. touched tells
     the affected, of which alone any value is read or written.
     """
+    edges = stored_table(edges.select("src", "dst").where("src is not null and dst is not null").distinct(), "links")
     near = affected(edges, changed)
     touched = near.join(inputs.select("node").distinct(), "node", "left_semi")
-    into = edges.join(touched.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst").distinct()
-    inside = into.join(touched.withColumnRenamed("node", "src"), "src", "left_semi")
+    into = edges.join(touched.withColumnRenamed("node", "dst"), "dst", "left_semi").select("src", "dst")
+    inside = stored_table(into.join(touched.withColumnRenamed("node", "src"), "src", "left_semi"), "links")
     border = into.join(touched.withColumnRenamed("node", "src"), "src", "left_anti")
     sent = border.join(before.select(F.col("node").alias("src"), "value"), "src").select(F.col("dst").alias("node"), "value")
     own = inputs.join(touched, "node", "left_semi").select("node", "value")
     fresh = settled(own.unionByName(sent), inside)
+    drop_stored(inside)
     held = before.join(touched, "node", "left_anti").select("node", "value", F.lit(False).alias("touched"))
     return held.unionByName(fresh.select("node", "value", F.lit(True).alias("touched")))

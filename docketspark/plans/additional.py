@@ -6,8 +6,8 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from docketspark.operators import recompute, search, versions
-from docketspark.plans.catalogue import query
+from docketspark.operators import claims, recompute, search, versions
+from docketspark.plans.catalogue import as_of, query
 from docketspark.session import shared_path
 from docketspark.sources.tables import test_table
 
@@ -174,3 +174,23 @@ def recompute_dependents(spark, sf_dir):
     new = part.select(named("p", "p_partkey").alias("node"), F.when(key % 100 == 0, key * 10 + 5).otherwise(key % 1000).alias("value")).unionByName(rest)
     changed = part.where("p_partkey % 100 = 0").select(named("p", "p_partkey").alias("node"))
     return recompute.recomputed(recompute.computed(old, edges), new, edges, changed)
+
+
+# --- claims -----------------------------------------------------------------------------------------------------
+
+_CLAIMS = "(SELECT event_id AS id, user_id % 40 AS subject, event_type AS property, floor(value / 60)::BIGINT AS value, ts::TIMESTAMP AS since, CASE WHEN event_id % 11 > 0 THEN ts::TIMESTAMP + INTERVAL 1 HOUR * (event_id % 5) END AS until FROM events)"
+
+
+@query(f"""
+WITH c AS (SELECT * FROM {_CLAIMS}), v AS (SELECT * FROM c WHERE value IS NOT NULL AND (until IS NULL OR since < until)), e AS (
+  SELECT DISTINCT a.id FROM v a JOIN v b ON a.subject = b.subject AND a.property = b.property AND a.value <> b.value
+  AND a.since < coalesce(b.until, TIMESTAMP '9999-12-31') AND b.since < coalesce(a.until, TIMESTAMP '9999-12-31')
+)
+SELECT id, CASE WHEN id NOT IN (SELECT id FROM v) THEN 'unknown' WHEN id IN (SELECT id FROM e) THEN 'conflicted' WHEN until <= TIMESTAMP '2024-01-20' THEN 'stale' ELSE 'source_supported' END AS status FROM c""")
+def claim_statuses(spark, sf_dir):
+    """Events as claims on a property of forty subjects, for some hours or from then on."""
+    e = test_table(spark, sf_dir, "events")
+    since = F.col("ts").cast("timestamp")
+    until = F.when(F.col("event_id") % 11 > 0, since + F.make_dt_interval(hours=(F.col("event_id") % 5).cast("int")))
+    rows = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("subject"), F.col("event_type").alias("property"), F.floor(F.col("value") / 60).alias("value"), since.alias("since"), until.alias("until"))
+    return claims.statuses(rows, as_of(spark, sf_dir))

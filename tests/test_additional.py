@@ -190,3 +190,42 @@ def test_nothing_changed_touches_nothing(spark):
     got = recompute.recomputed(before, inputs, edges, spark.createDataFrame([], "node string")).collect()
     assert {(r.node, r.value, r.touched) for r in got} == {("a", 3, False), ("b", 3, False)}
     assert recompute.affected(edges.limit(0), inputs.where(F.col("node") == "a").select("node")).count() == 1
+
+
+# --- claims -----------------------------------------------------------------------------------------------------
+
+
+def test_claims_against_all_pairs(spark):
+    """Nulls, open and empty intervals, equal bounds, repeated rows and one property with most of the claims."""
+    from docketspark.operators import claims
+
+    rng = random.Random(6)
+    at = lambda h: None if h is None else dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    rows = []
+    for i in range(500):
+        a = rng.randrange(300)
+        rows.append((i, rng.choice(["s", "s", "s", "t", None]), rng.choice(["p", "p", "q", None]), rng.choice([1, 1, 1, 1, 2, None]), rng.choice([a, a, a, None]), rng.choice([a + rng.randrange(4), a + 1, a + 2, None if rng.random() < 0.05 else a + 1, a - 1])))
+    rows += rows[:20]
+    got = claims.statuses(spark.createDataFrame([(*r[:4], at(r[4]), at(r[5])) for r in rows], "id int, subject string, property string, value int, since timestamp, until timestamp"), F.lit(at(200))).collect()
+    lo, hi = lambda r: -1 if r[4] is None else r[4], lambda r: 10**9 if r[5] is None else r[5]
+    valid = [r for r in rows if None not in r[1:4] and lo(r) < hi(r)]
+    want = {}
+    for r in rows:
+        if r not in valid:
+            want[r[0]] = "unknown"
+        elif any(r[1:3] == o[1:3] and r[3] != o[3] and lo(r) < hi(o) and lo(o) < hi(r) for o in valid):
+            want[r[0]] = "conflicted"
+        else:
+            want[r[0]] = "stale" if hi(r) <= 200 else "source_supported"
+    assert {r.id: r.status for r in got} == want and len(got) == len(rows)
+    assert set(want.values()) == {"unknown", "conflicted", "stale", "source_supported"}
+
+
+def test_a_property_with_very_many_claims_stays_linear(spark):
+    """All claims hold at once, so there are 10^10 pairs; rows made anywhere in the plan stay a few a claim."""
+    from docketspark.operators import claims
+
+    n = 100_000
+    rows = spark.range(n).select("id", F.lit("s").alias("subject"), F.lit("p").alias("property"), (F.col("id") % 3).alias("value"), F.timestamp_seconds(F.col("id")).alias("since"), F.timestamp_seconds(F.col("id") + n).alias("until"))
+    got = {r.status: r["n"] for r in claims.statuses(rows, F.lit(dt.datetime(2024, 1, 1))).groupBy("status").agg(F.count("*").alias("n")).collect()}
+    assert got == {"conflicted": n}
