@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from docketspark.operators import claims, recompute, search, versions
-from docketspark.plans.catalogue import as_of, query
+from docketspark.plans.catalogue import _PAGE_OBJECTS, as_of, published, query
 from docketspark.session import shared_path
 from docketspark.sources.tables import test_table
 
@@ -194,3 +194,16 @@ def claim_statuses(spark, sf_dir):
     until = F.when(F.col("event_id") % 11 > 0, since + F.make_dt_interval(hours=(F.col("event_id") % 5).cast("int")))
     rows = e.select(F.col("event_id").alias("id"), (F.col("user_id") % 40).alias("subject"), F.col("event_type").alias("property"), F.floor(F.col("value") / 60).alias("value"), since.alias("since"), until.alias("until"))
     return claims.statuses(rows, as_of(spark, sf_dir))
+
+
+# --- listing at scale (an item of the service itself) -----------------------------------------------------------
+
+_LIMIT = 100
+
+
+@query(f"SELECT key, length, count(*) OVER () >= {_LIMIT} AS truncated FROM (SELECT * FROM {_PAGE_OBJECTS} ORDER BY key LIMIT {_LIMIT})")
+def object_listing(spark, sf_dir):
+    """The first objects of a store by key, and whether there are so many, listed shard by shard. The limit is the feature."""
+    from docketspark.sources.objects import list_objects
+
+    return list_objects(spark, published(spark, sf_dir), _LIMIT).select("key", "length", "truncated")

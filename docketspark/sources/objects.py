@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docketspark.functions.scalars import parse_key, sha256_hex
+from docketspark.functions.scalars import KEY, parse_key, sha256_hex
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -29,9 +30,47 @@ def bounded(rows: DataFrame, key: str, limit: int) -> DataFrame:
     return rows.orderBy(key).limit(max(0, limit)).withColumn("truncated", F.count("*").over(Window.partitionBy(F.lit(0))) >= limit)
 
 
+def _folders(prefixes: DataFrame, root: str) -> DataFrame:
+    """prefix: the folders right below each prefix, listed by tasks."""
+
+    def below(batches):
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        for b in batches:
+            for prefix in b.column("prefix").to_pylist():
+                there = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{prefix}".rstrip("/"), allow_not_found=True))
+                names = [f"{prefix}/{f.base_name}".lstrip("/") for f in there if f.type == pyarrow.fs.FileType.Directory]
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["prefix"])
+
+    return prefixes.repartition("prefix").mapInArrow(below, "prefix string")
+
+
 def list_objects(spark: SparkSession, root: str, limit: int) -> DataFrame:
-    """Valid objects by key, at most limit, with truncated. Other files are skipped."""
-    return bounded(object_files(spark, root).where(parse_key(F.col("key")).isNotNull()), "key", limit)
+    """key, length, modified, truncated of valid objects by key, at most limit. Other files and folders are skipped.
+
+    Tenants, partners and shards are listed level by level in tasks; shards are dealt in key order, and a task stops
+    as soon as it has `limit` valid keys, so no task and no file index holds more. The driver sees no listing.
+    """
+    shards = spark.createDataFrame([("",)], "prefix string")
+    for _ in range(3):
+        shards = _folders(shards, root)
+    # KEY, whose end of text Python writes otherwise.
+    valid = re.compile(KEY.replace(r"\z", r"\Z"), re.ASCII)
+
+    def listed(batches):
+        fs, base = pyarrow.fs.FileSystem.from_uri(root)
+        left = limit
+        for b in batches:
+            for prefix in b.column("prefix").to_pylist() if left > 0 else []:
+                if left <= 0:
+                    break
+                there = fs.get_file_info(pyarrow.fs.FileSelector(f"{base}/{prefix}", allow_not_found=True))
+                files = sorted((f for f in there if f.type == pyarrow.fs.FileType.File and valid.match(f"{prefix}/{f.base_name}")), key=lambda f: f.base_name)[:left]
+                left -= len(files)
+                columns = [pa.array([f"{prefix}/{f.base_name}" for f in files], pa.string()), pa.array([f.size for f in files], pa.int64()), pa.array([f.mtime for f in files], pa.timestamp("us", tz="UTC"))]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "length", "modified"])
+
+    keys = shards.repartitionByRange("prefix").sortWithinPartitions("prefix").mapInArrow(listed, "key string, length long, modified timestamp")
+    return bounded(keys, "key", limit)
 
 
 def read_objects(spark: SparkSession, root: str) -> DataFrame:

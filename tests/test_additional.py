@@ -229,3 +229,32 @@ def test_a_property_with_very_many_claims_stays_linear(spark):
     rows = spark.range(n).select("id", F.lit("s").alias("subject"), F.lit("p").alias("property"), (F.col("id") % 3).alias("value"), F.timestamp_seconds(F.col("id")).alias("since"), F.timestamp_seconds(F.col("id") + n).alias("until"))
     got = {r.status: r["n"] for r in claims.statuses(rows, F.lit(dt.datetime(2024, 1, 1))).groupBy("status").agg(F.count("*").alias("n")).collect()}
     assert got == {"conflicted": n}
+
+
+# --- listing ----------------------------------------------------------------------------------------------------
+
+
+def test_listing_stops_at_the_limit(spark, tmp_path):
+    """Many shards of two partners with other files and folders among them: the first keys, whatever the limit."""
+    import hashlib
+
+    from docketspark.sources.objects import list_objects
+
+    keys = []
+    for i in range(300):
+        digest = hashlib.sha256(str(i).encode()).hexdigest()
+        key = f"bureau-{'0' * 8}-0000-0000-0000-{'0' * 12}/partner-{i % 2:08d}-0000-0000-0000-{'0' * 12}/{digest[:2]}/{digest}"
+        (tmp_path / key).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / key).write_bytes(b"x" * (i % 7))
+        keys.append((key, i % 7))
+        if i % 10 == 0:
+            (tmp_path / key).with_name("0note.txt").write_text("no object")
+            (tmp_path / key).with_name("f" * 64).write_text("another shard's name") if digest[:2] != "ff" else None
+    (tmp_path / ".staging" / "a" / "b").mkdir(parents=True)
+    (tmp_path / ".staging" / "a" / "b" / ("0" * 64)).write_text("a draft")
+    (tmp_path / "bureau-x").write_text("a file where a folder is expected")
+    keys.sort()
+    for limit in (0, 1, 7, 299, 300, 1000):
+        got = [(r.key, r.length, r.truncated) for r in list_objects(spark, f"file://{tmp_path}", limit).collect()]
+        assert got == [(k, n, min(limit, 300) >= limit) for k, n in keys[:limit]]
+    assert list_objects(spark, f"file://{tmp_path}/none", 5).isEmpty()
