@@ -207,3 +207,15 @@ def object_listing(spark, sf_dir):
     from docketspark.sources.objects import list_objects
 
     return list_objects(spark, published(spark, sf_dir), _LIMIT).select("key", "length", "truncated")
+
+
+# --- chunks -----------------------------------------------------------------------------------------------------
+
+
+@query()
+def semantic_chunks(spark, sf_dir):
+    """All documents in chunks, by digest and place in the source; SQL can't express the choice of cuts."""
+    from docketspark.operators.chunks import chunked
+
+    out = chunked(test_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "version", "chunk", "start", "end", "n_words", F.sha2("text", 256).alias("chunk_sha256"))

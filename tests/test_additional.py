@@ -258,3 +258,46 @@ def test_listing_stops_at_the_limit(spark, tmp_path):
         got = [(r.key, r.length, r.truncated) for r in list_objects(spark, f"file://{tmp_path}", limit).collect()]
         assert got == [(k, n, min(limit, 300) >= limit) for k, n in keys[:limit]]
     assert list_objects(spark, f"file://{tmp_path}/none", 5).isEmpty()
+
+
+# --- chunks -----------------------------------------------------------------------------------------------------
+
+
+def test_cuts_cost_least():
+    """Every way to cut short texts, and texts that have sentences longer than a chunk."""
+    import numpy as np
+
+    from docketspark.operators.chunks import cuts, off
+
+    for seed in range(60):
+        rng = random.Random(seed)
+        k = rng.randrange(1, 12)
+        n, like = np.array([rng.choice([0, 1, 3, 5, 9, 40]) for _ in range(k)]), np.array([0, *(rng.randrange(1000) for _ in range(k - 1)), 0])
+
+        def cost(ends, n=n, like=like):
+            return sum(int(like[a] + off(n[a:b].sum(), 8, 16)) for a, b in zip([0, *ends[:-1]], ends, strict=True))
+
+        ways = [[*(i + 1 for i in range(k - 1) if m >> i & 1), k] for m in range(1 << (k - 1))]
+        assert cost(cuts(n, like, 8, 16)) == min(map(cost, ways)), seed
+
+
+def test_chunks_tile_every_text(spark):
+    from docketspark.operators.chunks import chunked
+
+    rng = random.Random(9)
+    prose = lambda n: " ".join(("w%d" % rng.randrange(90)) + rng.choice(["", "", "", "", "", ".", "!\n", "? "]) for _ in range(n))
+    texts = [None, "", " ", "\n\n", "one", "no end at all " * 700, "é\U0001f600. " * 900, prose(399), prose(5000), prose(60_000), ".", "a.b!c?" * 1000]
+    rows = [(i, None if i % 3 else "s", t, "clash") for i, t in enumerate(texts)] + [(None, "s", "a row without an id.", "clash"), (8, "s", texts[8], "clash")]
+    got = defaultdict(list)
+    for r in chunked(spark.createDataFrame(rows, "doc_id long, source string, text string, chunk string")).collect():
+        got[r.doc_id, r.source].append(r)
+    for i, source, text, _ in rows:
+        own = sorted(got.get((i, source), []), key=lambda r: (r.chunk, r.start))
+        if not text:
+            assert not own
+            continue
+        assert [r.chunk for r in own] == list(range(len(own))) and "".join(r.text for r in own) == text
+        assert [r.start for r in own] == [0, *(r.end for r in own[:-1])] and own[-1].end == len(text)
+        assert all(r.text == text[r.start : r.end] for r in own) and sum(r.n_words for r in own) == len(text.split())
+        if len(text.split()) > 3000 and i != 11:
+            assert all(400 <= r.n_words <= 800 for r in own)
