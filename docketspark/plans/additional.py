@@ -219,3 +219,20 @@ def semantic_chunks(spark, sf_dir):
 
     out = chunked(test_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "version", "chunk", "start", "end", "n_words", F.sha2("text", 256).alias("chunk_sha256"))
+
+
+# --- transitions that rewrite their buckets only (items of the service itself) ----------------------------------
+
+
+@query("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 5000 = 0 THEN 'P' ELSE o_orderstatus END AS o_orderstatus FROM orders")
+def bucketed_patch(spark, sf_dir):
+    """Orders kept by customer's segment and key bucket; every five-thousandth is patched, and only its bucket is read and written."""
+    from docketspark.sources.tables import read_bucketed, update_bucketed, write_bucketed
+
+    orders = test_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", (F.col("o_custkey") % 4).cast("int").alias("tenant"))
+    root = shared_path(spark, "orders")
+    write_bucketed(orders, root, "orders", "tenant", "o_orderkey")
+    asked = orders.where("o_orderkey % 5000 = 0").select("tenant", "o_orderkey")
+    patch = lambda df: df.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5000 == 0, "P").otherwise(F.col("o_orderstatus")))
+    update_bucketed(spark, root, "orders", "tenant", "o_orderkey", asked, patch)
+    return read_bucketed(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")

@@ -301,3 +301,31 @@ def test_chunks_tile_every_text(spark):
         assert all(r.text == text[r.start : r.end] for r in own) and sum(r.n_words for r in own) == len(text.split())
         if len(text.split()) > 3000 and i != 11:
             assert all(400 <= r.n_words <= 800 for r in own)
+
+
+# --- bucketed tables --------------------------------------------------------------------------------------------
+
+
+def test_an_update_rewrites_its_buckets_only(spark, tmp_path):
+    from docketspark.sources.tables import BUCKETS, read_bucketed, update_bucketed, write_bucketed
+
+    df = spark.range(2000).select((F.col("id") % 3).cast("int").alias("tenant"), "id", F.lit("new").alias("state"))
+    write_bucketed(df, f"file://{tmp_path}", "jobs", "tenant", "id", 16)
+    files = lambda: {p.relative_to(tmp_path): p.stat().st_mtime_ns for p in tmp_path.glob("jobs/*/*/*.parquet")}
+    before = files()
+    assert len(before) == 48 and BUCKETS == 64
+    keys = df.where("id in (7, 100, 101)").select("tenant", "id")
+    change = lambda d: d.withColumn("state", F.when(F.col("id").isin(7, 100, 101), "done").otherwise(F.col("state")))
+    seen = []
+    update_bucketed(spark, f"file://{tmp_path}", "jobs", "tenant", "id", keys, lambda d: (seen.append(d), change(d))[1], 16)
+    after = files()
+    kept = {p for p in before if after.get(p) == before[p]}
+    assert len(kept) == 45 and len(after) == 48  # three buckets have new files, the others their old ones
+    rows = {r.id: (r.tenant, r.state) for r in read_bucketed(spark, f"file://{tmp_path}", "jobs").collect()}
+    assert rows == {i: (i % 3, "done" if i in (7, 100, 101) else "new") for i in range(2000)}
+    for bad in (lambda d: d.where("id < 0"), lambda d: d.withColumn("id", F.col("id") + 1)):
+        with pytest.raises(ValueError, match="buckets"):
+            update_bucketed(spark, f"file://{tmp_path}", "jobs", "tenant", "id", keys, bad, 16)
+    assert files() == after
+    update_bucketed(spark, f"file://{tmp_path}", "jobs", "tenant", "id", keys.limit(0), change, 16)
+    assert files() == after
