@@ -42,6 +42,13 @@ def _flags(x) -> np.ndarray:
     return x.to_numpy(zero_copy_only=False).astype(bool)
 
 
+def _matching(words: pa.Array, some: np.ndarray, pattern: str) -> np.ndarray:
+    """Which of the words flagged in some match; the others aren't looked at."""
+    out = np.zeros(len(words), bool)
+    out[some] = _flags(pc.match_substring_regex(words.filter(pa.array(some)), pattern))
+    return out
+
+
 class WordEncoder:
     """Ids of many texts at once, with every distinct word of theirs encoded once.
 
@@ -90,7 +97,8 @@ class WordEncoder:
     def _stems(self, stems: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, n): the ids of stems[i] are ids[first[i] :][: n[i]]."""
         ascii_letters = _flags(pc.ascii_is_alpha(stems))
-        letters = _flags(pc.utf8_is_alpha(stems)) & ~ascii_letters & ~_flags(pc.match_substring_regex(stems, self.SPLIT))
+        letters = _flags(pc.utf8_is_alpha(stems)) & ~ascii_letters
+        letters &= ~_matching(stems, letters, self.SPLIT)
         odd = _flags(pc.not_equal(stems, "")) & ~ascii_letters & ~letters
         pieces = np.ones(len(stems), np.int64)
         normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else str
@@ -111,7 +119,9 @@ class WordEncoder:
     def _distinct(self, words: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(table, begins, sizes): the ids of words[i] are table[begins[i] :][: sizes[i]]; behind the words follows end_id."""
         stems = pc.utf8_rtrim(words, characters=self.TAIL)
-        apart = pc.or_(pc.and_not(pc.utf8_is_alpha(stems), pc.match_substring_regex(stems, self.SPLIT)), pc.equal(stems, ""))
+        letters = _flags(pc.utf8_is_alpha(stems))
+        letters &= ~_matching(stems, letters & ~_flags(pc.string_is_ascii(stems)), self.SPLIT)
+        apart = pc.or_(pa.array(letters), pc.equal(stems, ""))
         whole = pc.binary_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
         cut = np.where(_flags(apart), pc.binary_length(stems).to_numpy(zero_copy_only=False), whole)
         stems = pc.if_else(apart, stems, words).dictionary_encode()
@@ -137,7 +147,10 @@ class WordEncoder:
         per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         words = flat.dictionary_encode()
         # A mark may compose with a capital otherwise than with the small letter, so words with one stay as they are.
-        small = pc.if_else(pc.match_substring_regex(words.dictionary, r"\p{M}"), words.dictionary, pc.ascii_lower(words.dictionary)).dictionary_encode()
+        small, marked = pc.ascii_lower(words.dictionary), _matching(words.dictionary, ~_flags(pc.string_is_ascii(words.dictionary)), r"\p{M}")
+        if marked.any():
+            small = pc.if_else(pa.array(marked), words.dictionary, small)
+        small = small.dictionary_encode()
         code = words.indices.to_numpy(zero_copy_only=False)
         code = small.indices.to_numpy(zero_copy_only=False)[code] if len(code) else np.zeros(0, np.int32)
         table, begins, sizes = self._distinct(small.dictionary, end_id)
