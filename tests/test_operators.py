@@ -238,6 +238,25 @@ def test_throttle_splits_a_hot_key_and_keeps_null_keys(spark):
     assert [r.run for r in throttle._runs(timed, 10).orderBy("id").collect()] == [0, 0, 0, 0, 0, 1, 1]
 
 
+@pytest.mark.parametrize("most,window,lockout", [(3, 900, 300), (1, 50, 2000), (0, 20, 30), (4, 0, 0), (2, 10**6, 1)])
+def test_throttle_of_hot_keys_in_parallel(spark, most, window, lockout):
+    """Pointer doubling gives what the plain loop gives: hot keys with and without pauses, ties, successes in a row and at either end, null keys, kinds and times, columns of clashing names."""
+    rng = random.Random(most * 7 + window)
+    events, t = [(k, -i, 0, "success") for k in ("hot", None) for i in range(1, 3)], 0
+    for i in range(1200):
+        t += rng.choice((0, 0, 1, 5, 30, 200, 1500 if i % 50 == 0 else 3))
+        events.append((rng.choice((None, "hot", "hot", "cold")) if i > 60 else "hot", i, t, "success" if rng.random() < 0.06 else "attempt"))
+    want = {}
+    for key in (None, "hot", "cold"):
+        want |= model([e for e in events if e[0] == key], most, window, lockout)
+    df = spark.createDataFrame([(k, i, at(t), None if kind == "attempt" and i % 9 == 0 else kind, i) for k, i, t, kind in events] + [("hot", 10**6, None, "attempt", 0)], "key string, id long, at timestamp, kind string, t long")
+    waits = {r.id: r.retry_after_us for r in throttle.throttle(df, most, window, lockout).collect()}
+    out = throttle.throttle(df, most, window, lockout, at_once=350)
+    got = out.collect()
+    assert {r.id: r.admitted for r in got} == want and {r.id: r.retry_after_us for r in got} == waits and all(r.t == r.id for r in got)
+    assert out.columns == ["key", "id", "at", "kind", "t", "admitted", "retry_after_us"]
+
+
 def test_stream_state_is_gone_after_its_window(spark, tmp_path):
     from docketspark.streaming.throttle import throttle_stream
 
