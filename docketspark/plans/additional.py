@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+import sys
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docketspark.operators import claims, recompute, search, versions
 from docketspark.plans.catalogue import _PAGE_OBJECTS, as_of, published, query
 from docketspark.session import shared_path
+from docketspark.sources import registry
 from docketspark.sources.tables import test_table
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 EVERY, BEST, DEPTH = 20, 10, 50
 
 
@@ -236,3 +243,39 @@ def bucketed_patch(spark, sf_dir):
     patch = lambda df: df.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 5000 == 0, "P").otherwise(F.col("o_orderstatus")))
     update_bucketed(spark, root, "orders", "tenant", "o_orderkey", asked, patch)
     return read_bucketed(spark, root, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+# --- registries -------------------------------------------------------------------------------------------------
+
+_REGISTRY = "key long, customer long, status string, cents long, day date"
+
+
+@query("""
+SELECT o_orderkey AS key, o_custkey AS customer, o_orderstatus AS status, CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END AS cents, CAST(o_orderdate AS DATE) AS day
+FROM orders WHERE o_orderkey % 97 <> 0""")
+def registry_import(spark, sf_dir):
+    """Orders as a registry of XML parts, some records broken: one batch is imported, then the import is started again; every fifth record has a correction in a later part."""
+    o = test_table(spark, sf_dir, "orders")
+    key, cents, day = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long"), F.col("o_orderdate").cast("date")
+    element = lambda name, v: F.concat(F.lit(f"<{name}>"), v.cast("string"), F.lit(f"</{name}>"))
+    fields = [("key", key), ("customer", F.col("o_custkey")), ("status", F.col("o_orderstatus"))]
+
+    def records(rows, money):
+        end = F.when(key % 97 == 0, F.lit("<day>")).otherwise(element("day", day))
+        return rows.select(F.concat(F.lit("<Order>"), *[element(n, v) for n, v in fields], element("cents", money), end, F.lit("</Order>")).alias("value"))
+
+    source, root, schema = shared_path(spark, "registry-parts"), shared_path(spark, "registry"), T.StructType.fromDDL(_REGISTRY)
+    for name, rows in (("a", records(o, cents)), ("b", records(o.where(key % 5 == 0), F.lit(0)))):
+        framed = rows.mapInArrow(_as_file, "value string")
+        framed.write.option("compression", "none").text(f"{source}/{name}")
+    again = {"opening": "<Order>", "end": "</Order>", "schema": schema, "key": "key", "pattern": "*.txt"}
+    registry.import_registry(spark, source, root, batch_bytes=1, batches=1, **again)
+    registry.import_registry(spark, source, root, **again)
+    return registry.registry(spark, root, schema, "key", "day")
+
+
+def _as_file(batches):
+    """The records of a task between the tags of a document."""
+    yield pa.RecordBatch.from_pydict({"value": ["<Registry>"]})
+    yield from batches
+    yield pa.RecordBatch.from_pydict({"value": ["</Registry>"]})
