@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docketspark.operators import claims, recompute, search, versions
-from docketspark.plans.catalogue import _PAGE_OBJECTS, as_of, published, query
+from docketspark.plans.catalogue import _PAGE_OBJECTS, as_of, events, published, query
 from docketspark.session import shared_path
 from docketspark.sources import registry
 from docketspark.sources.tables import test_table
+from docketspark.streaming import budget
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -279,3 +280,36 @@ def _as_file(batches):
     yield pa.RecordBatch.from_pydict({"value": ["<Registry>"]})
     yield from batches
     yield pa.RecordBatch.from_pydict({"value": ["</Registry>"]})
+
+
+# --- budgets ----------------------------------------------------------------------------------------------------
+
+#: Cents that a user may spend, seconds until an outcome is told, and seconds that a reservation holds without one.
+LIMIT, ANSWER, HOLD = 150_000, 3_600, 86_400
+
+
+@query(f"""
+WITH RECURSIVE e AS (
+  SELECT event_id, user_id, epoch_us(ts) AS t, CAST(round(value * 100) AS BIGINT) AS amount,
+         CASE WHEN event_type = 'purchase' THEN (CAST(round(value * 100) AS BIGINT) * 4) // 5 ELSE 0 END AS cost,
+         CASE WHEN event_type IN ('purchase', 'click') THEN epoch_us(ts) + {ANSWER * 10**6} WHEN event_type <> 'view' THEN epoch_us(ts) + {HOLD * 10**6} END AS over,
+         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id::VARCHAR) AS k
+  FROM events
+), s AS (
+  SELECT user_id, 0::BIGINT AS k, NULL::BIGINT AS event_id, false AS admitted, 0::BIGINT AS committed, []::STRUCT(over BIGINT, amount BIGINT, cost BIGINT)[] AS calls FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL
+  SELECT user_id, k, event_id, fits, before + CASE WHEN fits THEN amount ELSE 0 END,
+         CASE WHEN fits THEN list_append(calls, {{'over': over, 'amount': amount, 'cost': cost}}) ELSE calls END
+  FROM (SELECT *, before + amount <= {LIMIT} AS fits FROM (
+    SELECT e.*, s.calls, coalesce(list_sum([CASE WHEN c.over <= e.t THEN c.cost ELSE c.amount END for c in s.calls]), 0)::BIGINT AS before
+    FROM s JOIN e ON e.user_id = s.user_id AND e.k = s.k + 1))
+)
+SELECT event_id, admitted, committed FROM s WHERE k > 0""")
+def budget_ledger(spark, sf_dir):
+    """Every event reserves its value from its user's budget: purchases settle at four fifths, clicks are given back, views stay uncertain, others run out."""
+    e = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("scope"), F.col("event_id").cast("string").alias("call"), F.unix_micros("at").alias("t"), F.round(F.col("value") * 100).cast("long").alias("amount"), "event_type")
+    kind = F.create_map(*[F.lit(x) for x in ("purchase", "settle", "click", "release", "view", "uncertain")])[F.col("event_type")]
+    outcomes = e.select("scope", "call", (F.col("t") + ANSWER * 10**6).alias("t"), kind.alias("kind"), F.call_function("div", F.col("amount") * 4, F.lit(5)).alias("amount")).where("kind is not null")
+    limits = e.select("scope").distinct().withColumn("limit", F.lit(LIMIT))
+    said = budget.budget(e, outcomes, limits, HOLD).where("kind = 'reserve'")
+    return said.select(F.col("call").cast("long").alias("event_id"), (F.col("verdict") == "admitted").alias("admitted"), (F.col("spent") + F.col("held")).alias("committed"))
