@@ -53,6 +53,12 @@ def in_range(value: int | None, least: int, most: int | None, what: str) -> int:
     return value
 
 
+def range_error(value: Column, least: int, most: int | None = None) -> Column:
+    """The same guard on a column."""
+    bad = value.isNull() | (value < least)
+    return _code(bad if most is None else bad | (value > most))
+
+
 def material_error() -> Column:
     """The table's checks on a row of materials."""
     bad = ~F.col("media_type").isin(*S.MEDIA_TYPES) | (F.col("size_bytes") <= 0) | digest_error(F.col("sha256")).isNotNull() | ~F.col("status").isin(*S.MATERIAL_STATUS)

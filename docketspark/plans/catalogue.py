@@ -183,6 +183,16 @@ def slug_verdict(spark, sf_dir):
     return test_table(spark, sf_dir, "nation").select("n_nationkey", V.slug_error(slug).alias("error_code"))
 
 
+@query(
+    """SELECT event_id, CASE WHEN ttl IS NULL OR ttl < 60 OR ttl > 604800 THEN 'validation_failed' END AS ttl_code, CASE WHEN ttl IS NULL OR ttl < 60 THEN 'validation_failed' END AS idle_code
+       FROM (SELECT event_id, CASE WHEN event_type <> 'error' THEN user_id * event_id END AS ttl FROM events)"""
+)
+def parameter_guard(spark, sf_dir):
+    """The guards of a session's lifetime and idle time on requested seconds, missing ones included."""
+    ttl = F.when(F.col("event_type") != "error", F.col("user_id") * F.col("event_id"))
+    return test_table(spark, sf_dir, "events").select("event_id", V.range_error(ttl, 60, 604_800).alias("ttl_code"), V.range_error(ttl, 60).alias("idle_code"))
+
+
 @query(
     f"""SELECT 'material' AS kind, id, CASE WHEN size_bytes % 5 = 0 OR size_bytes % 7 = 0 THEN 'validation_failed' END AS error_code FROM {_MATERIALS}
         UNION ALL SELECT 'job', {_EVENT_ID.format('event_id')}, CASE WHEN event_id % 9 = 0 OR event_id % 8 = 0 AND event_id % 2 = 1 THEN 'validation_failed' END FROM events

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketspark import schemas as S
+from docketspark.functions import validation as V
 from docketspark.session import drop_stored, stored_table
 
 
@@ -14,8 +16,27 @@ def read_table(spark: SparkSession, root: str, name: str, schema: T.StructType |
     return reader.parquet(f"{root}/{name}")
 
 
+#: Tables whose rows are checked before they are written, where they have the engine's columns.
+CHECKS = {"materials": (S.MATERIALS, V.material_error), "jobs": (S.JOBS, V.job_error), "sessions": (S.SESSIONS, V.session_error)}
+
+
+class CheckFailed(ValueError):
+    pass
+
+
+def checked(df: DataFrame, name: str) -> DataFrame:
+    """df, all of whose rows pass the table's checks; otherwise an error, and nothing is written. The rows are read twice."""
+    schema, error = CHECKS.get(name, (None, None))
+    if schema and set(schema.names) <= set(df.columns):
+        bad = df.where(error().isNotNull()).count()
+        if bad:
+            raise CheckFailed(f"{bad} rows fail the checks of {name}")
+    return df
+
+
 def write_table(df: DataFrame, root: str, name: str, partition_by: str | None = None) -> None:
-    """Replaces the table. Partitioned by the tenant, a scoped read prunes to its folder."""
+    """Replaces the table with rows that pass its checks. Partitioned by the tenant, a scoped read prunes to its folder."""
+    df = checked(df, name)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(f"{root}/{name}")
 
@@ -31,7 +52,7 @@ def _bucket(key: str, buckets: int):
 
 def write_bucketed(df: DataFrame, root: str, name: str, tenant: str, key: str, buckets: int = BUCKETS) -> None:
     """Replaces the table, with a folder for each tenant and bucket of its keys, one file in each."""
-    rows = df.withColumn(BUCKET, _bucket(key, buckets))
+    rows = checked(df, name).withColumn(BUCKET, _bucket(key, buckets))
     rows.repartition(tenant, BUCKET).write.mode("overwrite").partitionBy(tenant, BUCKET).parquet(f"{root}/{name}")
 
 
@@ -47,6 +68,7 @@ def update_bucketed(spark: SparkSession, root: str, name: str, tenant: str, key:
     touched = stored_table(keys.select(tenant, _bucket(key, buckets).alias(BUCKET)).where(F.col(tenant).isNotNull()).distinct(), "touched")
     old = spark.read.schema(schema).parquet(f"{root}/{name}").join(touched, [tenant, BUCKET], "left_semi")
     new = stored_table(transition(old.drop(BUCKET)).withColumn(BUCKET, _bucket(key, buckets)), "updated")
+    checked(new, name)
     places = lambda df: df.select(tenant, BUCKET).distinct()
     lost, strange = places(old).join(places(new), [tenant, BUCKET], "left_anti"), places(new).join(touched, [tenant, BUCKET], "left_anti")
     if not lost.isEmpty() or not strange.isEmpty():

@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -79,6 +80,37 @@ def test_first_uploads_and_ticks(spark, tmp_path):
     assert sorted(seen) == [1, 3, 4]
 
 
+def test_failed_pass_is_tried_again_at_the_next_tick(spark, tmp_path):
+    """As long as the table is away passes fail; the stream goes on and a later pass does the work."""
+    done, path = [], str(tmp_path / "table")
+
+    def job(tick):
+        done.append(None)
+        done[-1] = spark.read.parquet(path).count()
+
+    q = intake.passes(spark, job, 1).option("checkpointLocation", str(tmp_path / "state")).start()
+    try:
+        limit = time.time() + 60
+        while not done and time.time() < limit:
+            time.sleep(0.2)
+        spark.range(3).write.parquet(path)
+        while 3 not in done and time.time() < limit:
+            time.sleep(0.2)
+        assert done[0] is None and 3 in done and q.isActive
+    finally:
+        q.stop()
+
+
+def test_rows_that_fail_checks_are_not_written(spark, tmp_path):
+    good = [("i", B, "a" * 64, "c" * 20, T0, T0, T0)]
+    tables.write_table(spark.createDataFrame(good, S.SESSIONS), str(tmp_path), "sessions", "bureau_id")
+    bad = spark.createDataFrame([*good, ("j", B, "A" * 64, "c" * 20, T0, T0, T0), ("k", B, "a" * 64, "c", T0, T0, T0)], S.SESSIONS)
+    for write in (lambda: tables.write_table(bad, str(tmp_path), "sessions"), lambda: tables.write_bucketed(bad, str(tmp_path), "sessions", "bureau_id", "id")):
+        with pytest.raises(tables.CheckFailed, match="2 rows"):
+            write()
+    assert [r.id for r in tables.read_table(spark, str(tmp_path), "sessions", S.SESSIONS).collect()] == ["i"]
+
+
 def test_byte_limit(spark):
     df = spark.createDataFrame([("r", 1, 6), ("r", 2, 4), ("r", 3, 1), ("r", 4, 1)], "r string, seq int, n long")
     assert [x.over for x in ingest.first_over_limit(df, 10, ["r"], ["seq"], "n").orderBy("seq").collect()] == [False, False, True, False]
