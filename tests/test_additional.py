@@ -226,6 +226,27 @@ def test_nothing_changed_touches_nothing(spark):
     assert recompute.affected(edges.limit(0), inputs.where(F.col("node") == "a").select("node")).count() == 1
 
 
+def test_rounds_read_and_write_only_what_they_need(spark, monkeypatch):
+    """A chain that starts at many sources: edges of sources are read once, and a round writes the values that rose only. More rounds than tables that are kept apart."""
+    monkeypatch.setattr(recompute, "PARTS", 4, raising=False)
+    wide, deep = 200, 12
+    pairs = [(f"s{i}", "c0") for i in range(wide)] * 2 + [(f"c{i}", f"c{i + 1}") for i in range(deep)]
+    edges = spark.createDataFrame(pairs, "src string, dst string")
+    inputs = spark.createDataFrame([(f"s{i}", i) for i in range(wide)] + [(f"c{i}", None) for i in range(deep + 1)], "node string, value long")
+    held, rows = recompute.stored_table, defaultdict(list)
+
+    def stored(df, name):
+        out = held(df, name)
+        rows[name].append(out.count())
+        return out
+
+    monkeypatch.setattr(recompute, "stored_table", stored)
+    got = {r.node: r.value for r in recompute.computed(inputs, edges).collect()}
+    assert got == {f"s{i}": i for i in range(wide)} | {f"c{i}": wide - 1 for i in range(deep + 1)}
+    assert sum(n > wide for n in rows["values"]) <= 2 + (deep + 1) // 3  # the start, every few rounds, the end
+    assert rows["links-again"] == [deep]
+
+
 # --- claims -----------------------------------------------------------------------------------------------------
 
 
