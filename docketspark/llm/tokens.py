@@ -342,13 +342,17 @@ def write_tokens(docs: DataFrame, tokenizer_json: str, path: str, end_id: int =
     table writes no blocks.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(tokenizer_json)
+    # Half a second to make, so a worker keeps its encoder beside the tokenizer's file for its next tasks.
+    shared = spark.sparkContext.broadcast({"json": tokenizer_json})
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def blocks(batches):
         from pyspark import TaskContext
 
-        encoder = WordEncoder(shared.value)
+        kept = shared.value
+        if "encoder" not in kept:
+            kept["encoder"] = WordEncoder(kept["json"])
+        encoder = kept["encoder"]
         shard, number, doc_ids, sizes, ids, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def block():
