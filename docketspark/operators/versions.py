@@ -63,7 +63,7 @@ class VersionLog:
         """Writes the tables as one snapshot and switches the pointer to it; returns the version. Blocked if a run of the same or a newer input revision was published, also while this one wrote."""
         folder = f"{self.root}/snapshots/{uuid.uuid4().hex}"
         for name, df in tables.items():
-            df.write.parquet(f"{folder}/{name}")
+            df.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         while True:
             log = self.entries()
             newest = max([e["revision"] for e in log if e["kind"] == "published"], default=None)

@@ -122,6 +122,56 @@ def test_sums_of_shared_terms_stay_in_their_tasks(spark, monkeypatch):
     assert max(most for _, most in sizes) <= 3 * 6
 
 
+def test_answers_that_leave_tasks_do_not_grow_with_their_number(spark, monkeypatch):
+    """Though every document answers every question and lies in one of forty tasks, no more than nine times k answers of a question are ranked at a time, and they are the right ones, by words, identifiers and vectors; and so are those of many small blocks of questions."""
+    for name, value in (("FIRST_WORDS", 200), ("FIRST_VECTORS", 60), ("ASKS", 120), ("POSTINGS", 300), ("NUMBERS", 400), ("HITS", 64), ("BLOCK", 6)):
+        monkeypatch.setattr(search, name, value, raising=False)
+    rng = random.Random(7)
+    words = [f"art{i:05d}" for i in range(12)]
+    docs = {i: rng.choices(words, k=rng.randint(1, 14)) for i in range(2000)}
+    index = search.postings(spark.createDataFrame([(i, " ".join(t)) for i, t in docs.items()], "id long, text string").repartition(40)).localCheckpoint()
+    known = search.weights(index).localCheckpoint()
+    asking = spark.createDataFrame([(i,) for i in range(0, 2000, 20)], "question long")
+    asked = search.question_terms(index, known, asking).localCheckpoint()
+    vectors = [(i, v, None) for i, v, _ in vector_rows(2000, dim=4)]
+    frame = vector_frame(spark, vectors).repartition(40).localCheckpoint()
+    held, sizes = search._ranked, []
+
+    def ranked(scores, k):
+        scores = scores.localCheckpoint()
+        sizes.append(scores.groupBy("question").count().agg(F.avg("count")).first()[0] or 0)
+        return held(scores, k)
+
+    monkeypatch.setattr(search, "_ranked", ranked)
+    got = [search.lexical(index, known, asked, 5), search.exact(index, known, asking, 5), search.nearest(frame, frame.where("id % 20 = 0"), 5)]
+    assert max(sizes) <= 6 * 9
+    total, weight, same = sum(map(len, docs.values())), defaultdict(int), defaultdict(int)
+    for r in asked.collect():
+        for i, t in docs.items():
+            tf = t.count(r.term)
+            weight[r.question, i] += r.w * (1_000_000_000 * tf // (1000 * tf + 10 * (50 + 50 * len(t) * len(docs) // total)))
+    for q in range(0, 2000, 20):
+        for i, t in docs.items():
+            same[q, i] = len({*docs[q]} & {*t})
+    for scores, found in zip((weight, same), got, strict=False):
+        wanted = set()
+        for q in range(0, 2000, 20):
+            best = sorted((-scores[q, i], i) for i in docs if i != q and scores[q, i] > 0)[:5]
+            wanted |= {(q, i, -s, n) for n, (s, i) in enumerate(best, 1)}
+        assert {(r.question, r.id, r.score, r["rank"]) for r in found.collect()} == wanted
+    assert {(r.question, r.id, r.score, r["rank"]) for r in got[2].collect()} == plain_nearest(vectors, [r for r in vectors if r[0] % 20 == 0], 5, False)
+
+
+def test_terms_of_a_document(spark):
+    """Terms are cut as the expression says, at any ASCII sign and at no other; only A to Z are lower-cased; a document too large for a batch keeps its terms together."""
+    text = "B\u00c4R b\u00c4r x_y\u00a01\u20002 caf\u00e9-CAF\u00c9 \U0001f600z\x7fZ"
+    rows = [(1, text), (2, None), (3, " \t"), (None, "x"), (4, " ".join(f"w{i % 3000}" for i in range(9000)))]
+    got = {r.id: r for r in search.documents(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert sorted(got) == [1, 4] and (got[1].n, got[4].n) == (8, 9000)
+    assert dict(zip(got[1].term, got[1].tf, strict=True)) == {"b\u00c4r": 2, "x": 1, "y\u00a01\u20002": 1, "caf\u00e9": 1, "caf\u00c9": 1, "\U0001f600z": 1, "z": 1}
+    assert set(got[4].tf) == {3} and len(got[4].term) == 3000
+
+
 # --- versions ---------------------------------------------------------------------------------------------------
 
 
